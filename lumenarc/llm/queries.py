@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenarc.llm import mixing, quality, slots, sql
+from lumenarc.llm import mixing, packing, quality, secrets, slots, sql
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,16 +17,24 @@ def op3_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_first(_documents(spark, sf_dir))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir))
+
+
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.shard_documents(_documents(spark, sf_dir))
 
 
+def op9_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_documents(spark, sf_dir))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_first_quality, op7_virtual_slots, op10_source_mix)}
+    return {f.__name__: f for f in (op3_line_first_quality, op6_best_fit_packing, op7_virtual_slots, op9_secret_field, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
