@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenarc.llm import mixing, packing, quality, secrets, slots, sql
+from lumenarc.llm import blocks, mixing, packing, quality, secrets, slots, spotsigs, sql, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op3_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_first(_documents(spark, sf_dir))
 
 
+def op4_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.with_neighbours(_documents(spark, sf_dir))
+
+
+def op5_block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
@@ -25,6 +33,10 @@ def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.shard_documents(_documents(spark, sf_dir))
 
 
+def op8_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_documents(spark, sf_dir))
 
@@ -34,7 +46,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_first_quality, op6_best_fit_packing, op7_virtual_slots, op9_secret_field, op10_source_mix)}
+    return {f.__name__: f for f in (op3_line_first_quality, op4_spot_signatures, op5_block_tree, op6_best_fit_packing, op7_virtual_slots, op8_compression_toxicity, op9_secret_field, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
