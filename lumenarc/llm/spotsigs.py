@@ -133,7 +133,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    falling = F.coalesce(-F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")
+    falling = F.coalesce(-F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
     key = F.concat(F.lpad(falling.cast("string"), 20, "0"), F.sha2(utf8(text_or_empty()), 256))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), key.alias("key"))
     firsts = rows.select("key").repartitionByRange(n, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("key"))
