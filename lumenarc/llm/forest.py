@@ -4,10 +4,9 @@ Texts are reduced to sets of five-word shingles; equal sets become one node. Eac
 16 orders, each of which begins at another of them. Nodes that share the first DEPTH hashes of an order are a region
 there. In each order, sorted, a node's candidates are its neighbour with the longest common prefix and the leader of
 its region, which is taken as deep as needed for at most REGION nodes. Candidates whose size and signature allow the
-similarity are confirmed on full sets, the best of each node first; confirmed links merge nodes into components.
-Then every region that still holds several components is worked off exactly: all pairs of nodes of different
-components in it are compared by signature, and the best few of each pair of components are confirmed, eight times as
-many each round, until no pair is left. Two sets of similarity 0.85 share no region with probability below 1e-5.
+similarity are confirmed on full sets, the best of each node; confirmed links merge nodes into components. Then every
+region that still holds several components is worked off exactly: its nodes outside the largest component meet all its
+nodes, block by block, on full sets. Two sets of similarity 0.85 share no region with probability below 1e-5.
 
 Nulls: a null text has no words, so no set and no links; a row with a null id stands alone. Repeated rows and rows
 with equal sets are one node. Texts of fewer than five words are one shingle. An empty table gives no rows. Extra
@@ -36,7 +35,9 @@ LEVELS = 16
 REGION = 64
 #: Of 64 signature bits, at similarity 0.85 on average 4.8 differ, with deviation 2.1.
 MAX_BITS = 18
-FIRST_CHOICES = 3
+FIRST_CHOICES = 2
+#: Nodes of a block, and the text held before complete groups are worked off.
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
 #: So many ids, at 16 bytes each, are broadcast to pick their texts; beyond that the texts are shuffled.
 SMALL_IDS = 100_000
 _MULTIPLIERS = K.mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -156,11 +157,6 @@ def forest(nodes: DataFrame) -> DataFrame:
     return nodes.join(members, "node").select("node", "n", "sig", "keys").mapInArrow(run, "tree int, path binary, key long, node binary, n long, bits long")
 
 
-def _may_link(n_a, n_b, bits_a, bits_b):
-    """Whether sizes and signature bits allow a link; for columns as for arrays of numbers."""
-    return (100 * n_a >= PERCENT * n_b) & (100 * n_b >= PERCENT * n_a) & (F.bit_count(bits_a.bitwiseXOR(bits_b)) <= MAX_BITS)
-
-
 def neighbours(rows: DataFrame) -> DataFrame:
     """Candidates (a, b, alike) of the sorted orders: longest-common-prefix neighbours and region leaders."""
     names = ["tree", "path", "node", "n", "bits"]
@@ -249,56 +245,137 @@ def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(reps, ["doc_id", "row"]).select("node", "text").dropDuplicates(["node"])
 
 
-def _merged(label: DataFrame | None, verdicts: DataFrame) -> DataFrame | None:
-    """Labels after new links; nodes without a row label themselves."""
-    links = verdicts.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    if label is None:
-        return labels(links)
-    return labels(links.unionByName(label.select(F.col("node").alias("u"), F.col("label").alias("v"))))
-
-
 def _with_label(df: DataFrame, label: DataFrame, node: str, out: str) -> DataFrame:
     named = label.select(F.col("node").alias(node), F.col("label").alias(out))
     return df.join(named, node, "left").withColumn(out, F.coalesce(out, node))
 
 
-def _best(pairs: DataFrame, by: list[str], each: int) -> DataFrame:
-    """Of pairs (a, b, alike, *by), the most alike of each group and salt."""
-    salt = F.pmod(F.xxhash64("a", "b"), F.lit(each))
-    return pairs.groupBy(*by, salt.alias("salt")).agg(F.max(F.struct("alike", "a", "b")).alias("pick")).select("pick.a", "pick.b").distinct()
+def first_choices(near: DataFrame, each: int = FIRST_CHOICES) -> DataFrame:
+    """Of candidates (a, b, alike), the most alike of each node and salt."""
+    both = near.withColumn("x", F.explode(F.array("a", "b")))
+    best = both.groupBy("x", F.pmod(F.xxhash64("a", "b"), F.lit(each)).alias("salt")).agg(F.max(F.struct("alike", "a", "b")).alias("pick"))
+    return best.select("pick.a", "pick.b").distinct()
+
+
+def open_groups(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows (g, fb, mb, left, node, label) of the comparisons that regions with several components still need.
+
+    Regions with the same least node are one group. In a group, the nodes outside its largest component (left) meet
+    all its nodes; both sides are dealt into blocks, and a row stands for a node in one pair of blocks.
+    """
+    marked = staged(_with_label(rows.select("key", "node"), label, "node", "label"), "marked")
+    several = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("g")).where("lo <> hi").select("key", "g")
+    members = staged(marked.join(several, "key").select("g", "node", "label").distinct(), "members")
+    sizes = members.groupBy("g", "label").agg(F.count("*").alias("c")).groupBy("g").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"))
+    sizes = sizes.select("g", F.col("top.label").alias("main"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("fbs"), F.ceil(F.col("all") / BLOCK).cast("int").alias("mbs"))
+    placed = members.join(sizes, "g").withColumn("h", F.xxhash64("node"))
+    fb, mb = F.pmod("h", F.greatest("fbs", F.lit(1))).cast("int"), F.pmod("h", "mbs").cast("int")
+    each = lambda n: F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)
+    right = placed.select("g", F.explode(each(F.col("fbs"))).alias("fb"), mb.alias("mb"), F.lit(0).alias("left"), "node", "label")
+    left = placed.where("label <> main").select("g", fb.alias("fb"), F.explode(each(F.col("mbs"))).alias("mb"), F.lit(1).alias("left"), "node", "label")
+    return right.unionByName(left)
+
+
+class _Block:
+    """The rows of some pairs of blocks: full sets as numbers of a common vocabulary."""
+
+    def __init__(self, rows: pa.Table):
+        self.rows = rows
+        text = rows.column("text").combine_chunks().cast(pa.large_string())
+        who, h = [], []
+        for chunk in K.chunks(text):
+            w, x = shingles(chunk)
+            who.append(w + chunk.first)
+            h.append(x)
+        _, self.ids = np.unique(np.concatenate(h), return_inverse=True)
+        self.at = np.searchsorted(np.concatenate(who), np.arange(len(text) + 1))
+        self.seen = np.zeros(int(self.ids.max(initial=0)) + 1, bool)
+        self.own = np.zeros(len(self.seen), np.int32)
+
+    def links(self, lo: int, hi: int, split: int, labels: list[bytes]) -> Iterator[tuple[int, int]]:
+        """Links that merge labels, between right rows lo to split and left rows split to hi."""
+        root: dict[bytes, bytes] = {}
+
+        def find(x: bytes) -> bytes:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        right = self.ids[self.at[lo] : self.at[split]]
+        starts = self.at[lo:split] - self.at[lo]
+        n = np.diff(self.at[lo : split + 1])
+        self.seen[right] = True
+        for y in range(split, hi):
+            mine = self.ids[self.at[y] : self.at[y + 1]]
+            if 100 * np.count_nonzero(self.seen[mine]) >= PERCENT * len(mine):
+                self.own[mine] = 1
+                both = np.add.reduceat(self.own[right], starts)
+                self.own[mine] = 0
+                for x in np.flatnonzero(100 * both >= PERCENT * (n + len(mine) - both)) + lo:
+                    a, b = find(labels[x]), find(labels[y])
+                    if a != b:
+                        root[a] = b
+                        yield int(x), y
+        self.seen[right] = False
+
+
+def block_links(rows: DataFrame) -> DataFrame:
+    """rows (g, fb, mb, left, node, label, text): links (a, b) that merge labels, confirmed on full sets."""
+
+    def whole(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        block, labels = _Block(table), table.column("label").to_pylist()
+        key = list(zip(*(table.column(c).to_pylist() for c in ("g", "fb", "mb")), strict=True))
+        left = table.column("left").to_pylist()
+        x: list[int] = []
+        y: list[int] = []
+        lo = 0
+        for i in range(1, len(key) + 1):
+            if i == len(key) or key[i] != key[lo]:
+                split = lo + left[lo:i].count(0)
+                for u, v in block.links(lo, i, split, labels) if split > lo else ():
+                    x.append(u)
+                    y.append(v)
+                lo = i
+        node = table.column("node").combine_chunks()
+        yield pa.RecordBatch.from_arrays([node.take(pa.array(x, pa.int64())), node.take(pa.array(y, pa.int64()))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            cut = 0
+            if held:
+                before = tuple(held[-1].column(i)[-1].as_py() for i in range(3))
+                cut = next((i for i, k in enumerate(keys) if k != before), len(keys))
+                if cut < len(keys) and size > BLOCK_BYTES:
+                    yield from whole([*held, batch.slice(0, cut)])
+                    held, size, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            size += batch.nbytes
+        if held:
+            yield from whole(held)
+
+    names = ["g", "fb", "mb", "left", "node", "label", "text"]
+    dealt = rows.select(*names).repartition(partitions(rows.sparkSession), "g", "fb", "mb").sortWithinPartitions("g", "fb", "mb", "left")
+    return dealt.mapInArrow(run, "a binary, b binary")
 
 
 def linked_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Labels of the nodes that have links."""
     rows = staged(forest(nodes), "forest")
-    near = staged(neighbours(rows), "near")
-    both = near.withColumn("x", F.explode(F.array("a", "b")))
-    chosen = staged(_best(both, ["x"], FIRST_CHOICES), "chosen")
+    chosen = staged(first_choices(neighbours(rows)), "chosen")
     done = confirmed(chosen, _texts(docs, nodes, chosen.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
-    label = _merged(None, done)
-    each = 4
-    while True:
-        # neighbours of other components that haven't been compared
-        open_ = _with_label(_with_label(near, label, "a", "la"), label, "b", "lb").where("la <> lb").join(done, ["a", "b"], "left_anti")
-        chosen = staged(_best(open_, ["la", "lb"], each), "chosen")
-        if chosen.isEmpty():
-            break
-        more = confirmed(chosen, _texts(docs, nodes, chosen.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
-        label, done, each = _merged(label, more), staged(done.unionByName(more), "done"), each * 8
-    each = 8
-    while True:
-        # regions with several components: all pairs across them
-        marked = staged(_with_label(rows.select("key", "node", "n", "bits"), label, "node", "label"), "marked")
-        several = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        marked = marked.join(several, "key", "left_semi")
-        a, b = (marked.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "bits", "label")]) for s in "ab")
-        cross = (F.col("label_a") < F.col("label_b")) & _may_link(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"))
-        pairs = a.join(b, "key").where(cross).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), (HASHES - F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))).alias("alike"), F.col("label_a").alias("la"), F.col("label_b").alias("lb"))
-        chosen = staged(_best(pairs.join(done, ["a", "b"], "left_anti"), ["la", "lb"], each), "chosen")
-        if chosen.isEmpty():
-            return label
-        more = confirmed(chosen, _texts(docs, nodes, chosen.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
-        label, done, each = _merged(label, more), staged(done.unionByName(more), "done"), each * 8
+    links = done.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    label = labels(links)
+    rest = staged(open_groups(rows, label), "open")
+    more = staged(block_links(rest.join(_texts(docs, nodes, rest.select("node").distinct()), "node")), "links")
+    if more.isEmpty():
+        return label
+    return labels(label.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
