@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenarc.llm import blocks, forest, mixing, packing, quality, secrets, slots, spotsigs, sql, toxicity
+from lumenarc.llm import blocks, forest, mixing, packing, quality, secrets, slots, spotsigs, sql, suffixes, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_documents(spark, sf_dir))
+
+
 def op2_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_duplicates(_documents(spark, sf_dir))
 
@@ -50,7 +54,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_lsh_forest, op3_line_first_quality, op4_spot_signatures, op5_block_tree, op6_best_fit_packing, op7_virtual_slots, op8_compression_toxicity, op9_secret_field, op10_source_mix)}
+    return {f.__name__: f for f in (op1_suffix_array, op2_lsh_forest, op3_line_first_quality, op4_spot_signatures, op5_block_tree, op6_best_fit_packing, op7_virtual_slots, op8_compression_toxicity, op9_secret_field, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
