@@ -11,7 +11,7 @@ Nulls: a null text has no words; a null source is a source of its own, after all
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenarc.llm.common import WORD, staged, text_or_empty
@@ -21,6 +21,7 @@ WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 DIGITS = 3
 LEVELS = 3
+SMALL_PLAN = 10_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
@@ -46,11 +47,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MA
     return levels.withColumn("target", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share)).select("source", "source_size", "weight", "target")
 
 
+def hashed() -> Column:
+    """A hash of id and text, which ranks the documents of a source."""
+    return F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(text_or_empty())))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size in words and a hash of id and text."""
-    text = text_or_empty()
-    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(text))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.md5(key).alias("h"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), hashed().alias("h"))
 
 
 def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -80,14 +84,35 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return done.unionByName(last.select("source", F.coalesce("h", "prefix").alias("cut")))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
-    """doc_id, size, source_size, target and taken: words that the mix takes of the document, repeats counted."""
-    rows = staged(sized(docs), "mix-rows")
+def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
+    """rows of sized(): g (source), source_size, target, repeats and cut (null: none) of each source."""
     goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     whole = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0)
     goals = staged(goals.withColumn("repeats", whole.cast("long")).withColumn("rest", F.col("target") - F.col("repeats") * F.col("source_size")), "mix-goals")
     cuts = thresholds(rows, goals.where(f"source_size > 0 and repeats < {most}").select("source", "rest"))
     cuts = cuts.withColumnRenamed("source", "s")
-    goals = goals.join(cuts, goals["source"].eqNullSafe(cuts["s"]), "left").drop("s").withColumnRenamed("source", "g")
-    extra = F.coalesce((F.col("h") <= F.col("cut")).cast("long"), F.lit(0))
-    return rows.join(goals, rows["source"].eqNullSafe(goals["g"])).select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("repeats") + extra)).cast("long").alias("taken"))
+    return goals.join(cuts, goals["source"].eqNullSafe(cuts["s"]), "left").drop("s").withColumnRenamed("source", "g")
+
+
+def _copies() -> Column:
+    return F.col("repeats") + F.coalesce((F.col("h") <= F.col("cut")).cast("long"), F.lit(0))
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
+    """doc_id, size, source_size, target and taken: words that the mix takes of the document, repeats counted."""
+    rows = staged(sized(docs), "mix-rows")
+    goals = plan(rows, weights, most)
+    return rows.join(goals, rows["source"].eqNullSafe(goals["g"])).select("doc_id", "size", "source_size", "target", (F.col("size") * _copies()).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
+    """The mix itself: each row of docs as often as the mix takes it, in the columns of docs.
+
+    The plan has a row for each source; it is broadcast only up to SMALL_PLAN of them, so that no text is shuffled.
+    """
+    rows = staged(sized(docs), "mix-rows")
+    goals = staged(plan(rows, weights, most).select("g", "repeats", "cut"), "mix-plan")
+    goals = F.broadcast(goals) if goals.count() <= SMALL_PLAN else goals
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").cast("string").alias("own"), hashed().alias("h"))
+    taken = held.join(goals, F.col("own").eqNullSafe(F.col("g"))).select("row", F.explode(F.array_repeat(F.lit(0), _copies().cast("int"))))
+    return taken.select("row.*")
