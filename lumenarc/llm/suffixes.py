@@ -261,8 +261,9 @@ def repeats(docs: DataFrame) -> DataFrame:
                     names=["anchor", *KEY, "lo", "single", "span"],
                 )
 
+    # a single run is of a row without a twin, so twins only repeat spans that are known to repeat
     texts = keyed(docs).select(*KEY, "text").join(cuts, KEY).select(*KEY, "text", "cuts")
-    spans = staged(texts.mapInArrow(cut, "anchor long, k1 long, k2 long, lo int, single boolean, span binary").dropDuplicates(["anchor", *KEY, "lo"]), "spans")
+    spans = staged(texts.mapInArrow(cut, "anchor long, k1 long, k2 long, lo int, single boolean, span binary"), "spans")
     hot = kinds.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("anchor")
     marks = array_marks(spans.join(hot, "anchor", "left_anti")).unionByName(counted_marks(spans.join(hot, "anchor", "left_semi")))
     return whole.unionByName(marks)
