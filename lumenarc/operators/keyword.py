@@ -71,15 +71,17 @@ def occurrences(column: Column, atom: Atom) -> Column:
     fits = lambda x, j: x.startswith(words[j]) if prefix and j == len(words) - 1 else x == words[j]
     if len(words) == 1:
         return F.size(F.filter(column, lambda x: fits(x, 0)))
-    begins = F.sequence(F.lit(0), F.size(column) - len(words))
 
-    def here(i: Column) -> Column:
+    def here(c: Column, i: Column) -> Column:
         out = F.lit(True)
         for j in range(len(words)):
-            out = out & fits(F.get(column, i + j), j)
+            out = out & fits(F.get(c, i + j), j)
         return out
 
-    return F.when(F.size(column) >= len(words), F.size(F.filter(begins, here))).otherwise(0)
+    def count(c: Column) -> Column:
+        return F.when(F.size(c) >= len(words), F.size(F.filter(F.sequence(F.lit(0), F.size(c) - len(words)), lambda i: here(c, i)))).otherwise(0)
+
+    return F.element_at(F.transform(F.array(column), count), 1)  # binds the array, which would else be made anew for each place
 
 
 def bm25(index: DataFrame, query: str | list[Atom], columns: tuple[str, ...] | None = None, limit: int | None = 500) -> DataFrame:

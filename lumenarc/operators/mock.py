@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 DIMENSION = 384
 
@@ -16,7 +17,7 @@ DIMENSION = 384
 def embedding(text: Column, dimension: int = DIMENSION) -> Column:
     """A unit vector from the extendable hash of a text; equal texts have equal vectors. Spark has no such hash."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(ArrayType(FloatType()))
     def vector(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
             raw = [np.frombuffer(hashlib.shake_256((t or "").encode()).digest(4 * dimension), "<u4") for t in s]

@@ -9,9 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def decoded(blobs: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Little-endian 32-bit floats; null where the length is no positive multiple of four."""
     for s in blobs:

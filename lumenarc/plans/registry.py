@@ -1,17 +1,437 @@
-"""Registered queries of the archive engine."""
+"""Registered queries of the archive engine, with their DuckDB equivalents."""
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenarc.functions import text as T
+from lumenarc.operators import catalog, comments, duplicates, history, hybrid, keyword, vectors, workqueue
+from lumenarc.plans import views as V
+from lumenarc.session import table
+
+NOW = V.EPOCH + 500
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _now(seconds: int = NOW):
+    return F.timestamp_seconds(F.lit(seconds))
+
+
+def _now_sql(seconds: int = NOW) -> str:
+    return f"epoch_ms({seconds}::BIGINT * 1000)"
+
+
+# catalog
+
+WANTED = catalog.Filters(type="image", site="src0", date_from=date(2026, 1, 2), date_to=date(2026, 1, 15))
+_WANTED = "extension IN ('jpg', 'jpeg', 'png', 'webp') AND id IN (SELECT media_id FROM sources WHERE site = 'src0') AND created_at >= TIMESTAMP '2026-01-02' AND created_at < TIMESTAMP '2026-01-16'"
+
+
+@_query(f"WITH {V.MEDIA}, {V.SOURCES} SELECT id, extension, epoch(created_at)::BIGINT AS created FROM media WHERE {_WANTED} ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 50")
+def filtered_page(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of filtered media, newest first (the page is the feature)."""
+    rows = catalog.page(catalog.newest_first(catalog.filtered(V.media(spark, d), WANTED, V.sources(spark, d))), 2, 50)
+    return rows.select("id", "extension", F.unix_seconds("created_at").alias("created"))
+
+
+@_query(f"WITH {V.MEDIA}, {V.SOURCES} SELECT count(*) AS n FROM media WHERE {_WANTED}")
+def filtered_count(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.filtered(V.media(spark, d), WANTED, V.sources(spark, d)).agg(F.count("*").alias("n"))
+
+
+@_query(
+    f"""WITH {V.MEDIA}, p AS (SELECT *, CASE processing_status WHEN 'READY' THEN 'ready' WHEN 'FAILED' THEN 'failed' ELSE 'processing' END AS g FROM media WHERE is_favorite)
+SELECT 'dup_status' AS facet, v AS value, (SELECT count(*) FROM p WHERE dup_status = v AND processing_status = 'READY') AS n FROM (VALUES ('nondup'), ('dup'), ('unflagged')) t(v)
+UNION ALL SELECT 'processing', v, (SELECT count(*) FROM p WHERE g = v AND dup_status = 'nondup') FROM (VALUES ('ready'), ('processing'), ('failed')) t(v)"""
+)
+def facet_counts(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.facets(V.media(spark, d), catalog.Filters(is_favorite=True, dup_status="nondup", processing_status="READY"))
+
+
+@_query(f"WITH {V.SOURCES} SELECT media_id, arg_min(site, id) AS site FROM sources GROUP BY media_id")
+def first_source(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.first_sources(V.sources(spark, d))
+
+
+@_query(f"WITH {V.SOURCES} SELECT media_id, string_agg(site || ' ' || coalesce(chapter, ''), ' ' ORDER BY id) AS source_text FROM sources GROUP BY media_id")
+def site_text(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.source_texts(V.sources(spark, d))
+
+
+@_query(f"WITH {V.MEDIA}, {V.SOURCES} SELECT id FROM media WHERE id IN (SELECT media_id FROM sources WHERE site = 'src1') AND id IN (SELECT media_id FROM sources WHERE chapter = 'chapter-4')")
+def site_and_chapter(spark: SparkSession, d: str) -> DataFrame:
+    """Site and chapter may be met by different sources."""
+    return catalog.filtered(V.media(spark, d), catalog.Filters(site="src1", chapter="chapter-4"), V.sources(spark, d)).select("id")
+
+
+@_query(f"WITH {V.MEDIA}, {V.ANALYSIS} SELECT id FROM media JOIN analysis ON id = media_id WHERE CASE WHEN json_valid(emotions) THEN list_contains(list_transform(from_json(emotions, '[\"VARCHAR\"]'), lambda x: lower(x)), 'joy') END")
+def emotion_members(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.filtered(V.media(spark, d), catalog.Filters(emotion="JOY"), None, V.analysis(spark, d)).select("id")
+
+
+@_query(f"WITH {V.MEDIA} SELECT id, CASE WHEN dup_status = 'dup' THEN epoch(dup_flagged_at + INTERVAL 7 DAY)::BIGINT END AS expires FROM media")
+def record_expiry(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.shaped(V.media(spark, d)).select("id", F.unix_seconds("dup_expires_at").alias("expires"))
+
+
+@_query(f"WITH {V.MEDIA}, {V.SOURCES}, s AS (SELECT media_id, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM sources GROUP BY media_id), {V.ANALYSIS} SELECT m.id, n, ids, emotions FROM media m LEFT JOIN s ON m.id = s.media_id LEFT JOIN analysis a ON a.media_id = m.id")
+def detail_records(spark: SparkSession, d: str) -> DataFrame:
+    rows = catalog.details(V.media(spark, d), V.sources(spark, d), V.analysis(spark, d))
+    return rows.select("id", F.size("sources").cast("long").alias("n"), F.array_join(F.transform("sources", lambda s: s["id"].cast("string")), ",").alias("ids"), "emotions")
+
+
+@_query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+def status_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {V.MEDIA} SELECT id, CASE WHEN id < 100 AND id % 2 = 0 THEN NOT is_favorite ELSE is_favorite END AS is_favorite FROM media")
+def patched_favorites(spark: SparkSession, d: str) -> DataFrame:
+    m = V.media(spark, d)
+    changes = m.where("id < 100 and id % 2 = 0").select("id", (~F.col("is_favorite")).alias("is_favorite"), F.lit("x").alias("sha256"))
+    return catalog.patched(m, changes).select("id", "is_favorite")
+
+
+@_query("SELECT doc_id, 1000 + row_number() OVER (ORDER BY doc_id) AS id FROM documents")
+def allocated_ids(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.with_ids(table(spark, d, "documents").select("doc_id"), 1000, ["doc_id"]).select("doc_id", "id")
+
+
+# duplicates
+
+
+@_query(
+    f"""WITH {V.MEDIA}, r AS (SELECT *, row_number() OVER w AS k, first_value(id) OVER w AS f FROM media WINDOW w AS (PARTITION BY sha256 ORDER BY created_at, id))
+SELECT id, CASE WHEN dup_status = 'unflagged' THEN 'unflagged' WHEN k = 1 THEN 'nondup' ELSE 'dup' END AS dup_status, CASE WHEN dup_status <> 'unflagged' AND k > 1 THEN f END AS dup_of_media_id,
+  epoch(CASE WHEN dup_status <> 'unflagged' AND k > 1 THEN CASE WHEN dup_status = 'dup' THEN dup_flagged_at ELSE {_now_sql()} END END)::BIGINT AS flagged FROM r"""
+)
+def dup_flags(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.flagged(V.media(spark, d), _now()).select("id", "dup_status", "dup_of_media_id", F.unix_seconds("dup_flagged_at").alias("flagged"))
+
+
+@_query(f"WITH {V.MEDIA}, g AS (SELECT * FROM media WHERE sha256 = (SELECT sha256 FROM media WHERE id = 3)) SELECT id, id = (SELECT arg_min(id, (created_at, id)) FROM g) AS is_retained FROM g WHERE id <> 3")
+def dup_copies(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.copies(V.media(spark, d), 3).select("id", "is_retained")
+
+
+_PURGE_NOW = V.EPOCH + 14 * 86400
+
+
+@_query(
+    f"""WITH {V.MEDIA}, o AS (SELECT *, coalesce(dup_status = 'dup' AND dup_flagged_at <= {_now_sql(_PURGE_NOW)} - INTERVAL 7 DAY, false) AS old FROM media),
+c AS (SELECT *, count(*) OVER (PARTITION BY sha256) AS total, count(*) FILTER (old) OVER (PARTITION BY sha256) AS olds, row_number() OVER (PARTITION BY sha256, old ORDER BY created_at, id) AS k FROM o)
+SELECT id FROM c WHERE old AND (total > olds OR k > 1)"""
+)
+def safe_purge(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.purgeable(V.media(spark, d), _now(_PURGE_NOW)).select("id")
+
+
+@_query(
+    f"""WITH {V.MEDIA}, {V.SOURCES}, o AS (SELECT *, coalesce(dup_status = 'dup' AND dup_flagged_at <= {_now_sql(_PURGE_NOW)} - INTERVAL 7 DAY, false) AS old FROM media),
+c AS (SELECT *, count(*) OVER (PARTITION BY sha256) AS total, count(*) FILTER (old) OVER (PARTITION BY sha256) AS olds, row_number() OVER (PARTITION BY sha256, old ORDER BY created_at, id) AS k FROM o)
+SELECT id, media_id FROM sources WHERE media_id NOT IN (SELECT id FROM c WHERE old AND (total > olds OR k > 1))"""
+)
+def purge_cascade(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.without(V.sources(spark, d), duplicates.purgeable(V.media(spark, d), _now(_PURGE_NOW))).select("id", "media_id")
+
+
+@_query(f"WITH {V.MEDIA} SELECT id, CASE WHEN id < 50 AND dup_status = 'dup' THEN 'unflagged' ELSE dup_status END AS dup_status FROM media")
+def unflagged_dups(spark: SparkSession, d: str) -> DataFrame:
+    m = V.media(spark, d)
+    return duplicates.unflagged(m, m.where("id < 50").select("id")).select("id", "dup_status")
+
+
+@_query("SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")
+def first_of_texts(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.first_of(table(spark, d, "documents").select("text", "doc_id"), ["text"], ["doc_id"])
+
+
+# keyword search
+
+
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    return keyword.indexed(V.texts(spark, d))
+
+
+def _scored(df: DataFrame) -> DataFrame:
+    return df.select("id", F.round("score", 6).alias("score"))
+
+
+_ROUNDED = " SELECT id, round(score, 6) AS score FROM bm25"
+
+
+@_query(f"WITH {V.TEXTS}, {V.bm25_sql(keyword.atoms('the by edons '))}{_ROUNDED}")
+def bm25_all(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(keyword.bm25(_index(spark, d), "the by edons "))
+
+
+@_query(f"WITH {V.TEXTS}, {V.bm25_sql([(('by', 'the'), False)])}{_ROUNDED}")
+def bm25_phrase(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(keyword.bm25(_index(spark, d), '"by the"'))
+
+
+@_query(f"WITH {V.TEXTS}, {V.bm25_sql([(('enthe',), True)])}{_ROUNDED}")
+def bm25_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(keyword.bm25(_index(spark, d), "enthe"))
+
+
+@_query(f"WITH {V.TEXTS}, {V.bm25_sql([(('src7',), False)], ('tags',))}{_ROUNDED}")
+def bm25_column(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(keyword.bm25(_index(spark, d), '"src7"', ("tags",)))
+
+
+@_query(f"WITH {V.TEXTS} SELECT id, 1.0::DOUBLE AS score FROM texts WHERE contains(lower(tags), 'rc1') AND contains(lower(tags), 'en')")
+def tag_parts(spark: SparkSession, d: str) -> DataFrame:
+    return keyword.containing(V.texts(spark, d), "rc1 EN", F.col("tags"))
+
+
+@_query(f"WITH {V.TEXTS}, t AS (SELECT id, unnest({V.tokens_sql('description')}) AS term FROM texts) SELECT term, count(*) AS occurrences, count(DISTINCT id) AS rows FROM t GROUP BY term HAVING count(DISTINCT id) > 20")
+def common_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of more than twenty rows, by the postings."""
+    p = keyword.postings(V.texts(spark, d), ("description",))
+    per = p.groupBy("term", "id").agg(F.count("*").alias("n")).groupBy("term")
+    return per.agg(F.sum("n").alias("occurrences"), F.count("*").alias("rows")).where("rows > 20")
+
+
+# vectors and fusion
+
+_DOT = f"list_dot_product(embedding::DOUBLE[], {V.VECTOR!r}::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_dot_product({V.VECTOR!r}::DOUBLE[], {V.VECTOR!r}::DOUBLE[]))"
+
+
+@_query(f"SELECT vec_id AS id, round({_DOT}, 6) AS cosine FROM embeddings ORDER BY {_DOT} DESC, vec_id LIMIT 100")
+def cosine_top(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.cosine_top(V.embedded(spark, d), V.VECTOR, 100).select("id", F.round("cosine", 6).alias("cosine"))
+
+
+@_query(f"SELECT vec_id AS id, round({_DOT}, 6) AS cosine FROM embeddings WHERE label = 3 AND len(embedding) = 64")
+def cosine_of_model(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.cosine_top(V.embedded(spark, d), V.VECTOR, None, 3).select("id", F.round("cosine", 6).alias("cosine"))
+
+
+def _norm(name: str) -> str:
+    return f"{name}_n AS (SELECT id, CASE WHEN max(score) OVER () > 0 THEN score / max(score) OVER () ELSE 1.0 END AS score FROM {name})"
+
+
+_PARTS = f"""{V.TEXTS}, {V.bm25_sql(keyword.atoms('src3'), name='kw', limit=1000)}, {V.bm25_sql(keyword.atoms('src3'), ('tags',), 'tg', 1000)}, {V.bm25_sql(keyword.atoms('src3'), ('filename', 'source_text'), 'md', 1000)}, {_norm('kw')}, {_norm('tg')}, {_norm('md')}"""
+_ALLOWED = f"{V.MEDIA}, allowed AS (SELECT id FROM media WHERE processing_status <> 'FAILED')"
+
+
+def _allowed(spark: SparkSession, d: str) -> DataFrame:
+    return V.media(spark, d).where("processing_status <> 'FAILED'").select("id")
+
+
+@_query(
+    f"""WITH {_PARTS}, {_ALLOWED}, vc AS (SELECT vec_id AS id, least(1, greatest(0, (1 + {_DOT}) / 2)) AS score FROM embeddings ORDER BY {_DOT} DESC, vec_id LIMIT 1000),
+u AS (SELECT id, 0.25 * score AS s FROM kw_n UNION ALL SELECT id, 0.5 * score FROM vc UNION ALL SELECT id, 0.2 * score FROM tg_n UNION ALL SELECT id, 0.05 * score FROM md_n)
+SELECT id, round(sum(s), 6) AS score FROM u WHERE id IN (SELECT id FROM allowed) GROUP BY id HAVING sum(s) > 0"""
+)
+def hybrid_fused(spark: SparkSession, d: str) -> DataFrame:
+    _, hits = hybrid.search(_index(spark, d), "src3", V.embedded(spark, d), V.VECTOR, _allowed(spark, d))
+    return _scored(hits)
+
+
+@_query(
+    f"""WITH {_PARTS}, {_ALLOWED}, u AS (SELECT id, 0.5 * score AS s FROM kw_n UNION ALL SELECT id, 0.4 * score FROM tg_n UNION ALL SELECT id, 0.1 * score FROM md_n)
+SELECT id, round(sum(s), 6) AS score FROM u WHERE id IN (SELECT id FROM allowed) GROUP BY id HAVING sum(s) > 0"""
+)
+def keyword_only(spark: SparkSession, d: str) -> DataFrame:
+    _, hits = hybrid.search(_index(spark, d), "src3", allowed=_allowed(spark, d))
+    return _scored(hits)
+
+
+@_query(f"WITH {V.MEDIA} SELECT id, NULL::DOUBLE AS score FROM media WHERE processing_status <> 'FAILED'")
+def filters_only(spark: SparkSession, d: str) -> DataFrame:
+    return hybrid.search(_index(spark, d), " ", allowed=_allowed(spark, d), media=V.media(spark, d))[1]
+
+
+@_query(f"WITH {V.TEXTS}, {V.bm25_sql([(('enthe',), True)])} SELECT id, lag(id) OVER (ORDER BY score DESC, id) AS previous_id, lead(id) OVER (ORDER BY score DESC, id) AS next_id FROM bm25")
+def result_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    hits = keyword.bm25(_index(spark, d), "enthe")
+    return hybrid.neighbours(hits, [F.col("score").desc(), F.col("id")]).select("id", "previous_id", "next_id")
+
+
+# work queue
+
+
+@_query(f"WITH {V.ITEMS} SELECT id FROM items WHERE processing_status IN ('DOWNLOADED', 'ANALYZING', 'ANALYZED', 'EMBEDDING') AND (next_retry_at IS NULL OR next_retry_at <= {_now_sql()}) ORDER BY id LIMIT 100")
+def claimed_batch(spark: SparkSession, d: str) -> DataFrame:
+    return workqueue.claim(V.items(spark, d), _now(), 100).select("id")
+
+
+@_query(
+    f"""WITH {V.ITEMS}, r AS (SELECT *, id % 7 = 0 AS ready, id % 7 = 1 AS error, id % 3 <> 0 AS again FROM items),
+s AS (SELECT *, error AND again AND attempts + 1 < 6 AS deferred, error AND NOT (again AND attempts + 1 < 6) AS failed FROM r)
+SELECT id, CASE WHEN ready THEN 'READY' WHEN deferred THEN CASE WHEN has_analysis THEN 'ANALYZED' ELSE 'DOWNLOADED' END WHEN failed THEN 'FAILED' ELSE processing_status END AS status, CASE WHEN deferred THEN attempts + 1 ELSE attempts END AS attempts,
+  CASE WHEN deferred THEN {NOW} + least(15 * 2 ** attempts, 600)::BIGINT WHEN failed AND again AND revives < 3 THEN {NOW} + 1800 WHEN failed THEN NULL ELSE epoch(next_retry_at)::BIGINT END AS retry FROM s"""
+)
+def settled_items(spark: SparkSession, d: str) -> DataFrame:
+    items = V.items(spark, d)
+    results = items.where("id % 7 < 2").select("id", F.expr("if(id % 7 = 0, 'ready', 'error')").alias("outcome"), F.expr("id % 3 <> 0").alias("retryable"))
+    return workqueue.settled(items, results, _now()).select("id", F.col("processing_status").alias("status"), "attempts", F.unix_seconds("next_retry_at").alias("retry"))
+
+
+@_query(
+    f"""WITH {V.ITEMS}, r AS (SELECT *, coalesce(processing_status = 'FAILED' AND error_retryable AND next_retry_at <= {_now_sql()} AND revives < 3, false) AS due FROM items)
+SELECT id, CASE WHEN due THEN CASE WHEN has_analysis THEN 'ANALYZED' ELSE 'DOWNLOADED' END ELSE processing_status END AS status, CASE WHEN due THEN 0 ELSE attempts END AS attempts, revives + due::INTEGER AS revives FROM r"""
+)
+def revived_items(spark: SparkSession, d: str) -> DataFrame:
+    return workqueue.revived(V.items(spark, d), _now()).select("id", F.col("processing_status").alias("status"), "attempts", "revives")
+
+
+@_query(
+    f"""WITH {V.ITEMS}, c AS (SELECT *, processing_status NOT IN ('READY', 'FAILED') AS open, coalesce(next_retry_at > {_now_sql()}, false) AS waiting FROM items)
+SELECT count_if(processing_status = 'READY')::BIGINT AS ready, count_if(processing_status = 'FAILED')::BIGINT AS failed, count_if(open AND waiting)::BIGINT AS deferred, count_if(open AND NOT waiting)::BIGINT AS claimable, epoch(min(next_retry_at) FILTER (waiting))::BIGINT AS next_retry FROM c"""
+)
+def queue_summary(spark: SparkSession, d: str) -> DataFrame:
+    return workqueue.summary(V.items(spark, d), _now()).select("ready", "failed", "deferred", "claimable", F.unix_seconds("next_retry_at").alias("next_retry"))
+
+
+@_query("SELECT o_orderkey AS id, greatest(1, least(15 * 2 ** (o_orderkey % 9), 600))::BIGINT AS delay FROM orders")
+def retry_backoff(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), T.retry_delay(F.expr("o_orderkey % 9")).alias("delay"))
+
+
+@_query("SELECT c_custkey AS id, least(greatest(2 ** (c_custkey % 8), c_custkey % 90), 60)::DOUBLE AS wait FROM customer")
+def http_waits(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), T.http_backoff(F.expr("c_custkey % 8"), 1.0, F.expr("cast(c_custkey % 90 as string)")).alias("wait"))
+
+
+@_query("SELECT o_custkey AS backfill_id, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'P') AS failed FROM orders GROUP BY 1")
+def backfill_counts(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "orders").select(F.col("o_custkey").alias("backfill_id"), F.expr("CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'P' THEN 'failed' ELSE 'pending' END").alias("status"))
+    return workqueue.item_counts(items).select("backfill_id", "total", "done", "failed")
+
+
+@_query("WITH n AS (SELECT n_nationkey AS position, n_name AS url, (SELECT coalesce(max(c_custkey), 0) FROM customer WHERE c_nationkey = n_nationkey) AS newest FROM nation) SELECT url FROM n ORDER BY newest, position LIMIT 1")
+def next_rotation(spark: SparkSession, d: str) -> DataFrame:
+    n, c = table(spark, d, "nation"), table(spark, d, "customer")
+    runs = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.col("c_custkey").alias("id"), F.col("n_name").alias("site_url"))
+    return workqueue.rotation_target(n.select(F.col("n_nationkey").alias("position"), F.col("n_name").alias("url")), runs)
+
+
+# history
+
+
+@_query(
+    """WITH e AS (SELECT 'u' || user_id AS url, event_type AS site, event_id % 2 AS fresh, ts, event_id FROM events)
+SELECT url, count(*) AS pages_scanned, sum(event_id % 5)::BIGINT AS media_found, floor(max(epoch(ts)))::BIGINT AS last FROM e GROUP BY url"""
+)
+def scan_history(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select(F.concat(F.lit("u"), "user_id").alias("url"), F.col("event_type").alias("site"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    old = e.where("event_id % 2 = 0").groupBy("url").agg(F.max("site").alias("site"), F.count("*").alias("pages_scanned"), F.sum(F.expr("event_id % 5")).alias("media_found"), F.max("ts").alias("last_scanned_at"))
+    new = e.where("event_id % 2 = 1").select("url", "site", F.expr("event_id % 5").alias("media_found"), F.col("ts").alias("at"))
+    return history.scanned(old, new).select("url", "pages_scanned", "media_found", F.unix_seconds("last_scanned_at").alias("last"))
+
+
+@_query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def latest_wins(spark: SparkSession, d: str) -> DataFrame:
+    return history.latest(table(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id")
+
+
+@_query("WITH p AS (SELECT url, min(page_id) AS position FROM pages GROUP BY url) SELECT url, position FROM p WHERE position % 3 <> 0")
+def pages_to_scan(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "pages").select("url", F.col("page_id").alias("position"))
+    seen = p.groupBy("url").agg(F.min("position").alias("position")).where("position % 3 = 0")
+    return history.to_scan(p, seen).select("url", "position")
+
+
+@_query("SELECT user_id, count(*) AS n FROM (SELECT user_id FROM events WHERE event_type = 'click' UNION SELECT o_custkey FROM orders) GROUP BY 1")
+def inserted_users(spark: SparkSession, d: str) -> DataFrame:
+    clicks = table(spark, d, "events").where("event_type = 'click'").select("user_id").distinct()
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"))
+    return history.inserted_if_absent(clicks, orders, ["user_id"]).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+# text, URLs and records
+
+
+@_query("SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages")
+def page_hosts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", T.host("url").alias("host"))
+
+
+@_query(
+    r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n|[\r\x{2028}\x{2029}]', chr(10), 'g'), '[\x{00A0}\x{2007}\x{202F}]', ' ', 'g'), '[\p{Cf}\x{00}-\x{08}\x{0B}-\x{1F}\x{7F}-\x{9F}]', '', 'g') AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t]{2,}', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(t, '^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$', '', 'g') AS t FROM b)
+SELECT doc_id, sha256(regexp_replace(substr(t, 1, 4096), '[\s\p{Z}\x{85}]+$', '')) AS clean FROM c"""
+)
+def sanitized_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.sha2(T.sanitize_text(F.coalesce("text", F.lit(""))), 256).alias("clean"))
+
+
+@_query("SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events")
+def json_counters(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", T.json_object("props")["k"].try_cast("long").alias("k"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, l_linenumber AS done, 7 AS total, round(l_linenumber / 7.0::DOUBLE, 6) AS part FROM lineitem")
+def job_counters(spark: SparkSession, d: str) -> DataFrame:
+    message = F.concat(F.lit("done="), "l_linenumber", F.lit(" total=7 paused"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.counter(message, "done").cast("int").alias("done"), T.counter(message, "total").cast("int").alias("total"))
+    return rows.withColumn("part", F.round(T.fraction("done", "total"), 6))
+
+
+@_query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png' WHEN 2 THEN NULL WHEN 3 THEN 'video/mp4' ELSE NULL END AS kind FROM part")
+def content_types(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.expr("CASE p_partkey % 5 WHEN 0 THEN ' IMAGE/JPG; q=1' WHEN 1 THEN 'image/png' WHEN 2 THEN 'application/octet-stream' WHEN 3 THEN 'Video/MP4' ELSE '' END")
+    return table(spark, d, "part").select("p_partkey", T.normalize_content_type(raw).alias("kind"))
+
+
+@_query()
+def page_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links of each page, absolute, first place wins."""
+    return comments.links(table(spark, d, "pages"), ".")
+
+
+@_query()
+def page_comments(spark: SparkSession, d: str) -> DataFrame:
+    """Comments of the pages of known sites."""
+    return comments.comments(table(spark, d, "pages"))
+
+
+# relational baseline
+
+
+@_query(
+    """SELECT n_name, o_orderpriority, sum((l_extendedprice * (1 - l_discount))::DECIMAL(18, 4))::DOUBLE AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+WHERE l_shipdate >= TIMESTAMP '1995-01-01' GROUP BY 1, 2"""
+)
+def revenue_by_nation(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").where("l_shipdate >= timestamp '1995-01-01'").select("l_orderkey", "l_extendedprice", "l_discount")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    customers, nations = table(spark, d, "customer").select("c_custkey", "c_nationkey"), table(spark, d, "nation").select("n_nationkey", "n_name")
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    revenue = F.sum(F.expr("cast(l_extendedprice * (1 - l_discount) as decimal(18,4))")).cast("double")
+    return joined.groupBy("n_name", "o_orderpriority").agg(revenue.alias("revenue"), F.count("*").alias("n"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Keyword-only ranking of English documents with their texts, the best twenty."""
+    allowed = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"))
+    _, hits = hybrid.search(_index(spark, sf_dir), "the by", allowed=allowed)
+    top = hits.limit(20)
+    texts = V.texts(spark, sf_dir).select("id", "description", "source_text")
+    return top.join(texts, "id").orderBy(F.col("score").desc(), "id")
