@@ -32,6 +32,8 @@ LABELLED = """
 80 0.0 40 0.0 3 0.6 0 0 0 1 | 60 0.02 50 0.0 4 1.0 0 0 0 1 | 100 0.0 20 0.0 8 0.0 0 0 0 1 | 45 0.0 60 0.0 1 1.0 0 0 0 1 | 200 0.01 0 0.0 0 0.0 0 0 0 1
 35 0.0 10 0.0 60 0.0 1 0 0 0 | 90 0.0 30 0.0 40 0.0 1 0 0 0 | 20 0.1 8 0.0 55 0.0 1 0 0 0 | 50 0.0 80 0.0 70 0.0 1 1 0 0 | 14 0.0 3 1.0 48 0.0 1 1 0 0
 9 1.0 60 0.0 1 1.0 1 0 0 0 | 150 0.0 70 0.0 100 0.0 1 0 0 0 | 70 0.1 20 0.0 33 0.0 1 0 0 0 | 2 0.0 9 0.0 80 0.0 1 0 1 0 | 11 0.0 150 0.0 30 0.0 1 1 1 0
+1 0.0 1 0.0 48 0.0 0 1 0 1 | 2 0.0 12 0.0 19 0.0 0 1 0 1 | 2 0.0 11 0.0 2 0.0 0 1 1 1 | 2 0.0 2 0.0 32 0.0 0 1 0 1 | 1 0.0 9 0.0 1 0.0 0 1 1 1
+3 0.0 1 1.0 11 0.0 0 1 1 1 | 1 0.0 17 0.0 8 0.0 0 1 0 1 | 2 0.0 2 0.0 2 0.0 0 1 0 1 | 1 0.0 12 0.0 161 0.0 0 1 0 1 | 1 0.0 2 0.3 1 1.0 0 1 1 1
 """
 
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
