@@ -105,15 +105,15 @@ class _Sizes:
 
     def best_pair(self, room: int, without: int) -> int:
         """The largest sum of two items of at most room, besides one of size `without`."""
-        best, i, j = 0, 0, bisect_left(self.order, room + 1) - 1
-        while i <= j and i < len(self.order):
-            a, b = self.order[i], self.order[j]
-            if a + b <= room:
-                enough = self.count[a] - (a == without) - (a == b) > 0 and self.count[b] - (b == without) > 0
-                best = max(best, a + b if enough else 0)
-                i += 1
-            else:
+        there = [s for s in self.order[: bisect_left(self.order, room)] if self.count[s] - (s == without) > 0]
+        best, i, j = 0, 0, len(there) - 1
+        while i <= j:
+            a, b = there[i], there[j]
+            if a + b > room or i == j and self.count[a] - (a == without) < 2:
                 j -= 1
+            else:
+                best = max(best, a + b)
+                i += 1
         return best
 
 
