@@ -68,20 +68,11 @@ def _fold(word: str) -> str:
 def occurrences(column: Column, atom: Atom) -> Column:
     """How often an atom occurs in a token array."""
     words, prefix = [_fold(w) for w in atom[0]], atom[1]
-    fits = lambda x, j: x.startswith(words[j]) if prefix and j == len(words) - 1 else x == words[j]
     if len(words) == 1:
-        return F.size(F.filter(column, lambda x: fits(x, 0)))
-
-    def here(c: Column, i: Column) -> Column:
-        out = F.lit(True)
-        for j in range(len(words)):
-            out = out & fits(F.get(c, i + j), j)
-        return out
-
-    def count(c: Column) -> Column:
-        return F.when(F.size(c) >= len(words), F.size(F.filter(F.sequence(F.lit(0), F.size(c) - len(words)), lambda i: here(c, i)))).otherwise(0)
-
-    return F.element_at(F.transform(F.array(column), count), 1)  # binds the array, which would else be made anew for each place
+        return F.size(F.filter(column, lambda x: x.startswith(words[0]) if prefix else x == words[0]))
+    # tokens hold letters and digits only; looking ahead counts occurrences that overlap
+    phrase = "  ".join(words) + ("[^ ]*" if prefix else "")
+    return F.regexp_count(F.concat(F.lit(" "), F.array_join(column, "  "), F.lit(" ")), F.lit(f"(?= {phrase} )"))
 
 
 def bm25(index: DataFrame, query: str | list[Atom], columns: tuple[str, ...] | None = None, limit: int | None = 500) -> DataFrame:
