@@ -241,7 +241,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(k1, k2, lo, hi): window starts lo to hi of a text repeat elsewhere."""
     found = staged(runs(docs), "runs")
     anchors = found.groupBy("anchor").agg(F.count("*").alias("c"), (F.min("content") == F.max("content")).alias("alike")).where("c > 1").select("anchor", "alike")
-    shared = staged(found.join(anchors, "anchor"), "shared")
+    told = lambda c: F.when(~F.col("alike"), F.col(c)).alias(c)  # noqa: E731  of no use once runs are known to be alike
+    shared = staged(found.join(anchors, "anchor").select(told("anchor"), told("content"), *KEY, "lo", "hi", "alike"), "shared")
     unlike = shared.where("not alike")
     kinds = unlike.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.min(F.struct(*KEY, "lo", "hi")).alias("r"))
     kinds = staged(kinds.select("anchor", "content", (F.col("c") == 1).alias("single"), "r.*"), "kinds")
