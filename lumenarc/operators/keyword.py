@@ -86,17 +86,18 @@ def bm25(index: DataFrame, query: str | list[Atom], columns: tuple[str, ...] | N
         return index.select("id", F.lit(0.0).alias("score")).limit(0)
     found = sum
     fs = [found((occurrences(F.col(c), a) for c in columns), F.lit(0)).alias(f"f{i}") for i, a in enumerate(parts)]
-    counted = index.select("id", found((F.size(c) for c in every), F.lit(0)).alias("n"), *fs)
+    # both readers below share this exchange of a few numbers a row, so texts are tokenized once
+    counted = index.select("id", found((F.size(c) for c in every), F.lit(0)).alias("n"), *fs).repartition("id")
     corpus = counted.agg(F.count("*").alias("rows"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(parts))])
-    hits = counted
-    for i in range(len(parts)):
-        hits = hits.where(F.col(f"f{i}") > 0)
     score = F.lit(0.0)
     for i in range(len(parts)):
         idf = F.log((F.col("rows") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5))
         f = F.col(f"f{i}")
         score = score + F.when(idf <= 0, FLOOR).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n") / F.col("mean")))
-    out = hits.crossJoin(F.broadcast(corpus)).select("id", score.alias("score"))  # corpus is one row
+    every_atom = F.lit(True)
+    for i in range(len(parts)):
+        every_atom = every_atom & (F.col(f"f{i}") > 0) & (F.col(f"d{i}") > 0)  # names both sides, so it isn't pushed into the count
+    out = counted.crossJoin(F.broadcast(corpus)).where(F.when(every_atom, True).otherwise(False)).select("id", score.alias("score"))  # corpus is one row
     return out if limit is None else out.orderBy(F.col("score").desc(), "id").limit(limit)
 
 
