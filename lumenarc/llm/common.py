@@ -21,11 +21,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Spark's setting that drops a query's shuffle files once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: cuts the lineage and outlives lost executors."""
+    """df written as Parquet to the shared folder and read back: cuts the lineage and outlives lost executors.
+
+    Nothing needs the shuffle files of the write any more once the table is there, so they go when it ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
