@@ -1,10 +1,11 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on windows of ordinary text and one on the passages that set toxic text
-apart: words in far more distinct contexts there than in ordinary text. Each window of eight words is compressed with
-both; a window that is shorter by the toxic dictionary counts against the text. The toxic dictionary ends in the
-ordinary one, so an ordinary window is as long by either. A logistic curve, fitted on documents apart from those of
-the dictionaries, turns a text's gains into a score.
+Two zstandard dictionaries are trained, one on windows of ordinary text and one on windows of toxic text; the second
+finds phrases, also those of common words. Single words are too short to stand out there, so a third dictionary lists
+the words in far more distinct contexts of toxic text than of ordinary text. Each window of eight words is compressed
+with all three; a window that is shorter by a toxic dictionary counts against the text. Both toxic dictionaries end in
+the ordinary one, so an ordinary window is as long by any. A logistic curve, fitted on documents apart from those of
+the dictionaries, turns a text's gains by either into a score.
 
 Learning takes a bounded sample of the labelled rows (SAMPLE of each class, by hash of the id, of those whose id does
 not hash to the held-out quarter) and only its texts and labels; scoring reads nothing but the text.
@@ -30,6 +31,9 @@ SAMPLE = (1000, 3000)
 WINDOW = 8
 LEVEL = 9
 ORDINARY_BYTES = 16384
+TOXIC_BYTES = 2048
+#: Bytes of a segment and of a match for the training on toxic windows: a few words each.
+SEGMENT = (32, 8)
 THRESHOLD = 0.3
 HELD_OUT = (4, 2)
 #: A marked word has so many letters, and its likelihood ratio against chance passes that of any of V words by this.
@@ -78,31 +82,33 @@ def marked_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
 
 
 class Scorer:
-    """Both dictionaries and the curve; small, and sent to the executors as it is."""
+    """The ordinary dictionary, the toxic ones and the curve; small, and sent to the executors as it is."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, weights: np.ndarray | None = None):
+    def __init__(self, ordinary: bytes, toxic: tuple[bytes, ...], weights: np.ndarray | None = None):
         self.ordinary, self.toxic, self.weights = ordinary, toxic, weights
-        self.pad = ordinary[-64:]  # both know it, so that short windows still compress
+        self.pad = ordinary[-64:]  # all know it, so that short windows still compress
         self._compress: list = []
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_compress": []}
 
     def gains(self, text: str | None) -> np.ndarray:
+        """Bytes that each toxic dictionary saves, a row for each, on every window."""
         if not self._compress:
-            for content in (self.ordinary, self.toxic):
+            for content in (self.ordinary, *self.toxic):
                 d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(level=LEVEL)
                 self._compress.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-        plain, marked = self._compress
-        return np.array([len(plain(x)) - len(marked(x)) for x in (self.pad + w for w in windows(text))], float)
+        padded = [self.pad + w for w in windows(text)]
+        plain, *toxic = (np.array([len(f(x)) for x in padded], float) for f in self._compress)
+        return np.array([plain - t for t in toxic])
 
     def features(self, text: str | None) -> np.ndarray:
-        g = self.gains(text)
-        if not len(g):
-            return np.array([1.0, 0, 0, 0, 0])
-        top = np.sort(g)[::-1]
-        return np.array([1.0, 10 * math.tanh(g.mean()), min(top[0], 12), top[:3].mean(), 10 * (g >= 2).mean()])
+        out = [1.0]
+        for g in self.gains(text):
+            top = np.sort(g)[::-1]
+            out += [10 * math.tanh(g.mean()), min(top[0], 12), top[:3].mean(), 10 * (g >= 2).mean()] if len(g) else [0.0] * 4
+        return np.array(out)
 
     def score(self, text: str | None) -> float:
         return 0.0 if self.weights is None else float(1 / (1 + math.exp(-max(-30.0, min(30.0, self.features(text) @ self.weights)))))
@@ -119,17 +125,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30
     return w
 
 
+def dictionary(samples: list[bytes], size: int, **how: int) -> bytes:
+    """A dictionary trained on the samples; where these are too few to train on, their end."""
+    try:
+        return zstandard.train_dictionary(size, samples, **how).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
 def fitted(toxic: list[str], ordinary: list[str]) -> Scorer:
     """Dictionaries from two in three of each class, the curve from the third."""
     if len(toxic) < 4 or len(ordinary) < 4:
-        return Scorer(b"", b"")
+        return Scorer(b"", ())
     (ta, tb), (oa, ob) = (([t for i, t in enumerate(x) if i % 3], x[::3]) for x in (toxic, ordinary))
-    samples = [w for t in oa for w in windows(t) if w]
-    try:
-        base = zstandard.train_dictionary(ORDINARY_BYTES * 3 // 2, samples).as_bytes()[-ORDINARY_BYTES:]
-    except zstandard.ZstdError:  # too little text to train on: the text itself
-        base = b"".join(samples)[-ORDINARY_BYTES:].ljust(64)
-    out = Scorer(base, b" " + b" ".join(marked_words(ta, oa)) + b" " + base)
+    plain, toxic = ([w for t in x for w in windows(t)] for x in (oa, ta))
+    base = dictionary(plain, ORDINARY_BYTES * 3 // 2)[-ORDINARY_BYTES:].ljust(64)
+    trained = dictionary(toxic, TOXIC_BYTES, k=SEGMENT[0], d=SEGMENT[1])
+    out = Scorer(base, (b" " + b" ".join(marked_words(ta, oa)) + b" " + base, trained + base))
     x = np.array([out.features(t) for t in tb + ob])
     out.weights = _logistic(x, np.array([1.0] * len(tb) + [0.0] * len(ob)))
     return out

@@ -302,6 +302,34 @@ def test_held_out_accuracy(spark):
     assert all(held == (zlib.crc32(str(i).encode()) % 4 == 2) for i, held, *_ in got)
 
 
+def test_toxic_phrases_of_common_words():
+    r = random.Random(1)
+    common = ["".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randint(2, 7))) for _ in range(300)]
+    phrases = [[r.choice(common) for _ in range(5)] for _ in range(12)]
+
+    def text(toxic):
+        w = [r.choice(common) for _ in range(r.randint(40, 120))]
+        for p in r.sample(phrases, 3) if toxic else ():
+            at = r.randrange(len(w))
+            w[at:at] = p
+        return " ".join(w)
+
+    learned = [text(True) for _ in range(120)], [text(False) for _ in range(360)]
+    assert not toxicity.marked_words(*learned)  # no word by itself tells them
+    scorer = toxicity.fitted(*learned)
+    said = [[scorer.score(text(toxic)) >= toxicity.THRESHOLD for _ in range(n)] for toxic, n in ((True, 60), (False, 180))]
+    assert sum(said[0]) / 60 > 0.85 and sum(said[0]) / sum(map(sum, said)) > 0.75
+
+
+def test_held_out_recall_and_precision(spark):
+    sf = SF.replace("sf0.01", "sf0.1")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null")
+    truth = dict(data(labels.select("doc_id", "toxic")))
+    got = [(g[3], truth[g[0]]) for g in data(toxicity.score_documents(docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi"), labels)) if g[1]]
+    hit, said, true = sum(p and t for p, t in got), sum(p for p, _ in got), sum(t for _, t in got)
+    assert true > 100 and hit / true > 0.55 and hit / said > 0.7, (hit, said, true)
+
+
 def test_scores_of_awkward_rows(docs, spark):
     labels = spark.createDataFrame([(3, 1), (6, 0), (None, 1), (9, None)], "doc_id long, toxic int")
     got = data(toxicity.score_documents(docs, labels))
