@@ -1,8 +1,9 @@
 """SpotSigs fingerprints: chains of content words after common-word anchors.
 
-Every common word (of four languages) is an anchor; the signature is the anchor with the two content words that
-follow it. A text whose common words give no signature uses each of its words as an anchor, with what content words
-follow. A fingerprint is the sorted set of 32-bit signature hashes in base64; likeness is the Jaccard similarity of
+Every common word (of four languages) is an anchor, and so is each content word without a common word within REACH
+words on either side, so that no stretch of a text is bare and an edit changes only the anchors about it. The
+signature is the anchor with the two content words that follow it, or what there is of them before the text ends. A
+fingerprint is the sorted set of 32-bit signature hashes in base64; likeness is the Jaccard similarity of
 two sets, 1 for equal texts without words and 0 for a text without words against one with some.
 
 similar_fingerprints() joins a whole table with itself: sets are partitioned by length, only partitions whose lengths
@@ -27,6 +28,7 @@ from lumenarc.llm import kernels as K
 from lumenarc.llm.common import partitions, text_or_empty, utf8
 
 CHAIN = 2
+REACH = 5
 #: Common words, by language; fixed values.
 COMMON = {
     "en": "a an and are as at be by for from has have he in is it of on or that the they this to was were will with",
@@ -61,24 +63,19 @@ def signature_sets(chunk: K.Chunk) -> tuple[np.ndarray, np.ndarray]:
     anchor = np.isin(h, _ANCHORS)
     content = np.flatnonzero(~anchor)
     padded = np.concatenate([content, np.full(CHAIN, -1)])
-
-    def chains(at: np.ndarray, partial: bool) -> tuple[np.ndarray, np.ndarray]:
-        nxt = np.searchsorted(content, at, "right")
-        key, whole = h[at], np.ones(len(at), bool)
-        with np.errstate(over="ignore"):
-            for j in range(CHAIN):
-                w = padded[np.minimum(nxt + j, len(padded) - 1)]
-                ok = (w >= 0) & (owner[w] == owner[at])
-                whole &= ok
-                key = key * np.uint64(0xD6E8FEB86659FD93) + np.where(ok, h[w], np.uint64(0))
-        keep = np.ones(len(at), bool) if partial else whole
-        return owner[at][keep], (K.mix(key)[keep] >> np.uint64(32)).astype(np.uint32)
-
-    o, s = chains(np.flatnonzero(anchor), False)
-    bare = np.bincount(o, minlength=len(chunk)) == 0
-    if bare.any():
-        o2, s2 = chains(np.flatnonzero(bare[owner]), True)
-        o, s = np.concatenate([o, o2]), np.concatenate([s, s2])
+    near = anchor.copy()
+    for j in range(1, REACH + 1):
+        same = owner[j:] == owner[:-j]
+        near[j:] |= anchor[:-j] & same
+        near[:-j] |= anchor[j:] & same
+    at = np.flatnonzero(anchor | ~near)
+    nxt, key = np.searchsorted(content, at, "right"), h[at]
+    with np.errstate(over="ignore"):
+        for j in range(CHAIN):
+            w = padded[np.minimum(nxt + j, len(padded) - 1)]
+            ok = (w >= 0) & (owner[w] == owner[at])
+            key = key * np.uint64(0xD6E8FEB86659FD93) + np.where(ok, h[w], np.uint64(0))
+    o, s = owner[at], (K.mix(key) >> np.uint64(32)).astype(np.uint32)
     keys = np.unique(o.astype(np.uint64) << np.uint64(32) | s.astype(np.uint64))
     return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 

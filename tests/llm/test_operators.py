@@ -132,6 +132,27 @@ def test_spot_signatures(docs):
     assert all(0 <= g[5] <= 1 and 0 <= g[6] <= 1 for g in got)
 
 
+def test_no_stretch_is_bare():
+    common = {w for words in spotsigs.COMMON.values() for w in words.split()}
+
+    def brute(text):
+        w = text.split()
+        bare = lambda i: not common & set(w[max(0, i - spotsigs.REACH) : i + spotsigs.REACH + 1])
+        return {(w[i], *[x for x in w[i + 1 :] if x not in common][:2]) for i in range(len(w)) if w[i] in common or bare(i)}
+
+    r = random.Random(6)
+    listed = [f"item{i}" for i in range(60)]
+    plain = " ".join(r.choice([r.choice(sorted(common)), f"x{r.randrange(500)}"]) for _ in range(60))
+    one = [*listed[:20], "the", *listed[20:]]
+    texts = [" ".join(listed), " ".join(listed[:30]) + " " + plain, " ".join(one), " ".join(one[:40]) + " " + plain, plain, "the of", "one the", ""]
+    sets = spotsigs._sets(texts)
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for a, x in zip(sets, texts, strict=True):
+        assert len(a) == len(brute(x))
+        assert [spotsigs.likeness(a, b) for b in sets] == [like(brute(x), brute(y)) for y in texts]
+    assert spotsigs.likeness(sets[0], sets[1]) > 0.2 and spotsigs.likeness(sets[0], sets[2]) > 0.6 and spotsigs.likeness(sets[2], sets[3]) > 0.2
+
+
 def test_similar_fingerprints_lose_no_pair(docs):
     prints = spotsigs.fingerprints(docs)
     sets = {f: spotsigs.decoded(f) for _, f in data(prints) if f}
