@@ -252,8 +252,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     cuts = kinds.groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "single", "lo", "hi")).alias("cuts"))  # at most the runs of one text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for batch in batches:
-            for i in range(batch.num_rows):
+            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if key == before:  # a twin, next to its like as the join has sorted them
+                    continue
+                before = key
                 raw, wanted = batch.column(2)[i].as_py().encode("utf-8"), batch.column(3)[i].as_py()
                 take = pa.array(np.zeros(len(wanted), np.int64))
                 part = batch.slice(i, 1)
@@ -280,8 +284,11 @@ def _cut_mask(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 def with_cuts(docs: DataFrame) -> DataFrame:
     """k1, k2, doc_id, text and the window starts (los, his) that repeat."""
-    found = repeats(docs).groupBy(*KEY).agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))  # at most the runs and rims of one text
-    return keyed(docs).join(found, KEY, "left")
+    both = F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("hi").cast("long"))
+    # a set, as rows alike in id and text find the same windows: at most the runs and rims of one text, however many rows
+    found = repeats(docs).groupBy(*KEY).agg(F.collect_set(both).alias("found"))
+    los, his = F.transform("found", lambda x: F.shiftright(x, 32).cast("int")), F.transform("found", lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    return keyed(docs).join(found.select(*KEY, los.alias("los"), his.alias("his")), KEY, "left")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -58,6 +58,18 @@ def test_repeats_against_brute_force(docs, monkeypatch, hot):
     assert got == want and sum(w[2] > 0 for w in want) > 10
 
 
+def test_rows_alike_collect_their_runs_once(spark):
+    r = random.Random(8)
+    line = lambda: "".join(r.choice("abcdefgh ") for _ in range(500))
+    shared, own = line(), line()
+    table = [(None, own + shared)] * 30 + [(7, shared + own)] * 20 + [(8, line() + shared + line())]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    cuts = data(suffixes.with_cuts(df).select("doc_id", "los", "his"))
+    assert len(cuts) == len(table) and all(len(los) == len(his) == len(set(zip(los, his, strict=True))) < 100 for _, los, his in cuts)
+    want = Counter((t[0], *cut) for t, cut in zip(table, brute_cuts([t[1].encode() for t in table]), strict=True))
+    assert Counter(data(suffixes.remove_repeats(df))) == want
+
+
 # forest
 
 
