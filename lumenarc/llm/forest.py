@@ -36,6 +36,7 @@ REGION = 64
 #: Of 64 signature bits, at similarity 0.85 on average 4.8 differ, with deviation 2.1.
 MAX_BITS = 18
 FIRST_CHOICES = 2
+SALTS = 8
 #: Nodes of a block, and the text held before complete groups are worked off.
 BLOCK, BLOCK_BYTES = 1024, 4 << 20
 #: So many ids, at 16 bytes each, are broadcast to pick their texts; beyond that the texts are shuffled.
@@ -378,23 +379,43 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return labels(label.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """sketches of every row, and the node, label and component_id of every node."""
     sets = staged(sketches(docs), "sets")
     full = sets.where("doc_id is not null and node is not null")
     nodes = staged(full.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "nodes")
     label = linked_nodes(docs, nodes)
     named = staged(_with_label(nodes.select("node", F.col("rep.doc_id").alias("least")), label, "node", "label"), "named")
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    component = named.join(smallest, "label").select("node", "component_id")
+    return sets, named.join(smallest, "label").select("node", "label", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    sets, component = grouped(docs)
+    component = component.drop("label")
     out = sets.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(component, "node", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without all but the row of smallest id of each near-duplicate group; rows that repeat a kept id and text go too."""
-    found = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.where("doc_id is not null")
-    out = named.join(found, named["doc_id"].cast("long") == found["kept_id"], "left_semi")
-    return out.unionByName(docs.where("doc_id is null"))
+    """docs with one row of each near-duplicate group, that of smallest id and then least hash; rows with a null id stay.
+
+    Rows without words are no group; those alike in id and text go too. Minima and counts are grouped on hashes alone,
+    and the rows of one id and text are spread over SALTS tasks by where they are read, so a group may have any size.
+    """
+    sets, component = grouped(docs)
+    # a row without words stands alone, by its id and text
+    light = sets.where("doc_id is not null").groupBy("doc_id", "row", "node").agg(F.count("*").alias("n"))
+    light = light.join(component.select("node", "label"), "node", "left")
+    alone = light.where("label is null").select("doc_id", "row", "n")
+    first = light.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "row", "n")).alias("r")).select("r.*")
+    picked = staged(first.unionByName(alone), "picked")
+    rows = docs.where("doc_id is not null").withColumns({"__id": F.col("doc_id").cast("long"), "__row": F.xxhash64(text_or_empty()), "__salt": F.spark_partition_id() % SALTS})
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt")
+    wanted = picked.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), salts, F.col("n").alias("__n"))
+    found = rows.join(wanted, ["__id", "__row", "__salt"])
+    # the least of those that repeat each other; the minimum of each task goes on
+    once = found.where("__n > 1").groupBy("__id", "__row").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return found.where("__n = 1").select(*docs.columns).unionByName(once).unionByName(docs.where("doc_id is null"))

@@ -129,6 +129,18 @@ def test_one_of_each_keeps_clean_documents(docs):
     assert {g[0] for g in got} == want
 
 
+def test_one_row_of_each_group(spark):
+    r = random.Random(9)
+    text = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(40))
+    a, b, c = text(), text(), text()
+    # id 1 thrice alike; id 2 a copy of it; id 3 with texts of two groups, one of them that of id 1; rows without words
+    table = [(1, a)] * 3 + [(2, a), (3, a), (3, b), (4, b), (5, c), (6, None), (6, None), (6, ""), (None, a), (None, a)]
+    got = Counter(data(forest.one_of_each(spark.createDataFrame(table, "doc_id long, text string").repartition(3))))
+    empty_row = [k for k in got if k[0] == 6]
+    assert len(empty_row) == 1 and not empty_row[0][1]
+    assert got == Counter([(1, a), (3, b), (5, c), *empty_row, (None, a), (None, a)])
+
+
 # spot signatures
 
 
