@@ -44,6 +44,8 @@ _FURNITURE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disclaimer|disqus|footer|gdpr|header|login|masthead|menu|modal|nav\w*|newsletter|notices?|notification|pagination|popup|promo\w*|recommended|related|repl(?:y|ies)|responses?|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|tags?|toolbar|widgets?)(?=$|[\s_-]|\d)",
     re.IGNORECASE,
 )
+#: Names, from their start, of articles that are no main text: "tag-news" and "has-sidebar" are on main articles as well.
+_ASIDE_NAME = re.compile(r"(?:^|\s)(?:comments?|commentlist|disqus|repl(?:y|ies)|responses?|related|recommended|teasers?|promo\w*|ads?|advert\w*|widgets?)(?=$|[\s_-]|\d)", re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
 _TOKEN = re.compile(
@@ -67,7 +69,7 @@ def blocks(html: str | None) -> list[_Block]:
     out: list[_Block] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, furniture, article
     furniture = article = False
-    own = heading = False
+    own = heading = begun = False  # begun: the main element or first article has been met
     link = 0
     block = _Block(False, False, False)
 
@@ -102,11 +104,14 @@ def blocks(html: str | None) -> list[_Block]:
             named = bool(attributes) and (any(_FURNITURE_NAME.search(next(filter(None, a), "")) for a in _ATTRIBUTE.findall(attributes)) or bool(_HIDDEN.search(attributes)))
             own, heading = False, tag in _HEADING
             if tag in ("article", "main"):
-                stack.clear()
+                named = bool(attributes) and tag == "article" and (any(_ASIDE_NAME.search(next(filter(None, a), "")) for a in _ATTRIBUTE.findall(attributes)) or bool(_HIDDEN.search(attributes)))
+                if not begun and not named and not (stack and stack[-1][1]):
+                    stack.clear()
+                    begun = True
                 link = 0
             if tag in _FRAME:
                 inside = bool(stack) and stack[-1][2] or tag in ("article", "main")
-                stack.append((tag, bool(stack) and stack[-1][1] or tag in _FURNITURE_TAG or tag == "header" and not inside or named and tag not in ("article", "main"), inside))
+                stack.append((tag, bool(stack) and stack[-1][1] or tag in _FURNITURE_TAG or tag == "header" and not inside or named, inside))
             else:
                 own = named and tag not in ("body", "html")
         furniture, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)

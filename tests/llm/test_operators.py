@@ -196,6 +196,17 @@ def test_main_text(spark):
     assert got[2][2:] == got[3][2:] == ("", 0) and blocks.extract(table).count() == 4
 
 
+@pytest.mark.parametrize("around", ["<section id=comments>{}</section>", "<aside>{}</aside>", "<div class='comments'>{}</div>", "{}"])
+@pytest.mark.parametrize("inside", [False, True])
+def test_articles_of_readers_are_no_main_text(around, inside):
+    said = "I read all of this twice, and I must say that it is the best thing that I have seen here in a very long time."
+    own = " class='comment depth-1' id=comment-12" if around == "{}" else ""
+    remarks = around.format(f"<article{own}><p>{said}</p></article><article{own}><p>Me too. {said}</p></article>")
+    body = "The first paragraph of the article is long enough to be read, and it has several more words than a remark."
+    page = f"<body><nav><a href=/>Home</a></nav><article class='post tag-news has-sidebar'><h1>A heading here</h1><p>{body}</p><p>Second. {body}</p>{remarks * inside}</article>{remarks * (not inside)}<footer>Copyright</footer></body>"
+    assert blocks.main_text(page) == f"A heading here\n\n{body}\n\nSecond. {body}"
+
+
 # packing
 
 
