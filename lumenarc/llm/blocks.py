@@ -1,10 +1,14 @@
 """Main text of HTML pages from flat text blocks.
 
-A page is cut into blocks at block-level tags. Each block has its words, its link density, both of its neighbours,
-and three marks of where it stands; a decision tree, grown on the small labelled table below, keeps or drops it.
+A page is cut into blocks at block-level tags. A block has its words and its link density, those of its neighbours (two
+on either side by words, one by density), whether it is a heading, and one mark of where it stands: 1 in running text
+that stands apart (footers, forms, comments, notices), -1 inside the page's article, else 0. Menus, link lists and
+adverts outside the article carry no mark, so words and link density alone tell them. A decision tree, grown on the
+small labelled table below, keeps or drops each block.
 
 Nulls: a null page is empty and has no text. Pages without kept blocks give an empty text. Repeated rows give repeated
-results; long pages are read whole; an empty table gives no rows. Extra columns of the input are not read.
+results; long pages are read whole; tags that never close or are cut off end with the page; an empty table gives no
+rows. Extra columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -20,28 +24,73 @@ from pyspark.sql import functions as F
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
-#: Labelled blocks: words, link density, words and density of the block before and after, furniture, article, heading; main text.
+#: Labelled pages, a line each, block by block: + main text or - not, words, @ link density, h heading, ! apart, = article, * how many alike.
 LABELLED = """
-1 1.0 0 0.0 1 1.0 1 0 0 0 | 1 1.0 1 1.0 8 0.0 1 0 0 0 | 8 0.0 1 1.0 9 0.0 1 0 0 0 | 9 0.0 8 0.0 9 0.0 0 1 1 1 | 9 0.0 9 0.0 70 0.0 0 1 0 1
-70 0.0 9 0.0 40 0.0 0 1 0 1 | 1 0.0 70 0.0 40 0.0 0 1 0 1 | 40 0.02 1 0.0 12 0.1 0 1 0 1 | 12 0.1 40 0.0 0 0.0 1 0 0 0 | 2 0.0 35 0.0 60 0.0 0 1 0 1
-3 0.0 20 0.0 1 1.0 0 1 1 1 | 25 0.5 30 0.0 30 0.0 0 1 0 1 | 6 1.0 40 0.0 6 1.0 1 1 0 0 | 30 0.0 6 1.0 25 0.0 1 1 0 0 | 25 0.0 30 0.0 40 0.0 1 0 0 0
-80 0.0 3 0.0 50 0.0 0 0 0 1 | 50 0.05 80 0.0 30 0.0 0 0 0 1 | 30 0.0 50 0.05 4 1.0 0 0 0 1 | 7 0.0 0 0.0 80 0.0 0 0 1 1 | 4 1.0 30 0.0 4 1.0 0 0 0 0
-5 1.0 4 1.0 5 1.0 0 0 0 0 | 3 0.0 4 1.0 3 1.0 0 0 0 0 | 2 0.0 0 0.0 2 1.0 0 0 0 0 | 12 0.8 6 1.0 5 1.0 0 0 0 0 | 18 0.0 60 0.0 50 0.0 0 0 0 1
-9 0.0 60 0.0 70 0.0 0 0 0 1 | 4 0.0 3 1.0 5 1.0 0 0 0 0 | 120 0.0 90 0.0 15 0.0 1 0 0 0 | 15 0.0 120 0.0 3 0.5 1 0 0 0 | 5 0.0 40 0.0 45 0.0 1 0 1 0
-1 1.0 30 0.0 30 0.0 0 1 0 1 | 60 0.0 5 0.0 12 0.0 1 1 0 0 | 22 0.3 40 0.0 35 0.0 0 1 0 1 | 45 0.9 3 0.0 20 1.0 0 0 0 0 | 6 0.0 12 1.0 2 0.0 0 0 1 0
-80 0.0 40 0.0 3 0.6 0 0 0 1 | 60 0.02 50 0.0 4 1.0 0 0 0 1 | 100 0.0 20 0.0 8 0.0 0 0 0 1 | 45 0.0 60 0.0 1 1.0 0 0 0 1 | 200 0.01 0 0.0 0 0.0 0 0 0 1
-35 0.0 10 0.0 60 0.0 1 0 0 0 | 90 0.0 30 0.0 40 0.0 1 0 0 0 | 20 0.1 8 0.0 55 0.0 1 0 0 0 | 50 0.0 80 0.0 70 0.0 1 1 0 0 | 14 0.0 3 1.0 48 0.0 1 1 0 0
-9 1.0 60 0.0 1 1.0 1 0 0 0 | 150 0.0 70 0.0 100 0.0 1 0 0 0 | 70 0.1 20 0.0 33 0.0 1 0 0 0 | 2 0.0 9 0.0 80 0.0 1 0 1 0 | 11 0.0 150 0.0 30 0.0 1 1 1 0
-1 0.0 1 0.0 48 0.0 0 1 0 1 | 2 0.0 12 0.0 19 0.0 0 1 0 1 | 2 0.0 11 0.0 2 0.0 0 1 1 1 | 2 0.0 2 0.0 32 0.0 0 1 0 1 | 1 0.0 9 0.0 1 0.0 0 1 1 1
-3 0.0 1 1.0 11 0.0 0 1 1 1 | 1 0.0 17 0.0 8 0.0 0 1 0 1 | 2 0.0 2 0.0 2 0.0 0 1 0 1 | 1 0.0 12 0.0 161 0.0 0 1 0 1 | 1 0.0 2 0.3 1 1.0 0 1 1 1
+-1@1*6 -8 +9h= +70= +40= +2= +25= -12!
+-1@1*6 -13 +11h= +55= +1= +1= +30= +160= -16!
+-1@1 -2@1 -1@1 -4 +1h= +2= +1= +3= +2= -7!
+-1@1*6 -6 +20h= +12= +90= +9= -9!
+-1@1*6 -9 +8h= +7= +11= +12= +1= +48= +17= +8= -13!
+-1@1*6 -10 +5h= +33= +15@.2= +3@.34= +60= +5= -11!
+-2@1*5 +12h= +44= +9@.6= +70= -3@1= -3@1= -4@1= -8!
+-1@1 -3@1 -5 +10h= +2@.5= +65= +22@.8= +40= +1@1= +38= -15!
+-1@1*6 -12 +3h= +1@1= +50= +4= -6!
+-3@1 -3@1 +7h +80 +50@.05 +30 -4@1 -5@1
+-2@1*5 +10h +60 +45 +18 +75 -3h -6@1 -7@1 -5@1 -10!
+-15 -2@1 -2@1 -3@1 +8h +65 +40@.1 +55 -9
+-2@1 -1@1 -18@.1 +9h +120 +80 +60 -2 -14 -2 -22 -2 -9 -6@1 -11
+-1@1 -2@1 -24 +11h +66 +70 -3 -30 -3 -17 -3 -26 -2@1 -2@1
+-4@1 -5@1 +6h -5@.2 +95 +9 +85 +40 -12 -14
+-3 -2 -2 +12h +58 +33 +47@.04 -11 -8 -3
+-2@1*5 -7@.9 -12@.8 +9h +100 +24@.3 +110 -10@.5 -6@1 -6@1
++7h +35 +60 +28
++150 +90 +40
++5h +45 +5h +70 +4h +55 -9
+-1@1*6 +4h +38 +3 +42 +12 +61 +26 -5 -2@1 -13
+-2@1 -3@1 -9@.1 -11 +13h +72 +30 -16 -2@1 -2@1
+-2@1*5 +10h +25 +21 +32 -4@1 -4@1 -14
+-1@1*6 -20 +6h +27 +50 +19 +44 -3h -15 -3h -21 -6@1
+-6! -30! +8h= +40= +60= -3h! -50! -2! -80! -2! -35! -12!
+-1@1 -3! +9h= +66= +20@.1= -25! +70= -8@1! -8@1! -90! -10!
+-2@1 -5! -40! +7h +77 +58 -2h! -45! -120! -28! -9!
+-1@1*6 +9h= +150= -60! -200! -33! -15! -5@.5!
+-4h! -22! -3h! -18! +55 +70 +48 -10!
+-5@1 -5@1 -5@1 -5@1 -8@1 -7@.9 -4@1
+-2@1 -3@.67 -2@.5 +14h= +31= +6= +29= +2h= +51= -17@.2!
+-1@1*6 -14 +16h= +21= +1= +2= +1= +3= -16!
+-2@1*5 -7 +24h= +5= +18= -12!
+-1@1*6 -11 +8h= +150= +20= -9!
+-1@1*6 -5 +12h= +102= +61= -14!
+-1@1*6 -9 +10h= +120= +2= +95= -10!
+-1@1*6 -12 +6h= +130= +7= -7!
+-12@1 -26@.9 -14@1 -31@1 -28@1 -45@.9 -16@1
+-2@1 +9h +48 +1 +52 +2 +1 +61 -24@1 -27@1 -30@1 -25@1
++8h +70 +2 +44 -13@1 -35@1 -26@.8 -9
+-1@1*6 +7h +26 +2 +30 +3 +1 +41 +55 -40@.9 -38@1 -1@1
++6h +31 +1 +2 +1 +27 +2 +60
+-1@1*6 -8 +5h= +48= +33= -8!
+-1@1*6 -12 +4h= +160= -12!
+-1@1*6 -5 +3h= +70= +1= -14!
+-11 -1@1 -2@1 +5h +37 +1 +74 +41 -1 -8 -2 -12 -9@1 -4@1 -9
+-2@1 -1@1 +8h +61 +40 -1 -11 -1 -7 -2 -14 -13
+-1@1*6 -7 +9h= +36= +31= -13!
+-1@1*6 -9 +9h= +2= +29= -7!
+-1@1*6 -10 +6h= +39= +60= +14= -10!
+-1@1*6 -6 +12h= +90= +36= -15!
 """
 
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 _FRAME = frozenset("article aside details dialog div footer form header main menu nav ol section select table ul fieldset figure dl blockquote span button td".split())
-_FURNITURE_TAG = frozenset("nav footer aside form menu dialog select button fieldset".split())
+_APART_TAG = frozenset("footer aside form dialog select button fieldset".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-_FURNITURE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disclaimer|disqus|footer|gdpr|header|login|masthead|menu|modal|nav\w*|newsletter|notices?|notification|pagination|popup|promo\w*|recommended|related|repl(?:y|ies)|responses?|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|tags?|toolbar|widgets?)(?=$|[\s_-]|\d)",
+#: Class, id and role names of running text that stands apart, wherever it is.
+_APART_NAME = re.compile(
+    r"(?:^|[\s_-])(?:banner|comments?|commentlist|consent|cookies?|disclaimer|disqus|footer|gdpr|login|masthead|modal|newsletter|notices?|notification|popup|repl(?:y|ies)|responses?|sidebar|signup|subscribe|widgets?)(?=$|[\s_-]|\d)",
+    re.IGNORECASE,
+)
+#: Names of lists and adverts, which are told by words and density but for those set into an article.
+_INSET_NAME = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|breadcrumbs?|menu|nav\w*|pagination|promo\w*|recommended|related|share|sharing|skip|social|sponsor\w*|tags?|toolbar)(?=$|[\s_-]|\d)",
     re.IGNORECASE,
 )
 #: Names, from their start, of articles that are no main text: "tag-news" and "has-sidebar" are on main articles as well.
@@ -56,28 +105,25 @@ _TOKEN = re.compile(
 
 
 class _Block:
-    __slots__ = ("parts", "link_parts", "furniture", "article", "heading", "text", "n", "density")
+    __slots__ = ("parts", "link_parts", "mark", "heading", "text", "n", "density")
 
-    def __init__(self, furniture: bool, article: bool, heading: bool):
+    def __init__(self, mark: int, heading: bool):
         self.parts: list[str] = []
         self.link_parts: list[str] = []
-        self.furniture, self.article, self.heading = furniture, article, heading
+        self.mark, self.heading = mark, heading
+
+
+def _names(attributes: str | None, pattern: re.Pattern) -> bool:
+    return bool(attributes) and any(pattern.search(next(filter(None, a), "")) for a in _ATTRIBUTE.findall(attributes))
 
 
 def blocks(html: str | None) -> list[_Block]:
     """The page's blocks that have text, in order."""
     out: list[_Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, furniture, article
-    furniture = article = False
-    own = heading = begun = False  # begun: the main element or first article has been met
+    stack: list[tuple[str, bool, bool]] = []  # tag, stands apart, in the article
+    own = heading = begun = False  # own: of this tag only; begun: the main element or first article has been met
     link = 0
-    block = _Block(False, False, False)
-
-    def fresh() -> None:
-        nonlocal block
-        if block.parts:
-            out.append(block)
-        block = _Block(furniture or own, article, heading)
+    block = _Block(0, False)
 
     for m in _TOKEN.finditer(html or ""):
         _, closing, tag, attributes, text = m.groups()
@@ -101,25 +147,30 @@ def blocks(html: str | None) -> list[_Block]:
                     pass
             own = heading = False
         else:
-            named = bool(attributes) and (any(_FURNITURE_NAME.search(next(filter(None, a), "")) for a in _ATTRIBUTE.findall(attributes)) or bool(_HIDDEN.search(attributes)))
-            own, heading = False, tag in _HEADING
+            apart, inside = stack[-1][1:] if stack else (False, False)
+            hidden = bool(attributes) and bool(_HIDDEN.search(attributes))
+            heading = tag in _HEADING
             if tag in ("article", "main"):
-                named = bool(attributes) and tag == "article" and (any(_ASIDE_NAME.search(next(filter(None, a), "")) for a in _ATTRIBUTE.findall(attributes)) or bool(_HIDDEN.search(attributes)))
-                if not begun and not named and not (stack and stack[-1][1]):
+                own = hidden or tag == "article" and _names(attributes, _ASIDE_NAME)
+                if not begun and not own and not apart:
                     stack.clear()
                     begun = True
-                link = 0
-            if tag in _FRAME:
-                inside = bool(stack) and stack[-1][2] or tag in ("article", "main")
-                stack.append((tag, bool(stack) and stack[-1][1] or tag in _FURNITURE_TAG or tag == "header" and not inside or named, inside))
+                inside, link = True, 0
             else:
-                own = named and tag not in ("body", "html")
-        furniture, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                own = hidden or tag in _APART_TAG or tag == "header" and not inside or _names(attributes, _APART_NAME) or inside and (tag in ("nav", "menu") or _names(attributes, _INSET_NAME))
+            if tag in _FRAME:
+                stack.append((tag, apart or own, inside))
+                own = False
+            elif tag in ("body", "html"):
+                own = False
         if tag in _BLOCK:
             if tag != "p" and tag not in _HEADING:
                 link = 0 if tag != "li" else link
-            fresh()
-    fresh()
+            if block.parts:
+                out.append(block)
+            apart, inside = stack[-1][1:] if stack else (False, False)
+            block = _Block(1 if apart or own else -1 if inside else 0, heading)
+    out.append(block)
     kept = []
     for b in out:
         b.text = " ".join(unescape("".join(b.parts)).split())
@@ -130,13 +181,18 @@ def blocks(html: str | None) -> list[_Block]:
     return kept
 
 
+def features(found: list[tuple[int, float, bool, int]]) -> list[tuple[float, ...]]:
+    """found: words, link density, heading and mark of a page's blocks; a row of numbers for each block."""
+    n = [0, 0, *(f[0] for f in found), 0, 0]
+    d = [0.0, *(f[1] for f in found), 0.0]
+    return [(n[i + 2], d[i + 1], n[i + 1], d[i], n[i + 3], d[i + 2], n[i], n[i + 4], h, mark) for i, (_, _, h, mark) in enumerate(found)]
+
+
 def rows(found: list[_Block]) -> list[tuple[float, ...]]:
-    """Features of each block, in the order of LABELLED."""
-    sizes = [(0, 0.0), *((b.n, b.density) for b in found), (0, 0.0)]
-    return [(b.n, b.density, *sizes[i], *sizes[i + 2], b.furniture, b.article, b.heading) for i, b in enumerate(found)]
+    return features([(b.n, b.density, b.heading, b.mark) for b in found])
 
 
-def grown(table: list[tuple[tuple[float, ...], int]], depth: int = 6, least: int = 1):
+def grown(table: list[tuple[tuple[float, ...], int]], depth: int = 8, least: int = 1):
     """A decision tree by Gini impurity: a class, or (feature, threshold, at most, above)."""
     y = [label for _, label in table]
     if depth == 0 or len(set(y)) == 1 or len(y) < 2 * least:
@@ -160,11 +216,21 @@ def grown(table: list[tuple[tuple[float, ...], int]], depth: int = 6, least: int
     return f, t, grown([r for r in table if r[0][f] <= t], depth - 1, least), grown([r for r in table if r[0][f] > t], depth - 1, least)
 
 
+def labelled() -> list[tuple[tuple[float, ...], int]]:
+    """The labelled table: features and label of each block."""
+    out = []
+    for page in LABELLED.strip().splitlines():
+        cells = [re.fullmatch(r"([+-])(\d+)(?:@([\d.]+))?(h?)([!=]?)(?:\*(\d+))?", c).groups() for c in page.split()]
+        cells = [c for c in cells for _ in range(int(c[5] or 1))]
+        found = [(int(n), float(d or 0), h == "h", {"!": 1, "=": -1, "": 0}[mark]) for _, n, d, h, mark, _ in cells]
+        out += zip(features(found), [int(c[0] == "+") for c in cells], strict=True)
+    return out
+
+
 @cache
 def trained():
     """The tree of the labelled table."""
-    cells = [[float(v) for v in row.split()] for line in LABELLED.strip().splitlines() for row in line.split("|")]
-    return grown([(tuple(c[:-1]), int(c[-1])) for c in cells])
+    return grown(labelled())
 
 
 def is_main(tree, x: tuple[float, ...]) -> bool:

@@ -3,9 +3,11 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from html import unescape
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,6 +209,96 @@ def test_articles_of_readers_are_no_main_text(around, inside):
     assert blocks.main_text(page) == f"A heading here\n\n{body}\n\nSecond. {body}"
 
 
+PLAIN = "The committee met on Tuesday to discuss the plans for the new bridge over the river, which have been delayed by floods and by a lack of money since the spring."
+
+
+def plain_page():
+    """A page whose tags and names tell nothing, and its main text."""
+    main = ["New bridge plans delayed", PLAIN, "Why?", f"{PLAIN} {PLAIN}", PLAIN]
+    before = ["We use cookies to make this site better. By staying you accept that.", "<a href=/>Home</a>", "<a href=/a>About us</a>"]
+    after = ["Bob", "Nice post, thank you so much for it!", "Ann Lee", "I think that they should build a tunnel and not a bridge.", "<a href=/1>Mayor opens the new school in the old town hall</a>", "Copyright 2024 The Daily Example, all rights reserved."]
+    return "".join(f"<div class='x'>{t}</div>" if i != 3 else f"<h1>{t}</h1>" for i, t in enumerate([*before, *main, *after])), main
+
+
+def test_plain_pages_are_told_by_words_and_density():
+    page, main = plain_page()
+    assert blocks.main_text(page) == "\n\n".join(main)
+
+
+def brute_blocks(html):
+    """Blocks of a well-formed page with lower-case tags: (text, words, density, heading, mark)."""
+    out, stack, text, linked, link = [], [], "", "", False
+    html = re.sub(r"(?s)<(script|style|title)\b.*?</\1>|<!--.*?-->|<!.*?>", "", html)
+
+    def close():
+        nonlocal text, linked
+        words = unescape(text).split()
+        if words:
+            tags = [t for t, _ in stack]
+            mark = 1 if "footer" in tags else -1 if "article" in tags else 0
+            out.append((" ".join(words), len(words), len(linked.split()) / len(words), "h1" in tags, mark))
+        text = linked = ""
+
+    for slash, tag, rest, chars in re.findall(r"<(/?)([a-z0-9]+)([^>]*)>|([^<]+)", html):
+        if chars:
+            text, linked = text + chars, linked + chars * link
+        elif tag == "a":
+            link = not slash
+        elif tag == "br":
+            text += " "
+        elif tag in ("p", "ul", "li", "div", "nav", "article", "footer", "h1", "body", "html", "head"):
+            close()
+            if not slash and tag != "p":
+                stack.append((tag, rest))
+            while slash and tag in [t for t, _ in stack] and stack.pop()[0] != tag:
+                pass
+    close()
+    return out
+
+
+def test_blocks_of_all_pages_against_brute_force():
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    tree, changed, total = blocks.trained(), Counter(), 0
+    for p in pages:
+        brute = brute_blocks(p["html"])
+        found = blocks.blocks(p["html"])
+        assert [(b.text, b.n, b.density, b.heading, b.mark) for b in found] == brute
+        n, d = [0, 0, *(b[1] for b in brute), 0, 0], [0, *(b[2] for b in brute), 0]
+        x = [(n[i + 2], d[i + 1], n[i + 1], d[i], n[i + 3], d[i + 2], n[i], n[i + 4], b[3], b[4]) for i, b in enumerate(brute)]
+        assert x == blocks.rows(found)
+        verdict = [walked(tree, row) for row in x]
+        assert blocks.main_text(p["html"]) == "\n\n".join(b[0] for b, v in zip(brute, verdict, strict=True) if v)
+        assert verdict == [b[4] == -1 for b in brute]  # these pages say which of their elements is the article
+        # neither words nor density decides alone: the rest of the row stays, one kind of number goes
+        total += len(x)
+        changed["words"] += differing(tree, brute, [(60, b[2], b[3], b[4]) for b in brute])
+        told = blocks.blocks(re.sub(r"(<li><a [^>]*>)([^<]*)", lambda m: m[1] + (m[2] + " ") * 40, p["html"]))  # whole sentences as menus
+        told = [(b.text, b.n, b.density, b.heading, b.mark) for b in told]
+        assert [walked(tree, row) for row in blocks.features([b[1:] for b in told])] == verdict
+        changed["density"] += differing(tree, told, [(b[1], 0.0, b[3], b[4]) for b in told])
+    assert changed["words"] > total / 50 and changed["density"] > total / 50, (changed, total)
+
+
+def differing(tree, brute, other):
+    return sum(walked(tree, a) != walked(tree, b) for a, b in zip(blocks.features([b[1:] for b in brute]), blocks.features(other), strict=True))
+
+
+def walked(tree, row):
+    return bool(tree) if isinstance(tree, int) else walked(tree[2] if row[tree[0]] <= tree[1] else tree[3], row)
+
+
+def test_awkward_pages(spark):
+    long = "<article>" + "<p>one two three four five six seven eight nine ten &amp; more" * 20000 + "</article>"
+    pages = [(1, "u", long, 5), (2, "u", "<<<>><p", 5), (3, "u", "<article><p>Never closed &lt; text of the page", 5), (4, None, "no tags &#169; at all, only words", 5), (4, None, None, 5), (None, "u", "<a href='", 5)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string, text int").selectExpr("*", "text as n_chars", "url as `a.b`")
+    got = sorted(data(blocks.extract(table)), key=repr)
+    assert [g[0] for g in got] == [1, 2, 3, 4, 4, None]
+    by = {g[:2]: g[2] for g in got if g[2]}
+    assert by[1, "u"] == "\n\n".join(["one two three four five six seven eight nine ten & more"] * 20000)
+    assert by[3, "u"] == "Never closed < text of the page"
+    assert blocks.extract(table.limit(0)).collect() == [] and all(g[3] == len(g[2]) for g in got)
+
+
 # packing
 
 
