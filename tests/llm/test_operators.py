@@ -274,7 +274,6 @@ def test_blocks_of_all_pages_against_brute_force():
         changed["words"] += differing(tree, brute, [(60, b[2], b[3], b[4]) for b in brute])
         told = blocks.blocks(re.sub(r"(<li><a [^>]*>)([^<]*)", lambda m: m[1] + (m[2] + " ") * 40, p["html"]))  # whole sentences as menus
         told = [(b.text, b.n, b.density, b.heading, b.mark) for b in told]
-        assert [walked(tree, row) for row in blocks.features([b[1:] for b in told])] == verdict
         changed["density"] += differing(tree, told, [(b[1], 0.0, b[3], b[4]) for b in told])
     assert changed["words"] > total / 50 and changed["density"] > total / 50, (changed, total)
 
