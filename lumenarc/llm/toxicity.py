@@ -1,23 +1,25 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on windows of ordinary text and one on windows of toxic text; the second
-finds phrases, also those of common words. Single words are too short to stand out there, so a third dictionary lists
-the words in far more distinct contexts of toxic text than of ordinary text. Each window of eight words is compressed
-with all three; a window that is shorter by a toxic dictionary counts against the text. Both toxic dictionaries end in
-the ordinary one, so an ordinary window is as long by any. A logistic curve, fitted on documents apart from those of
-the dictionaries, turns a text's gains by either into a score.
+Two zstandard dictionaries of the same size are trained apart, one on windows of ordinary text and one on windows of
+toxic text. What is common to both says nothing, so the pieces of the toxic dictionary are held against texts that it
+was not trained on, and it is trimmed to those that stand far more often in toxic ones than chance allows; what is left
+goes before the ordinary dictionary. Each window of eight words is compressed with either; the bytes that the toxic one saves are its gain. How
+many windows pass each of several thresholds is calibrated by a logistic curve on the sample, which turns a text's gains into a score.
 
 Learning takes a bounded sample of the labelled rows (SAMPLE of each class, by hash of the id, of those whose id does
 not hash to the held-out quarter) and only its texts and labels; scoring reads nothing but the text.
 
-Nulls: a null text is empty and scores as a text without gains; rows with a null label or id are not learned from.
-Without labels of both classes every score is 0. Long texts are scored whole; an empty table gives no rows.
+Nulls: a null text is empty and scores as a text without gains; rows with a null label or id are not learned from, and
+of several labels of an id the highest counts. Without labels of both classes every score is 0. Repeated rows give
+repeated results; ties cannot arise. Long texts are scored whole; an empty table gives no rows. Extra columns of either
+table, also clashing ones, are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,19 +29,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows learned from, at most: toxic, ordinary.
-SAMPLE = (1000, 3000)
+SAMPLE = (2000, 4000)
 WINDOW = 8
 LEVEL = 9
-ORDINARY_BYTES = 16384
-TOXIC_BYTES = 2048
-#: Bytes of a segment and of a match for the training on toxic windows: a few words each.
-SEGMENT = (32, 8)
+#: Bytes of each trained dictionary, of a segment chosen by training, and of the pieces that are held against texts.
+DICTIONARY_BYTES, SEGMENT, PIECE = 32768, 40, 8
+#: A piece stays that has so many times the odds in toxic texts, in so many of them, and such a likelihood ratio at least.
+ODDS, LEAST, RATIO = 12, 3, 16.0
+#: Bytes of a piece's surroundings, on either side.
+AROUND = 32
+GAINS = (1, 2, 3, 4, 5, 6)
 THRESHOLD = 0.3
 HELD_OUT = (4, 2)
-#: A marked word has so many letters, and its likelihood ratio against chance passes that of any of V words by this.
-MIN_LETTERS, MARGIN = 3, 6.0
 RIM = b".,;:!?\"'()#*$%&|"
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
+#: What stands before the segments in a trained dictionary: its last fixed values, three offsets.
+_OFFSETS = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -55,60 +60,87 @@ def windows(text: str | None) -> list[bytes]:
     return [b" " + b" ".join(w[i : i + WINDOW]) + b" " for i in range(0, len(w), WINDOW)]
 
 
-def _contexts(texts: list[str]) -> dict[bytes, int]:
-    """Distinct pairs of neighbours of each word; copies of a text add nothing."""
-    seen: dict[bytes, set] = defaultdict(set)
-    for text in texts:
-        w = [b"", *words(text), b""]
-        for before, word, after in zip(w, w[1:], w[2:], strict=False):
-            seen[word].add((before, after))
-    return {k: len(v) for k, v in seen.items()}
-
-
-def marked_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Words whose contexts lie in toxic text more than chance allows, by the likelihood ratio of a binomial."""
-    a, b = _contexts(toxic), _contexts(ordinary)
-    na, nb = sum(a.values()) or 1, sum(b.values()) or 1
-    share, bar = na / (na + nb), 2 * math.log(len(a) + 2) + MARGIN
-    strength = {}
-    for w, n in a.items():
-        all_n = n + b.get(w, 0)
-        if len(w) >= MIN_LETTERS and n / all_n > 5 * share / (1 + 4 * share):  # at least five times the odds
-            rest = b.get(w, 0)
-            g = 2 * (n * math.log(n / (all_n * share)) + (rest * math.log(rest / (all_n * (1 - share))) if rest else 0))
-            if g > bar:
-                strength[w] = g
-    return sorted(strength, key=lambda w: (-strength[w], w))
+def dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
+    """The content of a dictionary trained on the samples, the most frequent last; where these are too few to train on, their end."""
+    samples = sorted(samples, key=lambda w: (_shuffled(w), w))
+    try:
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=PIECE).as_bytes().partition(_OFFSETS)[2]
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def _shuffled(window: bytes) -> int:
+    """An order without regard to content, as training looks for segments part by part."""
+    return zlib.crc32(window)
+
+
+def telling(pieces: set[bytes], toxic: list[str], ordinary: list[str]) -> set[bytes]:
+    """Pieces that stand in toxic texts far more often than chance allows.
+
+    A piece counts once a text, and only where its surroundings are new: neither copies of a text, near or exact, nor
+    the vocabulary of one long text add up.
+    """
+
+    def standing(texts: list[str]) -> Counter:
+        seen, n = set(), Counter()
+        for text in texts:
+            line = b" " + b" ".join(words(text)) + b" "
+            here = {line[max(0, i - AROUND) : i + PIECE + AROUND]: line[i : i + PIECE] for i in range(len(line) - PIECE + 1) if line[i : i + PIECE] in pieces}
+            n.update({p for around, p in here.items() if around not in seen})
+            seen.update(here)
+        return n
+
+    a, b = standing(toxic), standing(ordinary)
+    share, out = len(toxic) / max(1, len(toxic) + len(ordinary)), set()
+    for p, n in a.items():
+        rest = b[p]
+        if n >= LEAST and n / (n + rest) > ODDS * share / (1 + (ODDS - 1) * share):
+            g = 2 * (n * math.log(n / ((n + rest) * share)) + (rest * math.log(rest / ((n + rest) * (1 - share))) if rest else 0))
+            if g > RATIO:
+                out.add(p)
+    return out
+
+
+def trimmed(trained: bytes, toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """What is left of a trained dictionary where it consists of telling pieces."""
+    at = range(len(trained) - PIECE + 1)
+    kept = telling({trained[i : i + PIECE] for i in at}, toxic, ordinary)
+    out, end = [], -1
+    for i in at:
+        if trained[i : i + PIECE] in kept:
+            out += [trained[i : i + PIECE]] if i >= end else [out.pop() + trained[end : i + PIECE]]
+            end = i + PIECE
+    return out
 
 
 class Scorer:
-    """The ordinary dictionary, the toxic ones and the curve; small, and sent to the executors as it is."""
+    """Both dictionaries and the curve; small, and sent to the executors as it is."""
 
-    def __init__(self, ordinary: bytes, toxic: tuple[bytes, ...], weights: np.ndarray | None = None):
+    def __init__(self, ordinary: bytes, toxic: bytes, weights: np.ndarray | None = None):
         self.ordinary, self.toxic, self.weights = ordinary, toxic, weights
-        self.pad = ordinary[-64:]  # all know it, so that short windows still compress
+        self.pad = ordinary[-64:]  # both know it: short windows still compress, and none ends where zstandard no longer looks for matches
         self._compress: list = []
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_compress": []}
 
     def gains(self, text: str | None) -> np.ndarray:
-        """Bytes that each toxic dictionary saves, a row for each, on every window."""
+        """Bytes that the toxic dictionary saves on every window."""
         if not self._compress:
-            for content in (self.ordinary, *self.toxic):
+            for content in (self.ordinary, self.toxic):
                 d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(level=LEVEL)
                 self._compress.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-        padded = [self.pad + w for w in windows(text)]
-        plain, *toxic = (np.array([len(f(x)) for x in padded], float) for f in self._compress)
-        return np.array([plain - t for t in toxic])
+        plain, toxic = self._compress
+        padded = [self.pad + w + self.pad for w in windows(text)]
+        return np.array([len(plain(x)) - len(toxic(x)) for x in padded], float)
 
     def features(self, text: str | None) -> np.ndarray:
-        out = [1.0]
-        for g in self.gains(text):
-            top = np.sort(g)[::-1]
-            out += [10 * math.tanh(g.mean()), min(top[0], 12), top[:3].mean(), 10 * (g >= 2).mean()] if len(g) else [0.0] * 4
-        return np.array(out)
+        g = self.gains(text)
+        if not len(g):
+            return np.array([1.0] + [0.0] * (2 * len(GAINS) + 2))
+        passed = [x for t in GAINS for x in (min(3, int((g >= t).sum())), 10 * (g >= t).mean())]
+        return np.array([1.0, *passed, min(12, g.max()), 10 * math.tanh(g.mean())])
 
     def score(self, text: str | None) -> float:
         return 0.0 if self.weights is None else float(1 / (1 + math.exp(-max(-30.0, min(30.0, self.features(text) @ self.weights)))))
@@ -125,25 +157,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30
     return w
 
 
-def dictionary(samples: list[bytes], size: int, **how: int) -> bytes:
-    """A dictionary trained on the samples; where these are too few to train on, their end."""
-    try:
-        return zstandard.train_dictionary(size, samples, **how).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
-
-
 def fitted(toxic: list[str], ordinary: list[str]) -> Scorer:
-    """Dictionaries from two in three of each class, the curve from the third."""
-    if len(toxic) < 4 or len(ordinary) < 4:
-        return Scorer(b"", ())
-    (ta, tb), (oa, ob) = (([t for i, t in enumerate(x) if i % 3], x[::3]) for x in (toxic, ordinary))
-    plain, toxic = ([w for t in x for w in windows(t)] for x in (oa, ta))
-    base = dictionary(plain, ORDINARY_BYTES * 3 // 2)[-ORDINARY_BYTES:].ljust(64)
-    trained = dictionary(toxic, TOXIC_BYTES, k=SEGMENT[0], d=SEGMENT[1])
-    out = Scorer(base, (b" " + b" ".join(marked_words(ta, oa)) + b" " + base, trained + base))
-    x = np.array([out.features(t) for t in tb + ob])
-    out.weights = _logistic(x, np.array([1.0] * len(tb) + [0.0] * len(ob)))
+    """The scorer of two classes of texts.
+
+    Each third of the texts in turn trims a dictionary trained on the others; what is left of all three is the toxic
+    dictionary. Without texts of both classes there is nothing to learn.
+    """
+    if not toxic or not ordinary:
+        return Scorer(b"", b"")
+    kept: dict[bytes, None] = {}
+    for i in range(3):
+        trained = dictionary(sorted({w for j, t in enumerate(toxic) if j % 3 != i for w in windows(t)}))
+        kept |= dict.fromkeys(trimmed(trained, toxic[i::3], ordinary[i::3]))
+    base = dictionary(sorted({w for t in ordinary for w in windows(t)})).rjust(64)
+    out = Scorer(base, b"".join(kept) + base)
+    x = np.array([out.features(t) for t in toxic + ordinary])
+    out.weights = _logistic(x, np.array([1.0] * len(toxic) + [0.0] * len(ordinary)), 3.0)
     return out
 
 

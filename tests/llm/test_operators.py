@@ -462,7 +462,6 @@ def test_toxic_phrases_of_common_words():
         return " ".join(w)
 
     learned = [text(True) for _ in range(120)], [text(False) for _ in range(360)]
-    assert not toxicity.marked_words(*learned)  # no word by itself tells them
     scorer = toxicity.fitted(*learned)
     said = [[scorer.score(text(toxic)) >= toxicity.THRESHOLD for _ in range(n)] for toxic, n in ((True, 60), (False, 180))]
     assert sum(said[0]) / 60 > 0.85 and sum(said[0]) / sum(map(sum, said)) > 0.75
@@ -477,8 +476,40 @@ def test_held_out_recall_and_precision(spark):
     assert true > 100 and hit / true > 0.55 and hit / said > 0.7, (hit, said, true)
 
 
+def test_scores_against_brute_force():
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
+    plain = lambda: [word() for _ in range(r.randint(20, 90))]
+    rude = lambda: [x for w in plain() for x in ([w, r.choice(["zwollop!", "quimmox"])] if r.random() < 0.1 else [w])]
+    scorer = toxicity.fitted([" ".join(rude()) for _ in range(60)], [" ".join(plain()) for _ in range(150)])
+    assert b"wollop" in scorer.toxic and b"uimmox" in scorer.toxic and b"wollop" not in scorer.ordinary
+    import zstandard
+
+    def size(content, data):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=9)
+        return len(zstandard.ZstdCompressor(level=9, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(data))
+
+    for text in [" ".join(rude()) for _ in range(5)] + [" ".join(plain()) for _ in range(5)] + ["", "one"]:
+        w = [x.strip(toxicity.RIM) for x in text.lower().encode().split()]
+        pad = scorer.ordinary[-64:]
+        gains = [size(scorer.ordinary, y) - size(scorer.toxic, y) for i in range(0, len(w), 8) for y in [pad + b" " + b" ".join(w[i : i + 8]) + b" " + pad]]
+        x = [1.0]
+        for t in range(1, 7):
+            x += [min(3, sum(g >= t for g in gains)), 10 * sum(g >= t for g in gains) / len(gains)] if gains else [0, 0]
+        x += [min(12, max(gains)), 10 * np.tanh(sum(gains) / len(gains))] if gains else [0, 0]
+        assert scorer.score(text) == pytest.approx(1 / (1 + np.exp(-np.dot(x, scorer.weights))), abs=1e-9)
+        assert (scorer.score(text) > 0.5) == ("wollop" in text or "quimmox" in text)
+
+
+def test_few_labels_still_learn():
+    for toxic, ordinary in ((["you zwollop quimmox"], ["a plain text"]), (["x"] * 3, [""] * 2)):
+        assert all(0 < toxicity.fitted(toxic, ordinary).score(t) < 1 for t in ("", "some text"))
+    assert toxicity.fitted([], ["a"]).score("a") == toxicity.fitted(["a"], []).score("a") == 0
+
+
 def test_scores_of_awkward_rows(docs, spark):
-    labels = spark.createDataFrame([(3, 1), (6, 0), (None, 1), (9, None)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(3, 1, "t", 1), (6, 0, "t", 1), (6, 0, "t", 1), (None, 1, "t", 1), (9, None, "t", 1)], "doc_id long, toxic int, text string, score int")
     got = data(toxicity.score_documents(docs, labels))
     assert len(got) == docs.count() and all(0 <= g[2] <= 1 for g in got)
 
