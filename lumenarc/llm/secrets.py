@@ -1,12 +1,12 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field that tags tokens.
 
 Three patterns give the base spans. The field tags every whitespace token as outside, begin or inside of a secret
-from its shape, its neighbours and its document, decoded by Viterbi over runs of at most SEQUENCE tokens of a line.
-It is trained here, on lines made by rule from a fixed seed, by maximum likelihood. Spans that the field finds
-outside the base spans are added; base spans stay.
+from its shape, its neighbours and its document, decoded by Viterbi over whole lines. It is trained here, on lines made
+by rule from a fixed seed, by maximum likelihood. Spans that the field finds outside the base spans are added; base
+spans stay.
 
 Nulls: a null text is empty and has no spans. Repeated rows give repeated results; long texts are scanned whole;
-an empty table gives no rows. Extra columns of the input are not read.
+an empty table gives no rows. Ties between tags go to the lower tag. Extra columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ MIN_ASSIGNED = 12
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "crf")
-SEQUENCE = 256
+#: Cells of one walk of the decoder: lines of like length are walked together, a very long one alone.
+CELLS = 1 << 22
 MASK = "[SECRET]"
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
@@ -45,7 +46,7 @@ _DOT = np.isin(np.arange(256), list(b"."))
 _KEYISH = np.isin(np.arange(256), list(b"+/_=-"))
 _WIDE = np.arange(256) >= 128
 _KIND = np.where(_DIGIT, 1, np.where(_UPPER, 2, np.where(_LOWER | _WIDE, 3, 4))).astype(np.int8)
-FEATURES = 24
+FEATURES = 25
 
 
 def _places(data: bytes, words: tuple[bytes, ...]) -> np.ndarray:
@@ -85,7 +86,7 @@ def features(chunk: K.Chunk, ws: np.ndarray, we: np.ndarray, owner: np.ndarray)
         np.ones(n, bool), size < 8, (size >= 8) & (size < 12), (size >= 12) & (size < 16), (size >= 16) & (size < 24), size >= 24,
         digit > 0, digit * 5 >= size, digit == size, varied >= 2, varied == 3, turns >= 4, turns >= 7,
         (hexes >= size - 2) & (size >= 12), plain <= 1, web > 0, dots >= 2, wide > 0, keyish > 0,
-        key, shift(key, 1) & ~shift(assigns, 1), shift(key & assigns, 1), shift(key, 2) & shift(assigns, 1), per_text[owner],
+        digit >= 15, key, shift(key, 1) & ~shift(assigns, 1), shift(key & assigns, 1), shift(key, 2) & shift(assigns, 1), per_text[owner],
     ]
     return np.stack(columns, axis=1).astype(np.float32)
 
@@ -95,14 +96,15 @@ def _training_lines(n: int = 800, seed: int = 7) -> list[list[tuple[str, int]]]:
     r = random.Random(seed)
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     some = lambda chars, a, b: "".join(r.choice(chars) for _ in range(r.randint(a, b)))
-    word = lambda: some(low + "éèüñ" * r.randint(0, 1), 1, 14) + r.choice(["", "", "", ",", ".", "###", "***"])
+    noise = lambda: r.choice(["", "", "", ",", ".", "!!", "###", "***", "$$$", "%%%", "&&&", ",###", ".***"])
+    word = lambda: some(low + "éèüñ" * r.randint(0, 1), 1, r.choice([6, 10, 14, 30])) + noise()
     plain = [
-        word, word, word, word, word, word, lambda: word().capitalize(), lambda: word().upper() + "!!", lambda: some(dig, 1, 19), lambda: ".".join(some(dig, 1, 3) for _ in range(4)),
+        word, word, word, word, word, word, lambda: word().capitalize(), lambda: word().upper() + "!!", lambda: some(dig, 1, 13) + noise(), lambda: ".".join(some(dig, 1, 3) for _ in range(4)),
         lambda: f"{some(low, 3, 8)}.{some(dig, 1, 3)}@{some(low, 4, 8)}{some(dig, 1, 2)}.example.com", lambda: f"https://{some(low, 4, 9)}.example.org/{some(low, 2, 8)}/{some(dig, 1, 4)}?ref={some(low, 1, 4)}",
         lambda: "-".join(some(dig, 3, 4) for _ in range(3)), lambda: f"{some(dig, 4, 4)}-{some(dig, 2, 2)}-{some(dig, 2, 2)}T{some(dig, 2, 2)}:{some(dig, 2, 2)}", lambda: some(low, 4, 8) + "-" + some(low, 4, 8), lambda: r.choice(["token", "secret", "password", "|", "="]),
     ]
     secret = [
-        lambda: some(low + up + dig, 16, 44), lambda: some("0123456789abcdef", 16, 64), lambda: some(low + up + dig + "+/", 24, 60) + r.choice(["", "=", "=="]), lambda: "AKIA" + some(up + dig, 14, 18),
+        lambda: some(low + up + dig, 16, 44), lambda: some("0123456789abcdef", 16, 64), lambda: some(dig, 16, 24), lambda: some(low + up + dig + "+/", 24, 60) + r.choice(["", "=", "=="]), lambda: "AKIA" + some(up + dig, 14, 18),
         lambda: r.choice(["sk-", "sk_live_", "ghp_", "xoxb-"]) + some(low + up + dig, 16, 36), lambda: ".".join("ey" * (k < 2) + some(low + up + dig + "_-", 12, 40) for k in range(3)), lambda: some(up + dig, 16, 28),
     ]
     named = ["password", "passwd", "secret", "token", "api_key", "apikey", "credential", "access_key"]
@@ -112,7 +114,7 @@ def _training_lines(n: int = 800, seed: int = 7) -> list[list[tuple[str, int]]]:
         line = [(r.choice(plain)(), 0) for _ in range(r.randint(2, 14))]
         if r.random() < 0.7:
             at, how, value = r.randint(0, len(line)), r.random(), r.choice(secret)()
-            quoted = r.choice(['"{}"', "'{}'", "{}", "{},", "{}###"]).format(value)
+            quoted = r.choice(['"{}"', "'{}'", "{}", "{}", "{},", "{}."]).format(value) + noise()
             if how < 0.3:
                 put = [(r.choice(named) + r.choice([" ", ""]).strip() + r.choice([":", "="]), 0), (r.choice([quoted, short()]), 1)]
             elif how < 0.5:
@@ -172,7 +174,7 @@ def trained(rounds: int = 150, rate: float = 0.5, decay: float = 1e-3) -> tuple[
 
 
 def decode(emit: np.ndarray, trans: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Viterbi tags of all sequences (first token, tokens), step by step over all sequences at once.
+    """Viterbi tags of all sequences (first token, tokens), step by step over many sequences at once.
 
     A sequence whose every token scores so low for begin and inside that no change of tags can pay for it is all
     outside; such sequences, nearly all, are not walked.
@@ -184,8 +186,15 @@ def decode(emit: np.ndarray, trans: np.ndarray, first: np.ndarray, size: np.ndar
     first, size = first[some], size[some]
     order = np.argsort(-size, kind="stable")
     first, size = first[order], size[order]
-    if not len(first):
-        return tags
+    while len(first):
+        n = max(1, CELLS // int(size[0]))
+        _walk(emit, trans, first[:n], size[:n], tags)
+        first, size = first[n:], size[n:]
+    return tags
+
+
+def _walk(emit: np.ndarray, trans: np.ndarray, first: np.ndarray, size: np.ndarray, tags: np.ndarray) -> None:
+    """Writes the tags of sequences whose sizes do not rise."""
     width = int(size[0])
     back = np.zeros((width, len(first), 3), np.int8)
     score = emit[first] + np.array([0, 0, -1e3], np.float32)
@@ -193,13 +202,13 @@ def decode(emit: np.ndarray, trans: np.ndarray, first: np.ndarray, size: np.ndar
         live = int(np.searchsorted(-size, -k, "left"))
         step = score[:live, :, None] + trans
         back[k, :live] = step.argmax(axis=1)
-        score[:live] = step.max(axis=1) + emit[first[:live] + k]
+        best = step.max(axis=1) + emit[first[:live] + k]
+        score[:live] = best - best.max(axis=1, keepdims=True)  # long lines keep their precision
     best = score.argmax(axis=1).astype(np.int8)
     for k in range(width - 1, -1, -1):
         live = int(np.searchsorted(-size, -k, "left")) if k else len(size)
         tags[first[:live] + k] = best[:live]
         best[:live] = back[k, np.arange(live), best[:live]] if k else best[:live]
-    return tags
 
 
 def field_spans(chunk: K.Chunk, weights: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,9 +218,7 @@ def field_spans(chunk: K.Chunk, weights: np.ndarray, trans: np.ndarray) -> tuple
         return owner, ws, we
     line = np.cumsum(chunk.buf == K.LF)[ws]
     new = np.concatenate([[True], line[1:] != line[:-1]])
-    index = np.arange(len(ws))
-    within = index - np.maximum.accumulate(np.where(new, index, 0))
-    first = np.flatnonzero(within % SEQUENCE == 0)
+    first = np.flatnonzero(new)
     tags = decode(features(chunk, ws, we, owner) @ weights, trans, first, np.diff(np.append(first, len(ws))))
     begin = np.flatnonzero(tags == 1)
     inside = np.concatenate([tags == 2, [False]])
@@ -222,9 +229,12 @@ def field_spans(chunk: K.Chunk, weights: np.ndarray, trans: np.ndarray) -> tuple
         grow = grow & inside[end + 1]
     a, b = ws[begin].copy(), we[end].copy()
     rim = np.isin(np.arange(256), list(b"\"'`()[]{}<>,;.:!?*#&$%|"))
-    for _ in range(8):
-        a += (a < b) & rim[chunk.buf[np.minimum(a, len(chunk.buf) - 1)]]
-        b -= (a < b) & rim[chunk.buf[b - 1]]
+    while True:
+        left = (a < b) & rim[chunk.buf[np.minimum(a, len(chunk.buf) - 1)]]
+        right = (a + left < b) & rim[chunk.buf[b - 1]]
+        if not (left | right).any():
+            break
+        a, b = a + left, b - right
     full = a < b
     return owner[begin[full]], a[full], b[full]
 
