@@ -326,9 +326,9 @@ def test_fast_ids_are_those_of_the_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    for text in [r[1] or "" for r in rows()] + ["a<|endoftext|>b", " \n\n  x\t", "Ünï 日本 🎉"]:
+    for text in [r[1] or "" for r in rows()] + pq.read_table(f"{SF}/documents.parquet", columns=["text"]).column("text").to_pylist() + ["a<|endoftext|>b", "<|endoftext|><|endoftext|> x", "a <|endoftext|", " \n\n  x\t", "Ünï 日本 🎉"]:
         assert packing.token_ids(text)[:-1].tolist() == t.encode(text, add_special_tokens=False).ids
+    assert packing.token_ids("a<|endoftext|>b").tolist() == [64, 50256, 65, 0]
 
 
 def optimum(items, capacity):
