@@ -1,39 +1,57 @@
-"""Ranked keyword search: query atoms, postings and BM25 scores.
+"""Ranked keyword search: query atoms, a stored index and BM25 scores.
 
 Scores follow the full-text variant with k1 = 1.2 and b = 0.75: every atom must occur, a row's length counts all of its
-columns, and an inverse frequency at or below zero becomes 1e-6. Occurrences are counted in one scan of token arrays;
-only one row of corpus figures is sent to the tasks.
+columns, and an inverse frequency at or below zero becomes 1e-6. A stored index holds a row for each term and row of the
+corpus, sorted by term, so that a query reads only the row groups of its own terms; the length of a row stands beside
+each of its terms, so nothing is joined. Token arrays of a table that isn't stored can be searched as well, by a scan.
 """
 
 from __future__ import annotations
 
 import re
-
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
+
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenarc.functions.text import tokens
+from lumenarc.functions.text import folded, tokens
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 COLUMNS = ("description", "tags", "filename", "source_text")
 OPERATORS = {"and", "or", "not", "near"}
+#: Places of one column lie apart from those of the next by this.
+APART = 1 << 40
+#: Letters, numbers and private-use characters, as tokens() has them.
+_TOKEN = re.compile("(?:[^\\W_]|[\ue000-\uf8ff\U000f0000-\U000ffffd\U00100000-\U0010fffd])+")
 Atom = tuple[tuple[str, ...], bool]
 
 
+class Index(NamedTuple):
+    """A stored index: columns by name, terms (term, id, column, n, tf, places) and figures (rows, mean)."""
+
+    columns: tuple[str, ...]
+    terms: DataFrame
+    figures: DataFrame
+
+
 def plain_terms(query: str) -> list[str]:
     return [t for t in re.findall(r"[^\W_]+", query) if t.lower() not in OPERATORS]
 
 
 def atoms(query: str) -> list[Atom]:
-    """Phrases and words of a query; its last word, unless quoted, is a prefix."""
-    out: list[Atom] = []
-    for i, part in enumerate(query.split('"')):
-        if i % 2:
-            if words := re.findall(r"[^\W_]+", part):
-                out.append((tuple(words), False))
-        else:
-            out += [((w,), False) for w in plain_terms(part)]
-    if out and not query.rstrip().endswith('"') and len(out[-1][0]) == 1:
+    """Phrases in closed quotes, then the words outside; the last word is a prefix unless the query ends in a quote."""
+    parts = query.split('"')
+    # an odd number of quotes leaves the last one open: what follows it is no phrase
+    closed = parts[1:-1:2] if len(parts) % 2 == 0 else parts[1::2]
+    loose = [*parts[0::2], *(parts[-1:] if len(parts) % 2 == 0 else ())]
+    out: list[Atom] = [(tuple(words), False) for p in closed if (words := re.findall(r"[^\W_]+", p))]
+    out += [((w,), False) for p in loose for w in plain_terms(p)]
+    if out and any(plain_terms(p) for p in loose) and not query.rstrip().endswith('"'):
         out[-1] = (out[-1][0], True)
     return out
 
@@ -59,15 +77,71 @@ def reindexed(index: DataFrame, fresh: DataFrame) -> DataFrame:
     return index.join(fresh.select("id").distinct(), "id", "left_anti").unionByName(fresh)
 
 
-def _fold(word: str) -> str:
-    import unicodedata
-
-    return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
+def listed(rows: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """Lists of terms of rows (id, *columns): term, id, column, n (tokens of the row), tf and places; a row's own, so nothing is shuffled.
+
+    A row without tokens has one entry with an empty term, which no query asks for, so that it counts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                found = [_TOKEN.findall(folded(batch.column(c + 1)[i].as_py() or "")) for c in range(len(columns))]
+                n = sum(map(len, found))
+                for c, terms in enumerate(found):
+                    places: dict[str, list[int]] = {}
+                    for place, term in enumerate(terms, c * APART):
+                        places.setdefault(term, []).append(place)
+                    out += [(term, key, c, n, len(at), at) for term, at in places.items()]
+                if not n:
+                    out.append(("", key, 0, 0, 0, []))
+            for at in range(0, len(out), 1 << 16):
+                cells = list(zip(*out[at : at + (1 << 16)], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], names=["term", "id", "column", "n", "tf", "places"])
+
+    kinds = (pa.string(), pa.int64(), pa.int8(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+    return rows.select(F.col("id").cast("long").alias("id"), *[F.col(c).cast("string").alias(c) for c in columns]).mapInArrow(run, "term string, id long, column byte, n long, tf int, places array<long>")
+
+
+def stored(rows: DataFrame, folder: str, columns: tuple[str, ...] = COLUMNS) -> Index:
+    """Builds the index of rows (id, *columns) in a folder; the figures come last, so half an index is none."""
+    spark = rows.sparkSession
+    lists = f"{folder}/lists"
+    listed(rows, columns).write.mode("overwrite").parquet(lists)  # read twice below: to find ranges of terms and to sort
+    held = spark.read.parquet(lists)
+    held.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{folder}/terms")
+    # the entry of a row's first place, or its empty one, speaks for the row
+    lengths = held.where((F.col("term") == "") | F.exists("places", lambda p: p % APART == 0)).groupBy("id").agg(F.max("n").alias("n"))
+    lengths.agg(F.count("*").alias("rows"), F.avg("n").alias("mean"), F.lit(list(columns)).alias("columns")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/figures")
+    return opened(spark, folder)
+
+
+def opened(spark: SparkSession, folder: str) -> Index | None:
+    """The index in a folder, or None if there is none or only part of one."""
+    try:
+        figures = spark.read.parquet(f"{folder}/figures")
+        columns = tuple(figures.first()["columns"])
+        return Index(columns, spark.read.parquet(f"{folder}/terms"), figures.select("rows", "mean"))
+    except (AnalysisException, TypeError):
+        return None
+
+
+def healed(rows: DataFrame, folder: str, columns: tuple[str, ...] = COLUMNS) -> Index:
+    """The index in a folder, built anew where it is missing or does not count as many rows as the table."""
+    found = opened(rows.sparkSession, folder)
+    if found is None or found.columns != tuple(columns) or found.figures.first()["rows"] != rows.count():
+        return stored(rows, folder, columns)
+    return found
+
+
+def fresh_folder(parent: str) -> str:
+    return f"{parent}/keyword-{uuid.uuid4().hex}"
 
 
 def occurrences(column: Column, atom: Atom) -> Column:
     """How often an atom occurs in a token array."""
-    words, prefix = [_fold(w) for w in atom[0]], atom[1]
+    words, prefix = [folded(w) for w in atom[0]], atom[1]
     if len(words) == 1:
         return F.size(F.filter(column, lambda x: x.startswith(words[0]) if prefix else x == words[0]))
     # tokens hold letters and digits only; looking ahead counts occurrences that overlap
@@ -75,20 +149,47 @@ def occurrences(column: Column, atom: Atom) -> Column:
     return F.regexp_count(F.concat(F.lit(" "), F.array_join(column, "  "), F.lit(" ")), F.lit(f"(?= {phrase} )"))
 
 
-def bm25(index: DataFrame, query: str | list[Atom], columns: tuple[str, ...] | None = None, limit: int | None = 500) -> DataFrame:
-    """(id, score) of the best rows of an indexed table, ties by id; higher is better. No atoms, no rows."""
-    every = tuple(c for c in index.columns if c != "id")
+def _scanned(index: DataFrame, parts: list[Atom], columns: tuple[str, ...], every: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Counts (id, n, f0, ...) of every row of token arrays, and the figures of the corpus."""
+    fs = [reduce(lambda a, b: a + b, [occurrences(F.col(c), a) for c in columns]).alias(f"f{i}") for i, a in enumerate(parts)]
+    # both readers share this exchange of a few numbers a row, so texts are tokenized once
+    counted = index.select("id", reduce(lambda a, b: a + b, [F.size(c) for c in every]).alias("n"), *fs).repartition("id")
+    return counted, counted.agg(F.count("*").alias("rows"), F.avg("n").alias("mean"))
+
+
+def _earlier(places: Column, by: int) -> Column:
+    return F.transform(places, lambda x: x - by)
+
+
+def _looked_up(index: Index, parts: list[Atom], columns: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The same of the rows of a stored index that hold any of the atoms' words."""
+    where = F.col("column").isin([index.columns.index(c) for c in columns])
+    fits = lambda word, prefix: F.col("term").startswith(word) if prefix else F.col("term") == word
+    words = [[(folded(w), prefix and j == len(atom) - 1) for j, w in enumerate(atom)] for atom, prefix in parts]
+    wanted = reduce(lambda a, b: a | b, [fits(*w) for w in sorted({w for atom in words for w in atom})])
+    many = {i for i, atom in enumerate(words) if len(atom) > 1}
+    single = [F.coalesce(F.sum(F.when(fits(*atom[0]), F.col("tf"))), F.lit(0)).alias(f"f{i}") for i, atom in enumerate(words) if i not in many]
+    places = [F.flatten(F.collect_list(F.when(fits(*w), F.col("places")))).alias(f"p{i}_{j}") for i in many for j, w in enumerate(words[i])]  # of one row's terms
+    rows = index.terms.where(where & wanted).groupBy("id").agg(F.first("n").alias("n"), *single, *places)
+    for i in many:
+        after = reduce(F.array_intersect, [_earlier(F.col(f"p{i}_{j}"), j) for j in range(len(words[i]))])
+        rows = rows.withColumn(f"f{i}", F.size(after))
+    return rows.select("id", "n", *[f"f{i}" for i in range(len(parts))]), index.figures
+
+
+def bm25(index: DataFrame | Index, query: str | list[Atom], columns: tuple[str, ...] | None = None, limit: int | None = 500) -> DataFrame:
+    """(id, score) of the best rows of an index, ties by id; higher is better. No atoms, no rows."""
+    kept = isinstance(index, Index)
+    every = index.columns if kept else tuple(c for c in index.columns if c != "id")
     columns = columns or every
     if unknown := set(columns) - set(every):
         raise ValueError(f"unknown columns {sorted(unknown)}")
     parts = atoms(query) if isinstance(query, str) else query
     if not parts:
-        return index.select("id", F.lit(0.0).alias("score")).limit(0)
-    found = sum
-    fs = [found((occurrences(F.col(c), a) for c in columns), F.lit(0)).alias(f"f{i}") for i, a in enumerate(parts)]
-    # both readers below share this exchange of a few numbers a row, so texts are tokenized once
-    counted = index.select("id", found((F.size(c) for c in every), F.lit(0)).alias("n"), *fs).repartition("id")
-    corpus = counted.agg(F.count("*").alias("rows"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(parts))])
+        return (index.terms if kept else index).select("id", F.lit(0.0).alias("score")).limit(0)
+    counted, figures = _looked_up(index, parts, columns) if kept else _scanned(index, parts, columns, every)
+    having = counted.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(parts))])
+    corpus = figures.crossJoin(having)  # one row and one row
     score = F.lit(0.0)
     for i in range(len(parts)):
         idf = F.log((F.col("rows") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5))
@@ -97,7 +198,7 @@ def bm25(index: DataFrame, query: str | list[Atom], columns: tuple[str, ...] | N
     every_atom = F.lit(True)
     for i in range(len(parts)):
         every_atom = every_atom & (F.col(f"f{i}") > 0) & (F.col(f"d{i}") > 0)  # names both sides, so it isn't pushed into the count
-    out = counted.crossJoin(F.broadcast(corpus)).where(F.when(every_atom, True).otherwise(False)).select("id", score.alias("score"))  # corpus is one row
+    out = counted.crossJoin(F.broadcast(corpus)).where(F.when(every_atom, True).otherwise(False)).select("id", score.alias("score"))
     return out if limit is None else out.orderBy(F.col("score").desc(), "id").limit(limit)
 
 

@@ -11,6 +11,7 @@ from lumenarc.functions import text as T
 from lumenarc.operators import catalog, comments, duplicates, history, hybrid, keyword, vectors, workqueue
 from lumenarc.plans import views as V
 from lumenarc.session import table
+from lumenarc.sources.shared import shared_dir
 
 NOW = V.EPOCH + 500
 _QUERIES: dict = {}
@@ -171,8 +172,14 @@ def first_of_texts(spark: SparkSession, d: str) -> DataFrame:
 # keyword search
 
 
-def _index(spark: SparkSession, d: str) -> DataFrame:
-    return keyword.indexed(V.texts(spark, d))
+_INDEXES: dict = {}
+
+
+def _index(spark: SparkSession, d: str) -> keyword.Index:
+    """The stored index of a folder's texts, built by the first query of an application that asks for it."""
+    parent = (spark.sparkContext.applicationId, shared_dir(spark), d)
+    folder = _INDEXES.setdefault(parent, keyword.fresh_folder(shared_dir(spark)))
+    return keyword.healed(V.texts(spark, d), folder)
 
 
 def _scored(df: DataFrame) -> DataFrame:

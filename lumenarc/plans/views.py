@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenarc.functions.text import ACCENTED, PLAIN
 from lumenarc.session import table
 
 EPOCH = 1767225600  # 2026-01-01 00:00:00 UTC
@@ -77,7 +76,7 @@ ITEMS = f"""items AS (SELECT o_orderkey AS id, {_pick_sql(STATUSES, 'o_orderkey'
 
 
 def tokens_sql(column: str) -> str:
-    return f"regexp_extract_all(translate(lower(coalesce({column}, '')), '{ACCENTED}', '{PLAIN}'), '[\\p{{L}}\\p{{N}}]+')"
+    return f"regexp_extract_all(strip_accents(lower(coalesce({column}, ''))), '[\\p{{L}}\\p{{N}}]+')"
 
 
 def bm25_sql(atoms: list, columns: tuple[str, ...] = ("description", "tags", "filename", "source_text"), name: str = "bm25", limit: int = 500) -> str:

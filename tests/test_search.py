@@ -9,9 +9,10 @@ from lumenarc.operators import hybrid, keyword, mock, vectors
 ROWS = [(1, "a confused cat stares blankly", '["cat"]', "cat.png", "siteA chapter-1"), (2, "big changes in a mood ring", '["ring"]', "ring.png", "siteA chapter-2"), (3, "honestly this is a big mood", '["confused"]', "mood.png", "siteB chapter-1")]
 
 
-@pytest.fixture(scope="module")
-def index(spark):
-    return keyword.indexed(spark.createDataFrame(ROWS, "id long, description string, tags string, filename string, source_text string"))
+@pytest.fixture(scope="module", params=["scanned", "stored"])
+def index(spark, request, tmp_path_factory):
+    rows = spark.createDataFrame(ROWS, "id long, description string, tags string, filename string, source_text string")
+    return keyword.indexed(rows) if request.param == "scanned" else keyword.stored(rows, str(tmp_path_factory.mktemp("index")))
 
 
 def ids(df):
@@ -22,6 +23,9 @@ def test_query_language():
     assert keyword.sanitized("foo OR (bar") == '"foo" AND "bar"*'
     assert keyword.sanitized("AND OR NOT") == ""
     assert keyword.sanitized('"big mood" x"') == '"big mood" AND "x"'
+    assert keyword.sanitized('foo "bar baz') == '"foo" AND "bar" AND "baz"*'
+    assert keyword.sanitized('conf "cat" !') == '"cat" AND "conf"*'
+    assert keyword.sanitized('"a b') == '"a" AND "b"*' and keyword.sanitized('"cat"') == '"cat"' and keyword.sanitized('""') == ""
 
 
 def test_prefix_phrase_columns(index):
@@ -45,6 +49,31 @@ def test_overlapping_phrase(spark):
     assert t.select(keyword.occurrences(F.col("description"), (("a", "a"), False)).alias("n")).first()["n"] == 2
 
 
+def test_stored_index_against_the_scan(spark, tmp_path):
+    from random import Random
+
+    r = Random(5)
+    words = ["a", "b", "ab", "abc", "čaj", "Ő", "e\u0301t", "ﬁn"]
+    rows = spark.createDataFrame([(i, " ".join(r.choice(words) for _ in range(r.randint(0, 12))), r.choice([None, "a", "b ab"])) for i in range(40)], "id long, x string, y string")
+    kept, scanned = keyword.stored(rows, str(tmp_path / "i"), ("x", "y")), keyword.indexed(rows, ("x", "y"))
+    for query in ('"a"', "a", '"a b"', '"a a"', '"ab abc a" b', "caj", "čaj o", "ét", '"b ab" "a" ab', '"zz"', "b \"a"):
+        for columns in (None, ("y",)):
+            a, b = (sorted((x["id"], round(x["score"], 9)) for x in keyword.bm25(i, query, columns).collect()) for i in (kept, scanned))
+            assert a == b, (query, columns)
+    assert ids(keyword.bm25(kept, '"caj"')) and ids(keyword.bm25(kept, '"o"')) and ids(keyword.bm25(kept, '"et"'))
+
+
+def test_index_heals_itself(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "one cat"), (2, "two")], "id long, x string")
+    folder = str(tmp_path / "i")
+    assert keyword.opened(spark, folder) is None
+    assert ids(keyword.bm25(keyword.healed(rows, folder, ("x",)), '"cat"')) == [1]
+    more = rows.union(spark.createDataFrame([(3, "a cat")], rows.schema))
+    assert sorted(ids(keyword.bm25(keyword.healed(more, folder, ("x",)), '"cat"'))) == [1, 3]
+    empty = keyword.healed(rows.limit(0), str(tmp_path / "e"), ("x",))
+    assert ids(keyword.bm25(empty, '"cat"')) == []
+
+
 def test_vectors(spark):
     rows = [(1, [1.0, 0.0, 0.0], "m"), (2, [0.0, 1.0, 0.0], "other"), (3, [0.0, 0.0], "m"), (4, [0.0, 0.0, 0.0], "m")]
     v = spark.createDataFrame(rows, "id long, embedding array<float>, model string")
