@@ -6,7 +6,8 @@ only the bucket that holds it is refined, three hexadecimal digits at a time, th
 documents, and no more than 4,096 sums of one source at a time.
 
 Nulls: a null text has no words; a null source is a source of its own, after all others; a null id hashes as
-'null'. Rows alike in id and text share a hash and are taken together. Empty tables give an empty result.
+'null'. Rows alike in id and text, the only ties, share a hash and are taken together. Long texts are counted whole.
+Empty tables give an empty result. Extra columns are kept by mixed() and not read by mix_sources().
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 DIGITS = 3
 LEVELS = 3
-SMALL_PLAN = 10_000
+#: Tasks that share the rows of one source where they meet its plan.
+SALTS = 32
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
@@ -98,21 +100,28 @@ def _copies() -> Column:
     return F.col("repeats") + F.coalesce((F.col("h") <= F.col("cut")).cast("long"), F.lit(0))
 
 
+def _planned(rows: DataFrame, source: str, goals: DataFrame) -> DataFrame:
+    """rows (with h, their hash) and the plan of their source; a source of any size is spread over SALTS tasks."""
+    salted = goals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("own_salt", F.pmod(F.crc32(F.col("h").cast("binary")), F.lit(SALTS)).cast("int"))
+    return rows.join(salted, F.col(source).eqNullSafe(F.col("g")) & (F.col("own_salt") == F.col("salt")))
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
     """doc_id, size, source_size, target and taken: words that the mix takes of the document, repeats counted."""
     rows = staged(sized(docs), "mix-rows")
-    goals = plan(rows, weights, most)
-    return rows.join(goals, rows["source"].eqNullSafe(goals["g"])).select("doc_id", "size", "source_size", "target", (F.col("size") * _copies()).cast("long").alias("taken"))
+    goals = staged(plan(rows, weights, most), "mix-plan")
+    return _planned(rows, "source", goals).select("doc_id", "size", "source_size", "target", (F.col("size") * _copies()).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
     """The mix itself: each row of docs as often as the mix takes it, in the columns of docs.
 
-    The plan has a row for each source; it is broadcast only up to SMALL_PLAN of them, so that no text is shuffled.
+    The plan has a row for each source, in a table of known size, so Spark broadcasts it while it is small and no text
+    is shuffled.
     """
     rows = staged(sized(docs), "mix-rows")
     goals = staged(plan(rows, weights, most).select("g", "repeats", "cut"), "mix-plan")
-    goals = F.broadcast(goals) if goals.count() <= SMALL_PLAN else goals
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").cast("string").alias("own"), hashed().alias("h"))
-    taken = held.join(goals, F.col("own").eqNullSafe(F.col("g"))).select("row", F.explode(F.array_repeat(F.lit(0), _copies().cast("int"))))
+    taken = _planned(held, "own", goals).select("row", F.explode(F.array_repeat(F.lit(0), _copies().cast("int"))))
     return taken.select("row.*")

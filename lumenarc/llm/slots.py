@@ -2,18 +2,22 @@
 
 Records are hashed into thousands of slots, bytes are summed by slot, and a small versioned table maps slots to
 shards. Rebalancing edits that table: version 0 deals slots round, each later version keeps what fits a shard's
-fair share and moves only the overflow slots. Nothing here collects more than one row per slot.
+fair share and moves only the overflow slots. Every version is a folder of its own, so a later run reads the map back,
+puts the new loads in and writes the next one. Nothing here collects more than one row per slot.
 
 Nulls: a null text has no bytes and checksum 0, a null key hashes as the word 'null'. Empty tables give an empty
-result. Repeated rows hash alike, so they share a slot; rows with equal texts but other keys spread over all slots.
+result. Repeated rows hash alike, so they share a slot, where they stand in any order; rows with equal texts but other
+keys spread over all slots. Long texts count whole. Extra columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenarc.llm.common import staged, text_or_empty, utf8
+from lumenarc.llm.common import shared_dir, staged, text_or_empty, utf8
 
 N_SLOTS = 4096
 N_SHARDS = 40
@@ -67,13 +71,54 @@ def rebalanced(slot_map: DataFrame, n_shards: int = N_SHARDS, keep: float = KEEP
     )
 
 
-def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS) -> DataFrame:
+def write_map(slot_map: DataFrame, folder: str, version: int) -> DataFrame:
+    """Stores a version of the map and then names it; a version that is there already is never overwritten."""
+    spark, path = slot_map.sparkSession, f"{folder}/version-{version:06d}"
+    slot_map.select("vslot", "bytes", "n_rows", "shard", F.lit(version).alias("version")).coalesce(1).write.parquet(path)
+    spark.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("append").parquet(f"{folder}/versions")
+    return spark.read.parquet(path)
+
+
+def latest(spark: SparkSession, folder: str) -> int:
+    return spark.read.parquet(f"{folder}/versions").agg(F.max("version")).first()[0]
+
+
+def read_map(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """A stored version of the map, the latest by default."""
+    version = latest(spark, folder) if version is None else version
+    return spark.read.parquet(f"{folder}/version-{version:06d}")
+
+
+def reweighed(slot_map: DataFrame, loads: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
+    """The map with new loads (vslot, bytes, n_rows): slots stay where they are, new ones are dealt round, missing ones weigh nothing."""
+    old = slot_map.select("vslot", "shard", "version")
+    version = slot_map.agg(F.max("version").alias("v"))
+    both = old.join(loads.select("vslot", "bytes", "n_rows"), "vslot", "full").crossJoin(F.broadcast(version))  # version is one row
+    return both.select(
+        "vslot", F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+        F.coalesce("shard", F.pmod("vslot", F.lit(n_shards)).cast("int")).alias("shard"), F.coalesce("version", "v").alias("version"),
+    )
+
+
+def rebalance(spark: SparkSession, folder: str, loads: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
+    """Reads the latest map, puts the loads in, moves overflow slots and stores the result as the next version."""
+    last = latest(spark, folder)
+    before = read_map(spark, folder, last)
+    return write_map(rebalanced(reweighed(before, loads, n_shards), n_shards), folder, last + 1)
+
+
+def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, folder: str | None = None) -> DataFrame:
     """Every row with its shard and its gapless place there; law `bytes`: shard sizes are near equal.
 
-    A row's place is its slot's first place in the shard plus its rank in the slot, so no task sorts a whole shard.
+    A row's place is its slot's first place in the shard plus its rank in the slot, so no task sorts a whole shard. The
+    map's versions 0 (dealt round) and 1 (rebalanced) are stored in the folder, a new one by default.
     """
+    spark = docs.sparkSession
+    folder = folder or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
     rows = staged(slotted(docs, n_slots), "slots")
-    slot_map = staged(rebalanced(first_map(slot_bytes(rows), n_shards), n_shards), "slot-map")
+    loads = slot_bytes(rows)
+    write_map(first_map(loads, n_shards), folder, 0)
+    slot_map = rebalance(spark, folder, read_map(spark, folder, 0), n_shards)
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     firsts = slot_map.select("vslot", "shard", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("base"))
     rank = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")) - 1

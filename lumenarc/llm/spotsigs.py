@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,9 +58,12 @@ def signature_sets(chunk: K.Chunk) -> tuple[np.ndarray, np.ndarray]:
     if not len(ws):
         return np.zeros(0, np.int64), np.zeros(0, np.uint32)
     a, b = ws.copy(), we.copy()
-    for _ in range(6):
-        a += (b - a > 1) & _RIM[buf[a]]
-        b -= (b - a > 1) & _RIM[buf[b - 1]]
+    while True:
+        left = (b - a > 1) & _RIM[buf[a]]
+        right = (b - a - left > 1) & _RIM[buf[b - 1]]
+        if not (left | right).any():
+            break
+        a, b = a + left, b - right
     h = K.span_hash(buf, a, b)
     anchor = np.isin(h, _ANCHORS)
     content = np.flatnonzero(~anchor)
@@ -136,9 +141,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     firsts = rows.select("key").repartitionByRange(n, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("key"))
     bounds = sorted(r["key"] for r in firsts.collect()) or [""]
     m = len(bounds)
-    bound = F.lit(bounds)
-    place = F.size(F.filter(bound, lambda b: b <= F.col("key"))) - 1
-    dealt = rows.withColumn("place", place).withColumn("first", F.array_contains(bound, F.col("key")))
+
+    @F.pandas_udf("int")
+    def ranged(keys: pd.Series) -> pd.Series:
+        """Twice the range of a key, and one more for the first key of a range."""
+        at = [bisect_right(bounds, k) - 1 for k in keys]
+        return pd.Series([2 * i + (bounds[i] == k) for i, k in zip(at, keys, strict=True)], dtype="int32")
+
+    dealt = rows.withColumn("at", ranged("key")).withColumn("place", F.shiftright("at", 1)).withColumn("first", F.col("at") % 2 == 1).drop("at")
     copies = F.when(F.col("first"), F.array(F.struct(F.col("place").alias("place"), F.lit(0).alias("ahead")), F.struct(((F.col("place") + (m - 1)) % m).cast("int").alias("place"), F.lit(1).alias("ahead"))))
     dealt = dealt.select("doc_id", "text", "key", F.explode(copies.otherwise(F.array(F.struct(F.col("place").alias("place"), F.lit(0).alias("ahead"))))).alias("at"))
     dealt = dealt.select("doc_id", "text", "key", F.col("at.place").alias("place"), F.col("at.ahead").alias("ahead"))

@@ -158,6 +158,48 @@ def test_spot_signatures(docs):
     assert all(0 <= g[5] <= 1 and 0 <= g[6] <= 1 for g in got)
 
 
+COMMON = {w for words in spotsigs.COMMON.values() for w in words.split()}
+
+
+def brute_signatures(text):
+    rim = ".,;:!?\"'()[]{}<>#*$%&|-_/"
+    w = ["".join(c.lower() if "A" <= c <= "Z" else c for c in x) for x in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    w = [x.lstrip(rim) or x[-1] for x in w]
+    w = [x.rstrip(rim) or x[0] for x in w]
+    bare = lambda i: not COMMON & set(w[max(0, i - spotsigs.REACH) : i + spotsigs.REACH + 1])
+    return {(w[i], *[x for x in w[i + 1 :] if x not in COMMON][:2]) for i in range(len(w)) if w[i] in COMMON or bare(i)}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_all_columns_of_the_signatures(docs):
+    table = sorted(rows(), key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.sha256((r[1] or "").encode()).hexdigest()))
+    want, names = Counter(), {}
+    got = data(spotsigs.with_neighbours(docs))
+    for g in got:
+        names[g[0], g[1], g[2]] = g
+    for r, following in zip(table, [*table[1:], table[0]], strict=True):
+        a, b = r[1] or "", following[1] or ""
+        half = len(a) // 2
+        edit = a[: len(a) - half] + b[:half]
+        own, new, after = map(brute_signatures, (a, edit, b))
+        g = names[r[0], len(a), hashlib.sha256(edit.encode()).hexdigest()]
+        assert (len(spotsigs.decoded(g[3])), len(spotsigs.decoded(g[4]))) == (len(own), len(new))
+        want[r[0], len(a), round(jaccard(own, new) if a != edit else 1.0, 9), round(jaccard(own, after) if a != b else 1.0, 9)] += 1
+    assert Counter((g[0], g[1], round(g[5], 9), round(g[6], 9)) for g in got) == want
+    by_text = defaultdict(set)
+    for r in table:
+        by_text[r[1] or ""] |= {g[3] for g in got if g[0] == r[0] and g[1] == len(r[1] or "")}
+    assert len(set(by_text)) > 30 and all(len(v) == 1 for t, v in by_text.items() if sum((x[1] or "") == t for x in table) > 1 and t)
+
+
+def test_rims_of_any_length():
+    sets = spotsigs._sets(["(((((((((the))))))))) ***********big########## cat", "the big cat", "#" * 40, "#"])
+    assert sets[0].tolist() == sets[1].tolist() and sets[2].tolist() == sets[3].tolist()
+
+
 def test_no_stretch_is_bare():
     common = {w for words in spotsigs.COMMON.values() for w in words.split()}
 
@@ -392,6 +434,31 @@ def test_shards_are_even_and_gapless(docs):
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
 
 
+def test_slot_maps_are_stored_and_edited(docs, spark, tmp_path):
+    folder = f"file://{tmp_path}/map"
+    slots.shard_documents(docs, 4, 64, folder).collect()
+    one = {r["vslot"]: (r["shard"], r["bytes"]) for r in slots.read_map(spark, folder).collect()}
+    assert slots.read_map(spark, folder).first()["version"] == 1 and slots.read_map(spark, folder, 0).count() == len(one)
+    # one slot of shard 0 grows to a shard's fair share, one slot goes, one comes
+    grown = next(v for v, (s, _) in sorted(one.items()) if s == 0)
+    gone, new = max(one), next(v for v in range(64) if v not in one or v == 63)
+    loads = [(v, b + (sum(b for _, b in one.values()) // 4 if v == grown else 0), 1) for v, (_, b) in one.items() if v != gone]
+    loads += [(new, 10, 1)] if new not in one else []
+    two = {r["vslot"]: (r["shard"], r["bytes"], r["version"]) for r in slots.rebalance(spark, folder, spark.createDataFrame(loads, "vslot int, bytes long, n_rows long"), 4).collect()}
+    assert {r["version"] for r in slots.read_map(spark, folder).collect()} == {2} and slots.read_map(spark, folder, 1).count() == len(one)
+    assert all(two[v][1] == b for v, b, _ in loads) and two[gone][1] == 0
+    fair = 0.9 * sum(b for _, b, _ in two.values()) / 4
+    moved = {v for v in one if two[v][0] != one[v][0]}
+    for shard in range(4):  # slots that fit the fair share, largest first, stay
+        mine, filled = sorted(((-two[v][1], v) for v in one if one[v][0] == shard)), 0
+        for minus, v in mine:
+            filled -= minus
+            assert filled > fair or v not in moved
+    assert moved and len(moved) < len(one) / 2
+    with pytest.raises(Exception, match="(?i)exists"):
+        slots.write_map(slots.read_map(spark, folder), folder, 2)
+
+
 def test_mix_repeats_rows(docs):
     taken = Counter()
     for doc_id, size, *_, words in data(mixing.mix_sources(docs)):
