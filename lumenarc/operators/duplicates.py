@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RETENTION = "INTERVAL 7 DAYS"
 
 
-def _ordered() -> Window:
-    return Window.partitionBy("sha256").orderBy("created_at", "id")
-
-
 def content_hash(content: str | Column) -> Column:
     return F.sha2(content if isinstance(content, Column) else F.col(content), 256)
 
@@ -19,19 +15,18 @@ def content_hash(content: str | Column) -> Column:
 def flagged(media: DataFrame, now: Column) -> DataFrame:
     """Every group keeps its earliest member; the others are flagged, once.
 
-    The earliest counts all members, also unflagged ones, which stay as they are. A null hash has no copies. Ranks are
-    found on ids and times alone; groups are ranked by a sorted window, so a large group spills but is never held.
+    The earliest counts all members, also unflagged ones, which stay as they are. A null hash has no copies. The
+    earliest is a grouped minimum, found before the shuffle as far as it goes, so a large group is never sorted.
     """
-    known = media.where("sha256 is not null").select("id", "sha256", "created_at")
-    ranks = known.select("id", F.row_number().over(_ordered()).alias("_rank"), F.first("id").over(_ordered()).alias("_first"))
-    out = media.join(ranks, "id", "left")
-    kept, stays = F.coalesce(F.col("_rank"), F.lit(1)) == 1, F.col("dup_status") == "unflagged"
+    first = media.where("sha256 is not null").groupBy("sha256").agg(F.min(F.struct("created_at", "id"))["id"].alias("_first"))
+    out = media.join(first, "sha256", "left").select(*media.columns, "_first")
+    kept, stays = F.coalesce(F.col("_first"), F.col("id")) == F.col("id"), F.col("dup_status") == "unflagged"
     was = F.col("dup_status") == "dup"
     return (
         out.withColumn("dup_flagged_at", F.when(stays, F.col("dup_flagged_at")).when(~kept, F.when(was, F.coalesce("dup_flagged_at", now)).otherwise(now)))
         .withColumn("dup_of_media_id", F.when(stays, F.col("dup_of_media_id")).when(~kept, F.col("_first")))
         .withColumn("dup_status", F.when(stays, F.col("dup_status")).otherwise(F.when(kept, "nondup").otherwise("dup")))
-        .drop("_rank", "_first")
+        .drop("_first")
     )
 
 
@@ -69,6 +64,7 @@ def first_of(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return best.select(*key, "r.*").select(*rows.columns)
 
 
-def unseen(rows: DataFrame, seen: DataFrame, key: str, force: bool = False) -> DataFrame:
-    """Rows whose key was not seen before, each key once in each of its first places; force keeps seen ones."""
-    return rows if force else rows.join(seen.select(key).distinct(), key, "left_anti")
+def unseen(rows: DataFrame, seen: DataFrame, key: str, place: str = "position", force: bool = False) -> DataFrame:
+    """Rows whose key was not seen before, each key once, at its first place; force keeps those seen, too."""
+    fresh = rows if force else rows.join(seen.select(key).distinct(), key, "left_anti")
+    return first_of(fresh.select(*rows.columns), [key], [place])

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 DIMENSION = 384
+#: The words of a record.
+EMOTIONS = ["confusion", "surprise", "joy", "anger", "sadness", "awkwardness"]
+SUBJECTS = ["cartoon character", "person", "animal", "text overlay"]
 
 
 def embedding(text: Column, dimension: int = DIMENSION) -> Column:
@@ -20,16 +23,27 @@ def embedding(text: Column, dimension: int = DIMENSION) -> Column:
     @F.pandas_udf(ArrayType(FloatType()))
     def vector(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
-            raw = [np.frombuffer(hashlib.shake_256((t or "").encode()).digest(4 * dimension), "<u4") for t in s]
-            centred = [r.astype(np.float64) / 2**31 - 1 for r in raw]
-            yield pd.Series([(c / (np.linalg.norm(c) or 1)).astype(np.float32) for c in centred], dtype=object)
+            raw = [np.frombuffer(hashlib.shake_256((t or "").encode()).digest(4 * dimension), ">u4") for t in s]
+            spread = [r.astype(np.float64) / 0xFFFFFFFF * 2 - 1 for r in raw]
+            yield pd.Series([(c / n if (n := np.linalg.norm(c)) else np.eye(1, dimension)[0]).astype(np.float32) for c in spread], dtype=object)
 
     return vector(text)
 
 
-def picked(text: Column, vocabulary: list[str], n: int = 3) -> Column:
-    """n distinct words of a vocabulary, chosen by the bytes of a text's hash."""
-    digest = F.sha2(text, 256)
-    at = [F.pmod(F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long"), F.lit(len(vocabulary))).cast("int") for i in range(n)]
-    words = F.array(*[F.lit(w) for w in vocabulary])
-    return F.array_distinct(F.array(*[F.get(words, i) for i in at]))
+def picked(digest: Column, vocabulary: list[str], n: int = 3, skip: int = 0) -> Column:
+    """The first n distinct words that the bytes of a hexadecimal digest name, from byte `skip` on."""
+    names = F.array(*[F.lit(w) for w in vocabulary])
+    bytes_ = F.transform(F.sequence(F.lit(skip), F.lit(31)), lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("int") % len(vocabulary))
+    return F.transform(F.slice(F.array_distinct(bytes_), 1, n), lambda i: F.get(names, i))
+
+
+def analyzed(content: str | Column, mime: str | Column, tags: list[str], emotions: list[str] = EMOTIONS, subjects: list[str] = SUBJECTS) -> Column:
+    """The record of an image: words chosen by the hash of its type and content."""
+    content, mime = (F.col(c) if isinstance(c, str) else c for c in (content, mime))
+    digest = F.sha2(F.concat(F.encode(mime, "UTF-8"), content), 256)
+    short, chosen = F.substring(digest, 1, 8), picked(digest, tags, 4)
+    return F.struct(
+        F.concat(F.lit("Mock image mime="), mime, F.lit(" size="), F.octet_length(content), F.lit(" analysis hash="), short).alias("description"), chosen.alias("tags"),
+        picked(digest, emotions, 2, 4).alias("emotions"), picked(digest, subjects, 1, 8).alias("subjects"), F.lit("reaction meme").alias("meme_context"),
+        F.array(F.concat(F.get(chosen, F.lit(0)), F.lit(" reaction")), F.concat(F.lit("mock meme "), short)).alias("suggested_search_phrases"),
+    )

@@ -108,10 +108,10 @@ def status_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
 
 
-@_query(f"WITH {V.MEDIA} SELECT id, CASE WHEN id < 100 AND id % 2 = 0 THEN NOT is_favorite ELSE is_favorite END AS is_favorite FROM media")
+@_query(f"WITH {V.MEDIA} SELECT id, CASE WHEN processing_status = 'READY' THEN NOT is_favorite ELSE is_favorite END AS is_favorite FROM media")
 def patched_favorites(spark: SparkSession, d: str) -> DataFrame:
     m = V.media(spark, d)
-    changes = m.where("id < 100 and id % 2 = 0").select("id", (~F.col("is_favorite")).alias("is_favorite"), F.lit("x").alias("sha256"))
+    changes = m.where("processing_status = 'READY'").select("id", (~F.col("is_favorite")).alias("is_favorite"), F.lit("x").alias("sha256"))
     return catalog.patched(m, changes).select("id", "is_favorite")
 
 
@@ -158,10 +158,10 @@ def purge_cascade(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.without(V.sources(spark, d), duplicates.purgeable(V.media(spark, d), _now(_PURGE_NOW))).select("id", "media_id")
 
 
-@_query(f"WITH {V.MEDIA} SELECT id, CASE WHEN id < 50 AND dup_status = 'dup' THEN 'unflagged' ELSE dup_status END AS dup_status FROM media")
+@_query(f"WITH {V.MEDIA} SELECT id, CASE WHEN is_favorite AND dup_status = 'dup' THEN 'unflagged' ELSE dup_status END AS dup_status FROM media")
 def unflagged_dups(spark: SparkSession, d: str) -> DataFrame:
     m = V.media(spark, d)
-    return duplicates.unflagged(m, m.where("id < 50").select("id")).select("id", "dup_status")
+    return duplicates.unflagged(m, m.where("is_favorite").select("id")).select("id", "dup_status")
 
 
 @_query("SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")
@@ -413,10 +413,23 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
     return comments.links(table(spark, d, "pages"), ".")
 
 
-@_query()
+_SITE = "CASE c_custkey % 8 " + " ".join(f"WHEN {i} THEN {{{i}}}" for i in range(8)) + " END"
+
+
+@_query(
+    f"""WITH p AS (SELECT c_custkey AS c, c_name, {_SITE.format(*[f"'{x[0]}'" for x in V.SITE_PAGES])} AS site, {_SITE.format(*[f"'{x[1]}'" for x in V.SITE_PAGES])} AS host, {_SITE.format(*[f"'{x[3]}'" for x in V.SITE_PAGES])} AS ident FROM customer)
+SELECT 'https://' || host || '/p/' || c AS url, site, 0::INTEGER AS position, replace(ident, '{{c}}', c::VARCHAR) AS comment_id, c_name AS author_name, 'Hi ' || c AS text, 'https://' || host || '/m/' || c || '.gif' AS media, NULL::VARCHAR AS error FROM p"""
+)
 def page_comments(spark: SparkSession, d: str) -> DataFrame:
-    """Comments of the pages of known sites."""
-    return comments.comments(table(spark, d, "pages"))
+    """Comments of pages of all eight sites, with the media that count."""
+    return comments.comments(V.site_pages(spark, d)).withColumn("media", F.array_join("media_urls", " ")).drop("media_urls")
+
+
+@_query("SELECT DISTINCT url, min(page_id) OVER (PARTITION BY url) AS position FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 5 = 0)")
+def unseen_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages not seen before, each once at its first place."""
+    p = table(spark, d, "pages").select("url", F.col("page_id").alias("position"))
+    return duplicates.unseen(p, p.where("position % 5 = 0"), "url").select("url", "position")
 
 
 # relational baseline

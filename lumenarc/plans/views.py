@@ -64,6 +64,27 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A comment page of each site: host, page around the comment of a customer ({c}, {name}), id of the comment.
+SITE_PAGES = (
+    ("asurascans", "asurascans.com", '<div id="comments-section"><div id="comment-{c}"><a href="/user/{c}"><img alt="{name}"></a><div class="text-zinc-300 leading-relaxed">Hi {c}</div><img alt="Comment media" src="/m/{c}.gif"><img src="/no.png"></div></div>', "{c}"),
+    ("mangadex", "forums.mangadex.org", '<article class="message--post" id="js-post-{c}" data-author="{name}"><div class="message-body"><div class="bbWrapper">Hi {c}</div>quoted<img class="smilie" src="/s.png"><img src="/styles/x.png"><img data-src="/m/{c}.gif"></div></article>', "{c}"),
+    ("mangapark", "mangapark.net", '<div data-name="comment-item" id="comment-{c}"><a href="https://x.y/u/1">no</a><a href="/u/{c}">{name}</a><div class="my-2">Hi {c}</div><div class="my-2"><img src="/m/{c}.gif"><img class="emoji" src="/e.png"></div></div>', "{c}"),
+    ("comix", "comix.to", '<li class="cm-item" id="cm-{c}_a"><a href="/u/{c}">{name}</a><div class="cm-item__content">Hi {c}</div><div class="cm-item__content"><video src="/m/{c}.gif"></video></div></li><li class="cm-item" id="{c}">no</li>', "{c}_a"),
+    ("thunderscans", "en-thunderscans.com", '<ul id="comments"><li class="mcs-comment" data-comment-id="{c}"><span class="mcs-comment-author">{name}</span><div class="mcs-comment-content-view">Hi {c}<img src="/m/{c}.gif"></div></li></ul>', "{c}"),
+    ("flamecomics", "flamecomics.xyz", '<div class="Comment-module__x__item" id="c{c}"><a aria-label="View profile: {name}">x</a><div id="comment-content-{c}">Hi {c}<img src="/m/{c}.gif"></div></div>', "c{c}"),
+    ("vortexscans", "vortexscans.org", '<div id="comments"><div data-comment-id="{c}"><article aria-label="{name}"><div class="comment-body">Hi {c}<img src="/m/{c}.gif"></div></article></div></div>', "{c}"),
+    ("hivetoons", "hivetoons.org", '<div id="comments"><div data-comment-id="{c}"><article aria-label="{name}"><div class="comment-body">Hi {c}<img srcset="/m/{c}.gif 1x, /big.gif 2x"></div></article></div></div>', "{c}"),
+)
+
+
+def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page with a comment for every customer, of each site in turn."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    filled = lambda t: F.replace(F.replace(F.lit(t), F.lit("{c}"), F.col("c_custkey").cast("string")), F.lit("{name}"), F.col("c_name"))
+    pick = lambda at: F.element_at(F.array(*[filled(p[at]) for p in SITE_PAGES]), (F.col("c_custkey") % len(SITE_PAGES)).cast("int") + 1)
+    return c.select(F.concat(F.lit("https://"), pick(1), F.lit("/p/"), "c_custkey").alias("url"), pick(2).alias("html"))
+
+
 _AT = f"epoch_ms(({EPOCH} + {{}})::BIGINT * 1000)"
 MEDIA = f"""media AS (SELECT doc_id AS id, {_pick_sql(EXTENSIONS, 'doc_id')} AS extension, {_AT.format('doc_id % 500 * 3600')} AS created_at, sha256(text) AS sha256, {_pick_sql(STATUSES, 'doc_id')} AS processing_status,
   CASE doc_id % 10 WHEN 0 THEN 'unflagged' WHEN 1 THEN 'dup' ELSE 'nondup' END AS dup_status, CASE WHEN doc_id % 10 = 1 THEN {_AT.format('doc_id % 20 * 86400')} END AS dup_flagged_at, NULL::BIGINT AS dup_of_media_id, doc_id % 7 = 0 AS is_favorite FROM documents)"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,28 +34,24 @@ def feed_items(replies: DataFrame, schema: str, items: str = "data") -> DataFram
 
 
 class Snapshots:
-    """A table that is replaced as a whole: each version is a folder, and a small pointer file names the current one.
+    """A table that is replaced as a whole: each version is a folder, and a small table names them in order.
 
-    The new version is complete before the pointer changes, so readers see the old table or the new one.
+    The new version is complete before it is named, so readers see the old table or the new one.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _pointer(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/current")
-        return jvm, path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _last(self) -> tuple[int, str | None]:
+        try:
+            names = self.spark.read.schema("number long, name string").parquet(f"{self.folder}/versions")
+            last = names.agg(F.max("number").alias("n"), F.max_by("name", "number").alias("name")).first()
+        except AnalysisException:
+            return 0, None
+        return last["n"] or 0, last["name"]
 
     def version(self) -> str | None:
-        jvm, path, fs = self._pointer()
-        if not fs.exists(path):
-            return None
-        stream = fs.open(path)
-        try:
-            return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
-        finally:
-            stream.close()
+        return self._last()[1]
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{self.version()}")
@@ -62,10 +59,5 @@ class Snapshots:
     def replace(self, df: DataFrame) -> DataFrame:
         name = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.folder}/{name}")
-        _, path, fs = self._pointer()
-        out = fs.create(path, True)
-        try:
-            out.write(bytearray(name.encode()))
-        finally:
-            out.close()
+        self.spark.createDataFrame([(self._last()[0] + 1, name)], "number long, name string").coalesce(1).write.mode("append").parquet(f"{self.folder}/versions")
         return self.read()

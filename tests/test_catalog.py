@@ -95,7 +95,7 @@ def test_comments(spark):
 
 def test_every_site_is_described():
     page = {
-        "mangadex": '<article class="message--post" id="js-post-5" data-author="A"><div class="message-body"><img class="smilie" src="/s.png"><img src="/k.png"><a href="/attachments/1/">f</a></div></article>',
+        "mangadex": '<article class="message--post" id="js-post-5" data-author="A"><div class="message-body"><div class="bbWrapper">t</div><img class="smilie" src="/s.png"><img src="/k.png"><a href="/attachments/1/">f</a></div></article>',
         "mangapark": '<div data-name="comment-item" id="comment-12"><div class="my-2">t<img src="/k.png"></div></div>',
         "comix": '<li class="cm-item" id="cm-7"><div class="cm-item__content">t<video src="/v.mp4"></video></div></li>',
         "thunderscans": '<ul id="comments"><li class="mcs-comment" data-comment-id="3"><div class="mcs-comment-content-view">t<img src="/k.png"></div></li></ul>',

@@ -107,6 +107,16 @@ def test_reindex(spark):
 
 
 def test_mock(spark):
-    rows = spark.createDataFrame([("x",), ("x",), ("y",)], "t string").select(mock.embedding(F.col("t"), 8).alias("v"), mock.picked(F.col("t"), ["a", "b", "c"]).alias("w")).collect()
+    import hashlib
+
+    rows = spark.createDataFrame([("x",), ("x",), ("y",)], "t string").select("t", mock.embedding(F.col("t"), 8).alias("v"), mock.picked(F.sha2("t", 256), ["a", "b", "c", "d", "e"], 2, 4).alias("w"), mock.analyzed(F.encode("t", "UTF-8"), F.lit("image/png"), ["p", "q", "r", "s", "t"]).alias("r")).collect()
     assert rows[0] == rows[1] != rows[2]
-    assert sum(x * x for x in rows[0]["v"]) == pytest.approx(1, abs=1e-5)
+    for r in rows:
+        assert sum(x * x for x in r["v"]) == pytest.approx(1, abs=1e-5)
+        raw = [int.from_bytes(hashlib.shake_256(r["t"].encode()).digest(32)[i : i + 4], "big") / 0xFFFFFFFF * 2 - 1 for i in range(0, 32, 4)]
+        assert r["v"] == pytest.approx([x / math.sqrt(sum(y * y for y in raw)) for x in raw], abs=1e-6)
+        assert r["w"] == list(dict.fromkeys("abcde"[b % 5] for b in hashlib.sha256(r["t"].encode()).digest()[4:]))[:2]
+        digest = hashlib.sha256(b"image/png" + r["t"].encode()).digest()
+        tags = list(dict.fromkeys("pqrst"[b % 5] for b in digest))[:4]
+        assert r["r"]["tags"] == tags and r["r"]["description"] == f"Mock image mime=image/png size=1 analysis hash={digest.hex()[:8]}"
+        assert r["r"]["suggested_search_phrases"] == [f"{tags[0]} reaction", f"mock meme {digest.hex()[:8]}"] and len(r["r"]["subjects"]) == 1
