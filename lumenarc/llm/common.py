@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,11 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
 
     Nothing needs the shuffle files of the write any more once the table is there, so they go when it ends.
     """
+    return passing(df, tag)[0]
+
+
+def passing(df: DataFrame, tag: str) -> tuple[DataFrame, Callable[[], None]]:
+    """A staged table and a function that empties it, for a table that only other staged tables are made from."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP)
@@ -30,7 +36,20 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    empty = spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(path), lambda: empty.write.mode("overwrite").parquet(path)
+
+
+def with_counts(rows: DataFrame, counts: DataFrame, on: list[str]) -> DataFrame:
+    """rows, a stored table, joined with counts, which holds a row for a key and in c the number of rows it has in rows.
+
+    Keys of more than a quarter of a task's share of the rows meet their counts by broadcast, so no task gets a whole hot
+    key; there are fewer than four such keys for each task. The other keys are shuffled.
+    """
+    share = rows.count() // (4 * partitions(rows.sparkSession)) + 1
+    hot = F.broadcast(counts.where(F.col("c") > share))
+    cold = rows.join(hot.select(*on), on, "left_anti").join(counts.where(F.col("c") <= share), on)
+    return rows.join(hot, on).unionByName(cold)
 
 
 def partitions(spark: SparkSession) -> int:

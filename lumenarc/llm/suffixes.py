@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenarc.llm import kernels as K
-from lumenarc.llm.common import partitions, staged, text_or_empty
+from lumenarc.llm.common import partitions, passing, staged, text_or_empty, with_counts
 
 WIDTH = 200
 GRAM = 16
@@ -239,17 +239,21 @@ def counted_marks(spans: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(k1, k2, lo, hi): window starts lo to hi of a text repeat elsewhere."""
-    found = staged(runs(docs), "runs")
-    anchors = found.groupBy("anchor").agg(F.count("*").alias("c"), (F.min("content") == F.max("content")).alias("alike")).where("c > 1").select("anchor", "alike")
+    found, drop_runs = passing(runs(docs), "runs")
+    anchors = found.groupBy("anchor").agg(F.count("*").alias("c"), (F.min("content") == F.max("content")).alias("alike")).where("c > 1")
     told = lambda c: F.when(~F.col("alike"), F.col(c)).alias(c)  # noqa: E731  of no use once runs are known to be alike
-    shared = staged(found.join(anchors, "anchor").select(told("anchor"), told("content"), *KEY, "lo", "hi", "alike"), "shared")
+    shared = staged(with_counts(found, anchors, ["anchor"]).select(told("anchor"), told("content"), *KEY, "lo", "hi", "alike"), "shared")
+    drop_runs()
     unlike = shared.where("not alike")
     kinds = unlike.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.min(F.struct(*KEY, "lo", "hi")).alias("r"))
-    kinds = staged(kinds.select("anchor", "content", (F.col("c") == 1).alias("single"), "r.*"), "kinds")
-    copies = unlike.join(kinds.where("not single").select("anchor", "content"), ["anchor", "content"], "left_semi")
+    kinds = staged(kinds.select("anchor", "content", "c", "r.*"), "kinds")
+    copies = with_counts(unlike, kinds.where("c > 1").select("anchor", "content", "c"), ["anchor", "content"])
     whole = shared.where("alike").select(*KEY, "lo", "hi").unionByName(copies.select(*KEY, "lo", "hi"))
     # texts of unlike runs, cut from their documents
-    cuts = kinds.groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "single", "lo", "hi")).alias("cuts"))  # at most the runs of one text
+    each = kinds.withColumnRenamed("c", "rows")
+    each = with_counts(each, each.groupBy("anchor").agg(F.count("*").alias("c")), ["anchor"])
+    each = each.select(*KEY, F.struct("anchor", (F.col("rows") == 1).alias("single"), "lo", "hi", (F.col("c") > HOT).alias("hot")).alias("run"))
+    cuts = each.groupBy(*KEY).agg(F.collect_list("run").alias("cuts"))  # at most the runs of one text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
@@ -262,15 +266,14 @@ def repeats(docs: DataFrame) -> DataFrame:
                 take = pa.array(np.zeros(len(wanted), np.int64))
                 part = batch.slice(i, 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([w["anchor"] for w in wanted], pa.int64()), part.column(0).take(take), part.column(1).take(take), pa.array([w["lo"] for w in wanted], pa.int32()), pa.array([w["single"] for w in wanted], pa.bool_()), pa.array([raw[w["lo"] : w["hi"] + WIDTH] for w in wanted], pa.binary())],
-                    names=["anchor", *KEY, "lo", "single", "span"],
+                    [pa.array([w["anchor"] for w in wanted], pa.int64()), part.column(0).take(take), part.column(1).take(take), pa.array([w["lo"] for w in wanted], pa.int32()), pa.array([w["single"] for w in wanted], pa.bool_()), pa.array([raw[w["lo"] : w["hi"] + WIDTH] for w in wanted], pa.binary()), pa.array([w["hot"] for w in wanted], pa.bool_())],
+                    names=["anchor", *KEY, "lo", "single", "span", "hot"],
                 )
 
     # a single run is of a row without a twin, so twins only repeat spans that are known to repeat
     texts = keyed(docs).select(*KEY, "text").join(cuts, KEY).select(*KEY, "text", "cuts")
-    spans = staged(texts.mapInArrow(cut, "anchor long, k1 long, k2 long, lo int, single boolean, span binary"), "spans")
-    hot = kinds.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("anchor")
-    marks = array_marks(spans.join(hot, "anchor", "left_anti")).unionByName(counted_marks(spans.join(hot, "anchor", "left_semi")))
+    spans = staged(texts.mapInArrow(cut, "anchor long, k1 long, k2 long, lo int, single boolean, span binary, hot boolean"), "spans")
+    marks = array_marks(spans.where("not hot")).unionByName(counted_marks(spans.where("hot")))
     return whole.unionByName(marks)
 
 
