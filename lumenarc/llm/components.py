@@ -1,7 +1,7 @@
 """Connected components of links, by large-star and small-star steps on DataFrames.
 
 Each step is one grouped minimum and one join; nodes with very many links are pre-aggregated before the shuffle, and
-their join can be split. Steps are written to the shared folder, so no plan grows and lost executors cost one step.
+the large step, which starts from a stored table, meets them by broadcast. Steps are written to the shared folder, so no plan grows and lost executors cost one step.
 """
 
 from __future__ import annotations
@@ -9,17 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenarc.llm.common import staged
+from lumenarc.llm.common import staged, with_counts
 
 
 def _least(directed: DataFrame) -> DataFrame:
-    """directed (u, v): u with the least of itself and its neighbours v."""
-    return directed.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    """directed (u, v): u with the least of itself and its neighbours v, and in c its number of rows."""
+    return directed.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return with_counts(both, _least(both), ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenarc.llm import kernels as K
-from lumenarc.llm.common import partitions, staged, text_or_empty
+from lumenarc.llm.common import partitions, passing, staged, text_or_empty, with_counts
 from lumenarc.llm.components import labels
 
 SHINGLE = 5
@@ -264,12 +264,13 @@ def open_groups(rows: DataFrame, label: DataFrame) -> DataFrame:
     Regions with the same least node are one group. In a group, the nodes outside its largest component (left) meet
     all its nodes; both sides are dealt into blocks, and a row stands for a node in one pair of blocks.
     """
-    marked = staged(_with_label(rows.select("key", "node"), label, "node", "label"), "marked")
-    several = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("g")).where("lo <> hi").select("key", "g")
-    members = staged(marked.join(several, "key").select("g", "node", "label").distinct(), "members")
+    marked, drop_marked = passing(_with_label(rows.select("key", "node"), label, "node", "label"), "marked")
+    several = marked.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("g")).where("lo <> hi").select("key", "c", "g")
+    members = staged(with_counts(marked, several, ["key"]).select("g", "node", "label").distinct(), "members")
+    drop_marked()
     sizes = members.groupBy("g", "label").agg(F.count("*").alias("c")).groupBy("g").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"))
-    sizes = sizes.select("g", F.col("top.label").alias("main"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("fbs"), F.ceil(F.col("all") / BLOCK).cast("int").alias("mbs"))
-    placed = members.join(sizes, "g").withColumn("h", F.xxhash64("node"))
+    sizes = sizes.select("g", F.col("all").alias("c"), F.col("top.label").alias("main"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("fbs"), F.ceil(F.col("all") / BLOCK).cast("int").alias("mbs"))
+    placed = with_counts(members, sizes, ["g"]).withColumn("h", F.xxhash64("node"))
     fb, mb = F.pmod("h", F.greatest("fbs", F.lit(1))).cast("int"), F.pmod("h", "mbs").cast("int")
     each = lambda n: F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)
     right = placed.select("g", F.explode(each(F.col("fbs"))).alias("fb"), mb.alias("mb"), F.lit(0).alias("left"), "node", "label")
@@ -367,12 +368,13 @@ def block_links(rows: DataFrame) -> DataFrame:
 
 def linked_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Labels of the nodes that have links."""
-    rows = staged(forest(nodes), "forest")
+    rows, drop_rows = passing(forest(nodes), "forest")
     chosen = staged(first_choices(neighbours(rows)), "chosen")
     done = confirmed(chosen, _texts(docs, nodes, chosen.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
     links = done.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     label = labels(links)
     rest = staged(open_groups(rows, label), "open")
+    drop_rows()
     more = staged(block_links(rest.join(_texts(docs, nodes, rest.select("node").distinct()), "node")), "links")
     if more.isEmpty():
         return label
