@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenarc.llm import forest, mixing, packing, quality, secrets
-from lumenarc.llm.common import staged
+from lumenarc.llm.common import passing
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,6 +41,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each but the last is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    drop_before = None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        docs, drop = passing(stage(spark, docs, sf_dir), name)
+        if drop_before:  # its successor is written, and nothing reads it any more
+            drop_before()
+        drop_before = drop
     return STAGES[-1][1](spark, docs, sf_dir)
