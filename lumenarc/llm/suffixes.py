@@ -31,6 +31,8 @@ GRAM = 16
 HOT = 4096
 #: Bytes of one suffix array; a group of runs is never split.
 ARRAY_BYTES = 1 << 19
+#: Bytes of the spans that are sent on at once.
+SPAN_BYTES = 1 << 24
 SEPARATOR = 0xFF  # in no UTF-8 text
 _PLACE = np.uint64((1 << 28) - 1)
 KEY = ["k1", "k2"]
@@ -258,15 +260,24 @@ def repeats(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
         for batch in batches:
-            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if key == before:  # a twin, next to its like as the join has sorted them
-                    continue
-                before = key
-                raw, wanted = batch.column(2)[i].as_py().encode("utf-8"), batch.column(3)[i].as_py()
-                take = pa.array(np.zeros(len(wanted), np.int64))
-                part = batch.slice(i, 1)
+            if not batch.num_rows:
+                continue
+            k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            fresh = np.ones(len(k1), bool)  # twins stand next to their likes as the join has sorted them
+            fresh[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+            fresh[0] = (k1[0], k2[0]) != before
+            before = (k1[-1], k2[-1])
+            batch = batch.filter(pa.array(fresh))
+            wanted = batch.column(3).flatten()
+            owner = np.repeat(np.arange(batch.num_rows), batch.column(3).value_lengths().to_numpy())
+            lo, hi = wanted.field("lo").to_numpy(), wanted.field("hi").to_numpy()
+            raw = batch.column(2).cast(pa.binary()).to_pylist()
+            through = np.cumsum(hi.astype(np.int64) - lo + WIDTH)
+            for part in np.split(np.arange(len(lo)), np.flatnonzero(np.diff(through // SPAN_BYTES)) + 1):
+                of, runs_of = pa.array(owner[part]), wanted.take(pa.array(part))
+                span = [raw[i][x : y + WIDTH] for i, x, y in zip(owner[part].tolist(), lo[part].tolist(), hi[part].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([w["anchor"] for w in wanted], pa.int64()), part.column(0).take(take), part.column(1).take(take), pa.array([w["lo"] for w in wanted], pa.int32()), pa.array([w["single"] for w in wanted], pa.bool_()), pa.array([raw[w["lo"] : w["hi"] + WIDTH] for w in wanted], pa.binary()), pa.array([w["hot"] for w in wanted], pa.bool_())],
+                    [runs_of.field("anchor"), batch.column(0).take(of), batch.column(1).take(of), runs_of.field("lo"), runs_of.field("single"), pa.array(span, pa.binary()), runs_of.field("hot")],
                     names=["anchor", *KEY, "lo", "single", "span", "hot"],
                 )
 
