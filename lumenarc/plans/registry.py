@@ -7,8 +7,9 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenarc.functions import analysis as A
 from lumenarc.functions import text as T
-from lumenarc.operators import catalog, comments, duplicates, history, hybrid, keyword, vectors, workqueue
+from lumenarc.operators import catalog, comments, duplicates, history, hybrid, jobs, keyword, vectors, workqueue
 from lumenarc.plans import views as V
 from lumenarc.session import table
 from lumenarc.sources.shared import shared_dir
@@ -432,6 +433,99 @@ def unseen_pages(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.unseen(p, p.where("position % 5 = 0"), "url").select("url", "position")
 
 
+# jobs
+
+
+@_query(f"WITH {V.JOBS} SELECT id, job_type FROM jobs WHERE status = 'failed' ORDER BY id DESC LIMIT 100")
+def failed_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """The newest hundred failed jobs (the page is the feature)."""
+    return jobs.listed(V.jobs(spark, d), "failed", 100).select("id", "job_type")
+
+
+@_query(f"WITH {V.JOBS} SELECT id, progress, CASE WHEN id % 4 < 2 THEN 'https://a.b/' || id WHEN id % 4 = 2 THEN '' END AS url FROM jobs")
+def job_records(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.record(V.jobs(spark, d)).select("id", "progress", F.col("params")["url"].alias("url"))
+
+
+@_query(f"WITH {V.JOBS} SELECT job_type, max(id) AS id, arg_max(status, id) AS status FROM jobs GROUP BY 1")
+def newest_jobs(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.newest(V.jobs(spark, d))
+
+
+@_query(f"WITH {V.JOBS} SELECT id, 'https://a.b/' || id AS url, 'current_page' AS scope, 0::INTEGER AS n_urls, false AS force_rescan FROM jobs WHERE job_type = 'crawl' AND id % 4 = 0")
+def resumable_crawls(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.resumable(V.jobs(spark, d)).select("id", "url", "scope", F.size("urls").alias("n_urls"), "force_rescan")
+
+
+@_query("SELECT l_orderkey, l_linenumber, round(0.6 * l_linenumber / 7, 6) AS crawling, round(0.6 + 0.4 * l_linenumber / 7, 6) AS loading FROM lineitem")
+def crawl_progress(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.lit(7).alias("n"))
+    return rows.select("l_orderkey", "l_linenumber", F.round(jobs.crawl_progress("l_linenumber", "n"), 6).alias("crawling"), F.round(jobs.crawl_progress("n", "n", "l_linenumber", "n"), 6).alias("loading"))
+
+
+@_query("SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM lineitem) WHERE k <= 3")
+def capped_downloads(spark: SparkSession, d: str) -> DataFrame:
+    """The first three media of each crawl (the cap is the feature)."""
+    return jobs.within_cap(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber", 3)
+
+
+@_query(
+    """SELECT l_orderkey, count_if(l_returnflag = 'R') AS ready, count_if(l_returnflag = 'A') AS failed, count_if(l_returnflag = 'N') AS deferred,
+  arg_max('media_id=' || l_partkey || ': ' || l_returnflag, (l_linenumber, 'media_id=' || l_partkey || ': ' || l_returnflag)) FILTER (l_returnflag <> 'R') AS last_error FROM lineitem GROUP BY 1"""
+)
+def queue_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    outcome = F.expr("CASE l_returnflag WHEN 'R' THEN 'ready' WHEN 'A' THEN 'failed' ELSE 'deferred' END")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("media_id"), outcome.alias("outcome"), F.col("l_returnflag").alias("error"))
+    return jobs.outcome_counts(rows, "l_orderkey", "l_linenumber")
+
+
+@_query(f"WITH {V.ITEMS} SELECT id, error_retryable OR coalesce(processing_status = 'FAILED' AND next_retry_at IS NOT NULL, false) AS error_retryable, epoch(CASE WHEN processing_status = 'FAILED' AND next_retry_at IS NOT NULL THEN {_now_sql()} ELSE next_retry_at END)::BIGINT AS retry FROM items")
+def reopened_items(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.reopened(V.items(spark, d), _now()).select("id", "error_retryable", F.unix_seconds("next_retry_at").alias("retry"))
+
+
+@_query("SELECT o_custkey AS backfill_id, min(o_orderkey) AS id FROM orders WHERE o_orderstatus = 'O' GROUP BY 1")
+def next_items(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("backfill_id"), F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "pending").otherwise("done").alias("status"))
+    return jobs.next_pending(rows)
+
+
+@_query("SELECT o_orderkey AS id FROM orders WHERE o_custkey = 7 AND o_orderstatus = 'O' ORDER BY 1 LIMIT 5 OFFSET 2")
+def items_page(spark: SparkSession, d: str) -> DataFrame:
+    """Five open items of one run (the page is the feature)."""
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("backfill_id"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    return jobs.items_page(rows, 7, "O", 5, 2).select("id")
+
+
+@_query(f"WITH {V.SOURCES} SELECT site FROM (SELECT site FROM sources WHERE site <> '' UNION SELECT unnest(['comix', 'mangadex', 'elsewhere'])) ORDER BY 1")
+def site_choices(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.site_choices(V.sources(spark, d), ["mangadex", "comix"], "elsewhere")
+
+
+@_query(f"SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 <> 0 AND (c_custkey % 5 = 0 OR {NOW} - ({V.EPOCH} - c_custkey * 10) >= 3600)")
+def due_series(spark: SparkSession, d: str) -> DataFrame:
+    at = F.when(F.expr("c_custkey % 5 <> 0"), F.timestamp_seconds(F.lit(V.EPOCH) - F.col("c_custkey") * 10))
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.expr("c_custkey % 3 <> 0").alias("enabled"), at.alias("last_scanned_at"))
+    return jobs.due_series(rows, V.jobs(spark, d).where("status <> 'running'"), _now()).select("id")
+
+
+@_query(
+    """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'description' WHEN 2 THEN 'object' WHEN 3 THEN 'tags' WHEN 4 THEN NULL ELSE 'emotions' END AS error,
+  CASE doc_id % 6 WHEN 0 THEN source WHEN 4 THEN '' END AS description, CASE doc_id % 6 WHEN 0 THEN '["a","b"]' WHEN 4 THEN '[]' END AS tags FROM documents"""
+)
+def normalized_replies(spark: SparkSession, d: str) -> DataFrame:
+    reply = F.expr("""CASE doc_id % 6 WHEN 0 THEN concat('{"description":"', source, '","tags":["a","b"],"emotions":null}') WHEN 1 THEN '{"description":5}' WHEN 2 THEN '[1]' WHEN 3 THEN '{"tags":["a",1]}' WHEN 4 THEN '{"description":null,"tags":[]}' ELSE '{"emotions":["a",null]}' END""")
+    rows = table(spark, d, "documents").select("doc_id", A.normalized(reply).alias("x"))
+    return rows.select("doc_id", "x.error", "x.description", F.when(F.col("x.error").isNull(), A.json_array("x.tags")).alias("tags"))
+
+
+@_query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'mismatch' WHEN 2 THEN 'unsupported' ELSE 'unknown content' END AS problem FROM part")
+def media_problems(spark: SparkSession, d: str) -> DataFrame:
+    said = F.expr("CASE p_partkey % 4 WHEN 0 THEN 'image/JPG' WHEN 1 THEN 'video/mp4' WHEN 2 THEN 'text/html' END")
+    found = F.expr("CASE WHEN p_partkey % 4 < 3 THEN 'image/jpeg' END")
+    return table(spark, d, "part").select("p_partkey", A.media_problem(said, found).alias("problem"))
+
+
 # relational baseline
 
 

@@ -64,6 +64,18 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Job types and states, by the key and the status of an order.
+JOB_TYPES = ("crawl", "ai_analysis", "duplicates")
+#: Parameters of a job: a url, one that a backfill owns, an empty url, no JSON.
+_PARAMS = "CASE id % 4 WHEN 0 THEN '{\"url\":\"https://a.b/' || id || '\"}' WHEN 1 THEN '{\"url\":\"https://a.b/' || id || '\",\"owner\":\"backfill\"}' WHEN 2 THEN '{\"url\":\"\"}' ELSE '{' END"
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs, one an order."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), _pick(JOB_TYPES, "o_orderkey").alias("job_type"), F.expr("CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'running' ELSE 'completed' END").alias("status"))
+    return rows.select("*", F.expr("(id % 5) / 4d").alias("progress"), F.expr(_PARAMS).alias("params"))
+
+
 #: A comment page of each site: host, page around the comment of a customer ({c}, {name}), id of the comment.
 SITE_PAGES = (
     ("asurascans", "asurascans.com", '<div id="comments-section"><div id="comment-{c}"><a href="/user/{c}"><img alt="{name}"></a><div class="text-zinc-300 leading-relaxed">Hi {c}</div><img alt="Comment media" src="/m/{c}.gif"><img src="/no.png"></div></div>', "{c}"),
@@ -95,6 +107,8 @@ TEXTS = "texts AS (SELECT doc_id AS id, text AS description, lang || ' ' || sour
 ITEMS = f"""items AS (SELECT o_orderkey AS id, {_pick_sql(STATUSES, 'o_orderkey')} AS processing_status, (o_orderkey % 6)::INTEGER AS attempts, CASE WHEN o_orderkey % 3 <> 0 THEN {_AT.format('o_orderkey % 1000')} END AS next_retry_at,
   o_orderkey % 4 <> 0 AS error_retryable, (o_orderkey % 5)::INTEGER AS revives, o_orderkey % 2 = 0 AS has_analysis FROM orders)"""
 
+JOBS = f"""jobs AS (SELECT o_orderkey AS id, {_pick_sql(JOB_TYPES, 'o_orderkey')} AS job_type, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'running' ELSE 'completed' END AS status, (o_orderkey % 5) / 4.0::DOUBLE AS progress FROM orders)"""
+
 
 def tokens_sql(column: str) -> str:
     return f"regexp_extract_all(strip_accents(lower(coalesce({column}, ''))), '[\\p{{L}}\\p{{N}}]+')"
