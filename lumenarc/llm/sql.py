@@ -1,6 +1,6 @@
 """DuckDB equivalents of the operators that SQL can express."""
 
-from lumenarc.llm import mixing, quality, slots
+from lumenarc.llm import decontaminate, mixing, quality, slots, trie, vafile
 
 SLOTS = f"""
 WITH RECURSIVE crc(b, c, k) AS (
@@ -74,3 +74,66 @@ f AS (
 b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * n_kept_words >= {quality.KEEP_PERCENT} * n_words AS kept, n_lines_removed, n_kept_words FROM b
 """
+
+
+def _vectors() -> str:
+    """Rounds as numbered tables: b<k> entries, a<k> assignments (distance * N_ENTRIES + entry, so ties go to the lower entry)."""
+    n, parts = vafile.N_ENTRIES, vafile.N_PARTS
+    out = f"""
+WITH r AS (SELECT row_number() OVER () AS k, vec_id, label, embedding AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS (SELECT greatest((max(len(v)) + {parts - 1}) // {parts}, 1) AS d FROM r),
+x AS (SELECT k, vec_id, label, i // d AS part, i % d AS pos, CASE WHEN i < len(v) THEN floor({vafile.SCALE} * v[i + 1]::DOUBLE)::BIGINT ELSE 0 END AS x FROM (SELECT k, vec_id, label, v, d, unnest(range(d * {parts})) AS i FROM r, w)),
+s AS (SELECT k, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM r WHERE vec_id IS NOT NULL QUALIFY entry < {n}),
+b0 AS (SELECT part, entry, pos, x AS y FROM x JOIN s USING (k))"""
+    for k in range(vafile.ROUNDS + 1):
+        out += f""",
+a{k} AS (SELECT k, part, min(apart * {n} + entry) AS best FROM (SELECT k, part, entry, sum((x - y) * (x - y))::BIGINT AS apart FROM x JOIN b{k} USING (part, pos) GROUP BY k, part, entry) GROUP BY k, part)"""
+        if k < vafile.ROUNDS:
+            out += f""",
+m{k} AS (SELECT part, best % {n} AS entry, pos, sum(x)::BIGINT AS t, count(*) AS c FROM a{k} JOIN x USING (k, part) GROUP BY ALL),
+b{k + 1} AS (SELECT b{k}.part, b{k}.entry, b{k}.pos, CASE WHEN c IS NULL THEN y ELSE (t - ((t % c) + c) % c) // c END AS y FROM b{k} LEFT JOIN m{k} USING (part, entry, pos))"""
+    last = vafile.ROUNDS
+    return out + f""",
+e AS (SELECT k, string_agg(printf('%02x', best % {n}), '' ORDER BY part) AS code, sum(best // {n})::BIGINT AS error FROM a{last} GROUP BY k),
+h AS (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b{last})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM r JOIN e USING (k), h
+"""
+
+
+VECTORS = _vectors()
+
+TRIE = f"""
+WITH RECURSIVE crc(b, c, k) AS (
+  SELECT range, range, 0 FROM range(256)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY b) AS t FROM crc WHERE k = 8),
+own AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (
+  SELECT conv_id, turns, conv_id - conv_id % {trie.FAMILY} AS base,
+    xor(list_reduce(list_prepend(4294967295, list_transform(range(1, strlen(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) % {trie.STARTS} AS h
+  FROM own, crc_table),
+built AS (SELECT heads.conv_id, list_concat(coalesce(own.turns, [])[1:h], heads.turns[h + 1:]) AS turns FROM heads LEFT JOIN own ON own.conv_id = heads.base),
+prefix AS (SELECT conv_id, turns, d, turns[1:d] AS p FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM built)),
+nodes AS (
+  SELECT p, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(turns) = d)), sha256('')) AS ends_sha256,
+    (count(*) - 1) * strlen(CASE WHEN d = 0 THEN '' ELSE p[d].text END) AS saved
+  FROM prefix GROUP BY p, d),
+children AS (SELECT p[1:depth - 1] AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (p)),
+ups AS (SELECT p[1:a] AS p, n_children = 0 AS leaf, saved FROM (SELECT *, unnest(range(depth + 1)) AS a FROM full_nodes)),
+totals AS (SELECT p, count_if(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM ups GROUP BY p)
+SELECT f.conv_id, f.depth, g.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+FROM full_nodes f JOIN totals USING (p) LEFT JOIN full_nodes g ON f.depth > 0 AND g.p = f.p[1:f.depth - 1]
+"""
+
+BENCHMARK = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{decontaminate.WORDS}') AS w FROM documents),
+i AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{decontaminate.WORDS}') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, n, array_to_string(w[s:s + n - 1], ' ') AS win FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM (SELECT *, least(len(w), {decontaminate.WINDOW}) AS n FROM i WHERE len(w) > 0))),
+dw AS (SELECT k, s, n, array_to_string(w[s:s + n - 1], ' ') AS win FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM iw))),
+hits AS (SELECT k, s, n, item FROM dw JOIN iw USING (n, win)),
+words AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT k, s, n FROM hits)) GROUP BY k),
+items AS (SELECT k, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT k, item FROM hits) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN words USING (k) LEFT JOIN items USING (k)
+"""
