@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lumenarc.sources.shared import shared_dir
 
@@ -52,6 +54,18 @@ def with_counts(rows: DataFrame, counts: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(hot, on).unionByName(cold)
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of docs, of any type and name, as one struct."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
+
+
+def map_batches(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """run over the batches of docs, in and out by place, so that columns may have any name."""
+    places = [f"c{i}" for i in range(len(docs.columns))]
+    schema = StructType([StructField(c, f.dataType, f.nullable) for c, f in zip(places, docs.schema, strict=True)])
+    return docs.toDF(*places).mapInArrow(run, schema).toDF(*docs.columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

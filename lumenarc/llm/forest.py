@@ -9,8 +9,8 @@ region that still holds several components is worked off exactly: its nodes outs
 nodes, block by block, on full sets. Two sets of similarity 0.85 share no region with probability below 1e-5.
 
 Nulls: a null text has no words, so no set and no links; a row with a null id stands alone. Repeated rows and rows
-with equal sets are one node. Texts of fewer than five words are one shingle. An empty table gives no rows. Extra
-columns are not read.
+with equal sets are one node. Texts of fewer than five words are one shingle. An empty table gives no rows.
+near_duplicates() doesn't read extra columns, one_of_each() keeps them.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenarc.llm import kernels as K
-from lumenarc.llm.common import partitions, passing, staged, text_or_empty, with_counts
+from lumenarc.llm.common import partitions, passing, staged, text_or_empty, whole_row, with_counts
 from lumenarc.llm.components import labels
 
 SHINGLE = 5
@@ -404,7 +404,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each near-duplicate group, that of smallest id and then least hash; rows with a null id stay.
 
-    Rows without words are no group; those alike in id and text go too. Minima and counts are grouped on hashes alone,
+    Rows without words are no group; those alike in id and text go too, and of those that differ in other columns the one of
+    least digest stays. Columns may be of any type and name; an empty table stays empty. Minima and counts are grouped on hashes alone,
     and the rows of one id and text are spread over SALTS tasks by where they are read, so a group may have any size.
     """
     sets, component = grouped(docs)
@@ -414,10 +415,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     alone = light.where("label is null").select("doc_id", "row", "n")
     first = light.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "row", "n")).alias("r")).select("r.*")
     picked = staged(first.unionByName(alone), "picked")
-    rows = docs.where("doc_id is not null").withColumns({"__id": F.col("doc_id").cast("long"), "__row": F.xxhash64(text_or_empty()), "__salt": F.spark_partition_id() % SALTS})
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt")
-    wanted = picked.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), salts, F.col("n").alias("__n"))
-    found = rows.join(wanted, ["__id", "__row", "__salt"])
-    # the least of those that repeat each other; the minimum of each task goes on
-    once = found.where("__n > 1").groupBy("__id", "__row").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
-    return found.where("__n = 1").select(*docs.columns).unionByName(once).unionByName(docs.where("doc_id is null"))
+    rows = docs.where("doc_id is not null").select(whole_row(docs).alias("whole"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_or_empty()).alias("row"), (F.spark_partition_id() % SALTS).alias("salt"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    wanted = picked.select(F.col("doc_id").alias("id"), "row", salts, "n")
+    found = rows.join(wanted, ["id", "row", "salt"])
+    # of those that repeat each other the one of least digest; the least of each task goes on
+    once = found.where("n > 1").groupBy("id", "row").agg(F.min_by("whole", F.md5(F.to_json("whole"))).alias("whole"))
+    return found.where("n = 1").select("whole").unionByName(once.select("whole")).select("whole.*").unionByName(docs.where("doc_id is null"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenarc.llm.common import WORD, staged, text_or_empty
+from lumenarc.llm.common import WORD, staged, text_or_empty, whole_row
 
 #: Weights of the sources in the order of their names' code points, repeating.
 WEIGHTS = (1, 2, 3)
@@ -122,6 +122,6 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_R
     """
     rows = staged(sized(docs), "mix-rows")
     goals = staged(plan(rows, weights, most).select("g", "repeats", "cut"), "mix-plan")
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").cast("string").alias("own"), hashed().alias("h"))
+    held = docs.select(whole_row(docs).alias("row"), F.col("source").cast("string").alias("own"), hashed().alias("h"))
     taken = _planned(held, "own", goals).select("row", F.explode(F.array_repeat(F.lit(0), _copies().cast("int"))))
     return taken.select("row.*")

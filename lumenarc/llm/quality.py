@@ -9,8 +9,9 @@ words fails when
   * it is navigation: fewer than four words and no closing punctuation, or
   * it is boilerplate: at most 30 words and one of the phrases below.
 
-Nulls: a null text has no words, so base_failed. Long texts are handled whole. Repeated rows give repeated results.
-Extra columns of the input are not read.
+Nulls: a null text has no words, so base_failed; empty texts likewise. Long texts are handled whole. Repeated rows give
+repeated results; of equal lines the first stays; shares that meet a limit exactly pass. An empty table gives no rows.
+line_first() doesn't read extra columns, cleaned() keeps them, whatever their type and name.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenarc.llm import kernels as K
+from lumenarc.llm.common import map_batches
 
 SYMBOLS = b"#*$%&|<>"
 CLOSING = b".!?:;\"')]"
@@ -150,5 +152,5 @@ def cleaned(docs: DataFrame) -> DataFrame:
                 part = part.set_column(place, part.schema.field(place), texts)
                 yield part.filter(pa.array(figures["kept"]))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = map_batches(docs, run)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -6,7 +6,8 @@ by rule from a fixed seed, by maximum likelihood. Spans that the field finds out
 spans stay.
 
 Nulls: a null text is empty and has no spans. Repeated rows give repeated results; long texts are scanned whole;
-an empty table gives no rows. Ties between tags go to the lower tag. Extra columns of the input are not read.
+an empty table gives no rows. Ties between tags go to the lower tag. scan() doesn't read
+extra columns, redacted() keeps them, whatever their type and name.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenarc.llm import kernels as K
+from lumenarc.llm.common import map_batches
 
 #: Fixed patterns; a match of `assign` counts if its second group has MIN_ASSIGNED characters.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
@@ -319,5 +321,5 @@ def redacted(docs: DataFrame, mask: str = MASK) -> DataFrame:
                 texts = [(_masked(t.decode("utf-8"), found, mask) if found else t.decode("utf-8")) if ok else None for (t, _, found), ok in zip(scan_chunk(chunk, model), there, strict=True)]
                 yield part.set_column(place, part.schema.field(place), pa.array(texts, part.schema.field(place).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = map_batches(docs, run)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
