@@ -1,4 +1,8 @@
-"""A corpus pipeline: quality rules, near-duplicates, secrets, the source mix and packing, one operator each."""
+"""A corpus pipeline: quality rules, near-duplicates, secrets, the source mix and packing, one operator each.
+
+All stages but the last return the columns of their input, extra ones of any type and name included, and read texts
+whole, however long. An empty table passes through as one.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +13,45 @@ from lumenarc.llm.common import passing
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, without the lines that fail."""
+    """Documents that pass, without the lines that fail.
+
+    Null and empty texts have no words and go; of equal lines the first stays; repeated rows pass or go alike.
+    """
     return quality.cleaned(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, that of smallest id.
+
+    Repeated rows are one group; of rows alike in id and text the one of least digest stays. Rows without an id, and texts
+    without words (null ones too), belong to no group and stay.
+    """
     return forest.one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their secrets masked."""
+    """Documents with their secrets masked.
+
+    Null texts stay null and empty ones empty; every row stays, repeated ones too; of overlapping spans all is masked.
+    """
     return secrets.redacted(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's weight asks."""
+    """Documents as often as their source's weight asks.
+
+    A null source is one source, the last; null and empty texts have size 0 and are taken with their hash, as any row.
+    Repeated rows share their hash, so they are taken alike; ties at a threshold go in together.
+    """
     return mixing.mixed(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequences."""
+    """Token pieces with their sequences.
+
+    Null and empty texts are one token; long texts are cut; repeated rows have pieces of their own; pieces of one length
+    stand in the order of id and content. Only the columns of a piece are returned.
+    """
     return packing.pack(docs)
 
 
