@@ -37,51 +37,55 @@ def normalized(scores: DataFrame) -> DataFrame:
     return scores.crossJoin(F.broadcast(top)).select("id", F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(1.0).alias("score"))
 
 
-def tag_scores(index: DataFrame, query: str, rows: DataFrame | None = None, tag_text: Column | None = None, limit: int | None = CANDIDATES) -> DataFrame:
+def _spared(ranked: DataFrame, query: str, rows: DataFrame, tag_text: Column) -> DataFrame:
+    """Where ranked (id, score) is empty, rows whose tags hold every term."""
+    none = ranked.agg((F.count("*") == 0).alias("none"))
+    return keyword.containing(rows, query, tag_text).crossJoin(F.broadcast(none)).where("none").select("id", "score")
+
+
+def tag_scores(index: DataFrame | keyword.Index, query: str, rows: DataFrame | None = None, tag_text: Column | None = None, limit: int | None = CANDIDATES) -> DataFrame:
     """Scores by tags; where the index has no hit at all, rows whose tags hold every term."""
     ranked = normalized(keyword.bm25(index, query, ("tags",), limit))
-    if rows is None:
-        return ranked
-    none = ranked.agg((F.count("*") == 0).alias("none"))
-    spare = keyword.containing(rows, query, tag_text).crossJoin(F.broadcast(none)).where("none").select("id", "score")
-    return ranked.unionByName(spare)
+    return ranked if rows is None else ranked.unionByName(_spared(ranked, query, rows, tag_text))
+
+
+def text_scores(index: DataFrame | keyword.Index, query: str, limit: int = CANDIDATES, tag_rows: DataFrame | None = None, tag_text: Column | None = None) -> DataFrame:
+    """(name, id, score) by all columns, by tags and by metadata, each over its best; the index is read once."""
+    hits = keyword.best(index, query, {"keyword": None, "tag": ("tags",), "metadata": ("filename", "source_text")}, limit)
+    share = F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(1.0)
+    out = hits.select("name", "id", share.alias("score"))
+    if tag_rows is None:
+        return out
+    spare = _spared(out.where("name = 'tag'"), query, tag_rows, tag_text)
+    return out.unionByName(spare.select(F.lit("tag").alias("name"), "id", "score"))
 
 
-def fused(parts: dict[str, tuple[DataFrame, float]], allowed: DataFrame | None = None) -> DataFrame:
-    """parts: (id, score) and weight of each; ids with their weighted sum above 0, best first, ties by id."""
-    weighted = None
-    for name, (df, weight) in parts.items():
-        one = df.select("id", *[(F.col("score") if n == name else F.lit(0.0)).alias(n) for n in parts])
-        weighted = one if weighted is None else weighted.unionByName(one)
-    merged = weighted.groupBy("id").agg(*[F.max(n).alias(n) for n in parts])
+def fused(scores: DataFrame, weights: dict[str, float], allowed: DataFrame | None = None) -> DataFrame:
+    """scores (name, id, score) and the weight of each name; ids with their weighted sum above 0, best first, ties by id."""
+    merged = scores.groupBy("id").agg(*[F.coalesce(F.max(F.when(F.col("name") == n, F.col("score"))), F.lit(0.0)).alias(n) for n in weights])
     if allowed is not None:
         merged = merged.join(allowed.select("id"), "id", "left_semi")
     score = F.lit(0.0)
-    for name, (_, weight) in parts.items():
+    for name, weight in weights.items():
         score = score + F.col(name) * weight
     return merged.withColumn("score", score).where("score > 0").orderBy(F.col("score").desc(), "id")
 
 
 def search(
-    index: DataFrame, query: str, vectors_table: DataFrame | None = None, query_vector: list[float] | None = None, allowed: DataFrame | None = None,
-    media: DataFrame | None = None, weights: Weights | None = None, limit: int | None = CANDIDATES, model: str | int | None = None, tag_rows: DataFrame | None = None, tag_text: Column | None = None,
+    index: DataFrame | keyword.Index, query: str, vectors_table: DataFrame | None = None, query_vector: list[float] | None = None, allowed: DataFrame | None = None,
+    media: DataFrame | None = None, weights: Weights | None = None, limit: int = CANDIDATES, model: str | int | None = None, tag_rows: DataFrame | None = None, tag_text: Column | None = None,
 ) -> tuple[str, DataFrame]:
     """Mode and hits. A blank query lists media, newest first, without scores; without vectors the other weights share all."""
     weights = weights or Weights()
     if not query.strip():
         listed = media if allowed is None else media.join(allowed.select("id"), "id", "left_semi")
         return "filters_only", listed.orderBy(F.col("created_at").desc(), F.col("id").desc()).select("id", F.lit(None).cast("double").alias("score"))
-    others = {
-        "keyword": normalized(keyword.bm25(index, query, None, limit)),
-        "tag": tag_scores(index, query, tag_rows, tag_text, limit),
-        "metadata": normalized(keyword.bm25(index, query, ("filename", "source_text"), limit)),
-    }
+    texts = text_scores(index, query, limit, tag_rows, tag_text)
     if vectors_table is not None and query_vector:
-        near = vectors.cosine_top(vectors_table, query_vector, limit, model).select("id", vectors.likeness(F.col("cosine")).alias("score"))
+        near = vectors.cosine_top(vectors_table, query_vector, limit, model).select(F.lit("semantic").alias("name"), "id", vectors.likeness(F.col("cosine")).alias("score"))
         shares = {"keyword": weights.keyword, "semantic": weights.semantic, "tag": weights.tag, "metadata": weights.metadata}
-        return "hybrid", fused({n: (df, shares[n]) for n, df in (others | {"semantic": near}).items()}, allowed)
-    shares = weights.without_semantic()
-    return "keyword_only", fused({n: (df, shares[n]) for n, df in others.items()}, allowed)
+        return "hybrid", fused(texts.unionByName(near), shares, allowed)
+    return "keyword_only", fused(texts, weights.without_semantic(), allowed)
 
 
 def neighbours(ranked: DataFrame, order: list[Column]) -> DataFrame:

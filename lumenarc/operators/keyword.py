@@ -3,11 +3,14 @@
 Scores follow the full-text variant with k1 = 1.2 and b = 0.75: every atom must occur, a row's length counts all of its
 columns, and an inverse frequency at or below zero becomes 1e-6. A stored index holds a row for each term and row of the
 corpus, sorted by term, so that a query reads only the row groups of its own terms; the length of a row stands beside
-each of its terms, so nothing is joined. Token arrays of a table that isn't stored can be searched as well, by a scan.
+each of its terms, so nothing is joined. Changed rows go to a segment of their own, with a mark for each row that is
+gone; a row's newest segment counts, so old segments are never written again. Token arrays of a table that isn't stored
+can be searched as well, by a scan.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections.abc import Iterator
@@ -16,7 +19,7 @@ from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenarc.functions.text import folded, tokens
@@ -25,7 +28,10 @@ K1, B, FLOOR = 1.2, 0.75, 1e-6
 COLUMNS = ("description", "tags", "filename", "source_text")
 OPERATORS = {"and", "or", "not", "near"}
 #: Places of one column lie apart from those of the next by this.
-APART = 1 << 40
+APART_BITS = 40
+APART = 1 << APART_BITS
+#: Tasks that share the entries of one term.
+SPLITS = 16
 #: Letters, numbers and private-use characters, as tokens() has them.
 _TOKEN = re.compile("(?:[^\\W_]|[\ue000-\uf8ff\U000f0000-\U000ffffd\U00100000-\U0010fffd])+")
 Atom = tuple[tuple[str, ...], bool]
@@ -78,61 +84,167 @@ def reindexed(index: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def listed(rows: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
-    """Lists of terms of rows (id, *columns): term, id, column, n (tokens of the row), tf and places; a row's own, so nothing is shuffled.
+    """Lists of terms of rows (id, *columns): term, id, column, n (tokens of the row), tf, places and sig.
 
-    A row without tokens has one entry with an empty term, which no query asks for, so that it counts.
+    sig, the row's signature, stands in one entry of each row; a row without tokens has one entry with an empty term, which
+    no query asks for, so that it counts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for i, key in enumerate(batch.column(0).to_pylist()):
-                found = [_TOKEN.findall(folded(batch.column(c + 1)[i].as_py() or "")) for c in range(len(columns))]
+            for i, (key, sig) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                found = [_TOKEN.findall(folded(batch.column(c + 2)[i].as_py() or "")) for c in range(len(columns))]
                 n = sum(map(len, found))
                 for c, terms in enumerate(found):
                     places: dict[str, list[int]] = {}
                     for place, term in enumerate(terms, c * APART):
                         places.setdefault(term, []).append(place)
-                    out += [(term, key, c, n, len(at), at) for term, at in places.items()]
+                    for term, at in places.items():
+                        out.append((term, key, c, n, len(at), at, sig))
+                        sig = None
                 if not n:
-                    out.append(("", key, 0, 0, 0, []))
+                    out.append(("", key, 0, 0, 0, [], sig))
             for at in range(0, len(out), 1 << 16):
                 cells = list(zip(*out[at : at + (1 << 16)], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], names=["term", "id", "column", "n", "tf", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], names=["term", "id", "column", "n", "tf", "places", "sig"])
 
-    kinds = (pa.string(), pa.int64(), pa.int8(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-    return rows.select(F.col("id").cast("long").alias("id"), *[F.col(c).cast("string").alias(c) for c in columns]).mapInArrow(run, "term string, id long, column byte, n long, tf int, places array<long>")
+    kinds = (pa.string(), pa.int64(), pa.int8(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64())
+    return rows.select(F.col("id").cast("long").alias("id"), _signature(columns), *[F.col(c).cast("string").alias(c) for c in columns]).mapInArrow(run, TERMS)
+
+
+TERMS = "term string, id long, column byte, n long, tf int, places array<long>, sig long"
+MANIFEST = "version long, segments array<string>, columns array<string>, n_rows long, n_tokens long, signature decimal(38,0)"
+
+
+def _signature(columns: tuple[str, ...]) -> Column:
+    return F.xxhash64(F.col("id").cast("long"), *[F.col(c).cast("string") for c in columns]).alias("sig")
+
+
+def _manifest(spark: SparkSession, folder: str) -> Row | None:
+    """The newest manifest of an index; it is written last, so what it names is whole."""
+    try:
+        return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").orderBy(F.col("version").desc()).first()
+    except AnalysisException:
+        return None
+
+
+def _named(spark: SparkSession, folder: str, version: int, segments: list[str], columns: tuple[str, ...], figures: tuple) -> Index:
+    row = (version, segments, list(columns), *figures)
+    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
+    return _opened(spark, folder, Row(*[c.split()[0] for c in MANIFEST.split(", ", 5)])(*row))
+
+
+def _write_terms(terms: DataFrame, path: str) -> DataFrame:
+    """Terms sorted in files; the rows of a very common term share SPLITS tasks. Returns the rows: id, sig and n."""
+    terms.repartition("term", F.pmod("id", F.lit(SPLITS))).sortWithinPartitions("term", "id").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/terms")
+    return terms.sparkSession.read.parquet(f"{path}/terms").where("sig IS NOT NULL").select("id", "sig", "n")
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores, where their files are fewer than these."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
+def _figures(rows: DataFrame) -> tuple:
+    return tuple(rows.agg(F.count("sig"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("sig").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first())
 
 
 def stored(rows: DataFrame, folder: str, columns: tuple[str, ...] = COLUMNS) -> Index:
-    """Builds the index of rows (id, *columns) in a folder; the figures come last, so half an index is none."""
-    spark = rows.sparkSession
-    lists = f"{folder}/lists"
-    listed(rows, columns).write.mode("overwrite").parquet(lists)  # read twice below: to find ranges of terms and to sort
-    held = spark.read.parquet(lists)
-    held.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{folder}/terms")
-    # the entry of a row's first place, or its empty one, speaks for the row
-    lengths = held.where((F.col("term") == "") | F.exists("places", lambda p: p % APART == 0)).groupBy("id").agg(F.max("n").alias("n"))
-    lengths.agg(F.count("*").alias("rows"), F.avg("n").alias("mean"), F.lit(list(columns)).alias("columns")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/figures")
-    return opened(spark, folder)
+    """Builds the index of rows (id, *columns; id is a key) in a folder, as one segment; an older index there is superseded."""
+    spark, name = rows.sparkSession, uuid.uuid4().hex
+    old = _manifest(spark, folder)
+    _write_terms(listed(_spread(rows), columns), f"{folder}/{name}").write.parquet(f"{folder}/{name}/rows")
+    return _named(spark, folder, old["version"] + 1 if old else 0, [name], columns, _figures(spark.read.parquet(f"{folder}/{name}/rows")))
+
+
+def _segments(spark: SparkSession, folder: str, names: list[str], part: str) -> DataFrame:
+    """A part (terms or rows) of all segments, with seg, their number."""
+    return reduce(DataFrame.unionByName, [spark.read.parquet(f"{folder}/{name}/{part}").withColumn("seg", F.lit(i)) for i, name in enumerate(names)])
+
+
+def _opened(spark: SparkSession, folder: str, m: Row) -> Index:
+    terms = _segments(spark, folder, m["segments"], "terms")
+    if len(m["segments"]) > 1:  # an entry counts if no later segment has its row
+        later = _segments(spark, folder, m["segments"], "rows").where("seg > 0").groupBy("id").agg(F.max("seg").alias("newest"))
+        terms = terms.join(later, "id", "left").where("newest IS NULL OR seg >= newest")
+    mean = m["n_tokens"] / m["n_rows"] if m["n_rows"] else None
+    return Index(tuple(m["columns"]), terms, spark.createDataFrame([(m["n_rows"], mean)], "rows long, mean double"))
 
 
 def opened(spark: SparkSession, folder: str) -> Index | None:
     """The index in a folder, or None if there is none or only part of one."""
-    try:
-        figures = spark.read.parquet(f"{folder}/figures")
-        columns = tuple(figures.first()["columns"])
-        return Index(columns, spark.read.parquet(f"{folder}/terms"), figures.select("rows", "mean"))
-    except (AnalysisException, TypeError):
-        return None
+    m = _manifest(spark, folder)
+    return m and _opened(spark, folder, m)
+
+
+def _held(spark: SparkSession, folder: str, m: Row) -> DataFrame:
+    """id, old_sig and old_n of the rows that an index holds."""
+    rows = _segments(spark, folder, m["segments"], "rows")
+    if len(m["segments"]) > 1:
+        rows = rows.groupBy("id").agg(F.max_by(F.struct("sig", "n"), "seg").alias("r")).select("id", "r.*")
+    return rows.where("sig IS NOT NULL").select("id", F.col("sig").alias("old_sig"), F.col("n").alias("old_n"))
+
+
+def _with_segment(folder: str, m: Row, rows: DataFrame, changes: DataFrame) -> Index:
+    """changes (id, old_sig, old_n, gone) as a new segment; rows has those that aren't gone, and maybe others."""
+    spark, name = rows.sparkSession, uuid.uuid4().hex
+    path = f"{folder}/{name}"
+    changes.write.parquet(f"{path}/changes")
+    changes = spark.read.parquet(f"{path}/changes")
+    if changes.isEmpty():
+        return _opened(spark, folder, m)
+    columns = tuple(m["columns"])
+    fresh = rows.join(changes.where("NOT gone").select("id"), "id", "left_semi")
+    new = _write_terms(listed(fresh, columns), path)
+    new.unionByName(changes.where("gone").select("id", F.lit(None).cast("long").alias("sig"), F.lit(0).cast("long").alias("n"))).write.parquet(f"{path}/rows")
+    before = _figures(changes.select("id", F.col("old_sig").alias("sig"), F.col("old_n").alias("n")))
+    after = _figures(spark.read.parquet(f"{path}/rows"))
+    figures = [m[c] + a - b for c, a, b in zip(("n_rows", "n_tokens", "signature"), after, before, strict=True)]
+    return _named(spark, folder, m["version"] + 1, [*m["segments"], name], columns, tuple(figures))
+
+
+def updated(rows: DataFrame, folder: str) -> Index:
+    """The index in a folder brought up to the table rows: rows that are new, changed or gone make one new segment.
+
+    Only signatures of the whole table are compared; texts are read for changed rows alone.
+    """
+    spark = rows.sparkSession
+    m = _manifest(spark, folder)
+    now = rows.select(F.col("id").cast("long").alias("id"), _signature(tuple(m["columns"])))
+    both = now.join(_held(spark, folder, m), "id", "full").where("NOT sig <=> old_sig")
+    return _with_segment(folder, m, rows, both.select("id", "old_sig", "old_n", F.col("sig").isNull().alias("gone")))
+
+
+def replaced(fresh: DataFrame, folder: str, gone: DataFrame | None = None) -> Index:
+    """The index in a folder after some rows (id, *columns) were written and those of gone (id) were deleted."""
+    spark = fresh.sparkSession
+    m = _manifest(spark, folder)
+    ids = fresh.select(F.col("id").cast("long").alias("id"), F.lit(False).alias("gone"))
+    if gone is not None:
+        ids = ids.unionByName(gone.select(F.col("id").cast("long").alias("id"), F.lit(True).alias("gone"))).groupBy("id").agg(F.min("gone").alias("gone"))
+    return _with_segment(folder, m, fresh, ids.join(_held(spark, folder, m), "id", "left").select("id", "old_sig", "old_n", "gone"))
+
+
+def compacted(spark: SparkSession, folder: str) -> Index:
+    """All segments as one, without reading any text again."""
+    m, name = _manifest(spark, folder), uuid.uuid4().hex
+    _write_terms(_opened(spark, folder, m).terms.select(*[c.split()[0] for c in TERMS.split(", ")]), f"{folder}/{name}").write.parquet(f"{folder}/{name}/rows")
+    return _named(spark, folder, m["version"] + 1, [name], tuple(m["columns"]), (m["n_rows"], m["n_tokens"], m["signature"]))
 
 
 def healed(rows: DataFrame, folder: str, columns: tuple[str, ...] = COLUMNS) -> Index:
-    """The index in a folder, built anew where it is missing or does not count as many rows as the table."""
-    found = opened(rows.sparkSession, folder)
-    if found is None or found.columns != tuple(columns) or found.figures.first()["rows"] != rows.count():
+    """The index in a folder, built where it is missing and updated where its rows' number or signature is not the table's."""
+    m = _manifest(rows.sparkSession, folder)
+    if m is None or tuple(m["columns"]) != tuple(columns):
         return stored(rows, folder, columns)
-    return found
+    n, _, signature = _figures(rows.select(_signature(columns), F.lit(0).alias("n")))
+    return _opened(rows.sparkSession, folder, m) if (n, signature) == (m["n_rows"], m["signature"]) else updated(rows, folder)
+
+
+def folder_of(parent: str, name: str) -> str:
+    return f"{parent}/keyword-{hashlib.sha256(name.encode()).hexdigest()[:32]}"
 
 
 def fresh_folder(parent: str) -> str:
@@ -150,9 +262,9 @@ def occurrences(column: Column, atom: Atom) -> Column:
 
 
 def _scanned(index: DataFrame, parts: list[Atom], columns: tuple[str, ...], every: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """Counts (id, n, f0, ...) of every row of token arrays, and the figures of the corpus."""
-    fs = [reduce(lambda a, b: a + b, [occurrences(F.col(c), a) for c in columns]).alias(f"f{i}") for i, a in enumerate(parts)]
-    # both readers share this exchange of a few numbers a row, so texts are tokenized once
+    """Counts (id, n, and f<atom>_<column> of each) of every row of token arrays, and the figures of the corpus."""
+    fs = [occurrences(F.col(c), a).alias(f"f{i}_{every.index(c)}") for i, a in enumerate(parts) for c in columns]
+    # all readers share this exchange of a few numbers a row, so texts are tokenized once
     counted = index.select("id", reduce(lambda a, b: a + b, [F.size(c) for c in every]).alias("n"), *fs).repartition("id")
     return counted, counted.agg(F.count("*").alias("rows"), F.avg("n").alias("mean"))
 
@@ -163,45 +275,78 @@ def _earlier(places: Column, by: int) -> Column:
 
 def _looked_up(index: Index, parts: list[Atom], columns: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """The same of the rows of a stored index that hold any of the atoms' words."""
-    where = F.col("column").isin([index.columns.index(c) for c in columns])
+    cs = [index.columns.index(c) for c in columns]
     fits = lambda word, prefix: F.col("term").startswith(word) if prefix else F.col("term") == word
     words = [[(folded(w), prefix and j == len(atom) - 1) for j, w in enumerate(atom)] for atom, prefix in parts]
     wanted = reduce(lambda a, b: a | b, [fits(*w) for w in sorted({w for atom in words for w in atom})])
     many = {i for i, atom in enumerate(words) if len(atom) > 1}
-    single = [F.coalesce(F.sum(F.when(fits(*atom[0]), F.col("tf"))), F.lit(0)).alias(f"f{i}") for i, atom in enumerate(words) if i not in many]
+    single = [F.coalesce(F.sum(F.when(fits(*atom[0]) & (F.col("column") == c), F.col("tf"))), F.lit(0)).alias(f"f{i}_{c}") for i, atom in enumerate(words) if i not in many for c in cs]
     places = [F.flatten(F.collect_list(F.when(fits(*w), F.col("places")))).alias(f"p{i}_{j}") for i in many for j, w in enumerate(words[i])]  # of one row's terms
-    rows = index.terms.where(where & wanted).groupBy("id").agg(F.first("n").alias("n"), *single, *places)
+    rows = index.terms.where(F.col("column").isin(cs) & wanted).groupBy("id").agg(F.first("n").alias("n"), *single, *places)
     for i in many:
         after = reduce(F.array_intersect, [_earlier(F.col(f"p{i}_{j}"), j) for j in range(len(words[i]))])
-        rows = rows.withColumn(f"f{i}", F.size(after))
-    return rows.select("id", "n", *[f"f{i}" for i in range(len(parts))]), index.figures
+        rows = rows.withColumn(f"after{i}", after)
+    of_column = lambda c: lambda p: F.shiftright(p, APART_BITS) == c
+    phrases = [F.size(F.filter(f"after{i}", of_column(c))).alias(f"f{i}_{c}") for i in many for c in cs]
+    return rows.select("id", "n", *[f"f{i}_{c}" for i in range(len(parts)) if i not in many for c in cs], *phrases), index.figures
+
+
+def _atoms_of(index: DataFrame | Index, query: str | list[Atom], sets: list[tuple[str, ...] | None]) -> tuple[list[Atom], tuple[str, ...], list[tuple[str, ...]]]:
+    every = index.columns if isinstance(index, Index) else tuple(c for c in index.columns if c != "id")
+    sets = [columns or every for columns in sets]
+    if unknown := {c for columns in sets for c in columns} - set(every):
+        raise ValueError(f"unknown columns {sorted(unknown)}")
+    return atoms(query) if isinstance(query, str) else query, every, sets
+
+
+def _scores(index: DataFrame | Index, parts: list[Atom], every: tuple[str, ...], sets: list[tuple[str, ...]]) -> DataFrame:
+    """id and scores, one for each set of columns, null where the set lacks an atom; terms are looked up once for all sets."""
+    columns = tuple(c for c in every if any(c in columns for columns in sets))
+    counted, figures = _looked_up(index, parts, columns) if isinstance(index, Index) else _scanned(index, parts, columns, every)
+    f = lambda i, k: reduce(lambda a, b: a + b, [F.col(f"f{i}_{every.index(c)}") for c in sets[k]])
+    cells = [(i, k) for i in range(len(parts)) for k in range(len(sets))]
+    # both readers of the counts name all columns, n too, so that they share one exchange
+    having = counted.agg(*[F.count_if((f(i, k) > 0) & (F.col("n") >= 0)).alias(f"d{i}_{k}") for i, k in cells])
+    corpus = figures.crossJoin(having)  # one row and one row
+    scores = []
+    for k in range(len(sets)):
+        score, all_there = F.lit(0.0), F.lit(True)
+        for i in range(len(parts)):
+            d, n = F.col(f"d{i}_{k}"), f(i, k)
+            idf = F.log((F.col("rows") - d + 0.5) / (d + 0.5))
+            score = score + F.when(idf <= 0, FLOOR).otherwise(idf) * n * (K1 + 1) / (n + K1 * (1 - B + B * F.col("n") / F.col("mean")))
+            all_there = all_there & (n > 0)
+        scores.append(F.when(all_there, score))
+    return counted.crossJoin(F.broadcast(corpus)).select("id", F.array(*scores).alias("scores"))
+
+
+def _none(index: DataFrame | Index) -> DataFrame:
+    return (index.terms if isinstance(index, Index) else index).select("id", F.lit(0.0).alias("score")).limit(0)
 
 
 def bm25(index: DataFrame | Index, query: str | list[Atom], columns: tuple[str, ...] | None = None, limit: int | None = 500) -> DataFrame:
     """(id, score) of the best rows of an index, ties by id; higher is better. No atoms, no rows."""
-    kept = isinstance(index, Index)
-    every = index.columns if kept else tuple(c for c in index.columns if c != "id")
-    columns = columns or every
-    if unknown := set(columns) - set(every):
-        raise ValueError(f"unknown columns {sorted(unknown)}")
-    parts = atoms(query) if isinstance(query, str) else query
+    parts, every, sets = _atoms_of(index, query, [columns])
     if not parts:
-        return (index.terms if kept else index).select("id", F.lit(0.0).alias("score")).limit(0)
-    counted, figures = _looked_up(index, parts, columns) if kept else _scanned(index, parts, columns, every)
-    having = counted.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(parts))])
-    corpus = figures.crossJoin(having)  # one row and one row
-    score = F.lit(0.0)
-    for i in range(len(parts)):
-        idf = F.log((F.col("rows") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5))
-        f = F.col(f"f{i}")
-        score = score + F.when(idf <= 0, FLOOR).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n") / F.col("mean")))
-    every_atom = F.lit(True)
-    for i in range(len(parts)):
-        every_atom = every_atom & (F.col(f"f{i}") > 0) & (F.col(f"d{i}") > 0)  # names both sides, so it isn't pushed into the count
-    out = counted.crossJoin(F.broadcast(corpus)).where(F.when(every_atom, True).otherwise(False)).select("id", score.alias("score"))
+        return _none(index)
+    out = _scores(index, parts, every, sets).select("id", F.col("scores")[0].alias("score")).where("score IS NOT NULL")
     return out if limit is None else out.orderBy(F.col("score").desc(), "id").limit(limit)
 
 
+def best(index: DataFrame | Index, query: str | list[Atom], sets: dict[str, tuple[str, ...] | None], limit: int) -> DataFrame:
+    """(name, id, score, top): the best rows by each named set of columns, and the best score of the set, in one pass over the index.
+
+    Every task passes on no more than its own best rows.
+    """
+    parts, every, columns = _atoms_of(index, query, list(sets.values()))
+    if not parts:
+        return _none(index).select(F.lit("").alias("name"), "id", "score", F.col("score").alias("top"))
+    each = _scores(index, parts, every, columns).select("id", F.posexplode("scores").alias("k", "score")).where("score IS NOT NULL")
+    by_set = Window.partitionBy("k")
+    ranked = each.withColumn("nth", F.row_number().over(by_set.orderBy(F.col("score").desc(), "id"))).where(F.col("nth") <= limit)
+    return ranked.select(F.element_at(F.array(*map(F.lit, sets)), F.col("k") + 1).alias("name"), "id", "score", F.max("score").over(by_set).alias("top"))
+
+
 def containing(rows: DataFrame, query: str, text: Column) -> DataFrame:
     """(id, score 1) of rows whose text holds every plain term as a part."""
     terms = plain_terms(query)

@@ -177,10 +177,14 @@ _INDEXES: dict = {}
 
 
 def _index(spark: SparkSession, d: str) -> keyword.Index:
-    """The stored index of a folder's texts, built by the first query of an application that asks for it."""
-    parent = (spark.sparkContext.applicationId, shared_dir(spark), d)
-    folder = _INDEXES.setdefault(parent, keyword.fresh_folder(shared_dir(spark)))
-    return keyword.healed(V.texts(spark, d), folder)
+    """The stored index of a folder's texts, in the shared folder under the folder's name, so that other applications find it.
+
+    The first query of an application holds it against the table and heals it; later ones read it as it is.
+    """
+    key = (spark.sparkContext.applicationId, id(spark), d)
+    if key not in _INDEXES:
+        _INDEXES[key] = keyword.healed(V.texts(spark, d), keyword.folder_of(shared_dir(spark), d))
+    return _INDEXES[key]
 
 
 def _scored(df: DataFrame) -> DataFrame:
@@ -205,6 +209,14 @@ def bm25_prefix(spark: SparkSession, d: str) -> DataFrame:
     return _scored(keyword.bm25(_index(spark, d), "enthe"))
 
 
+@_query(f"WITH {V.EDITED}, {V.bm25_sql([(('the',), False), (('enthe',), True)])}{_ROUNDED}")
+def bm25_after_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Rows changed, added and deleted after the index was built are one segment beside it; old segments stay as they are."""
+    folder = keyword.fresh_folder(shared_dir(spark))
+    keyword.stored(V.texts(spark, d), folder)
+    return _scored(keyword.bm25(keyword.updated(V.edited(V.texts(spark, d)), folder), [(("the",), False), (("enthe",), True)]))
+
+
 @_query(f"WITH {V.TEXTS}, {V.bm25_sql([(('src7',), False)], ('tags',))}{_ROUNDED}")
 def bm25_column(spark: SparkSession, d: str) -> DataFrame:
     return _scored(keyword.bm25(_index(spark, d), '"src7"', ("tags",)))

@@ -52,6 +52,15 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("id"), F.col("text").alias("description"), F.expr("concat(lang, ' ', source)").alias("tags"), F.expr("concat('file_', doc_id, '.png')").alias("filename"), F.expr("concat(source, ' chapter-', doc_id % 50)").alias("source_text"))
 
 
+def edited(texts: DataFrame) -> DataFrame:
+    """texts after some rows were written anew, some deleted and some added, by source."""
+    own = F.coalesce(F.split_part("source_text", F.lit(" "), F.lit(1)), F.lit(""))
+    kept = texts.where(own != "src5")
+    changed = kept.withColumn("description", F.when(own == "src3", F.concat("description", F.lit(" enthe edons"))).otherwise(F.col("description")))
+    added = texts.where(own == "src7").withColumns({"id": -F.col("id") - 1, "tags": F.lit("the fresh enthetic")})
+    return changed.unionByName(added)
+
+
 def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("model"))
 
@@ -104,6 +113,10 @@ SOURCES = """sources AS (SELECT doc_id * 2 AS id, doc_id AS media_id, source AS
   UNION ALL SELECT doc_id * 2 + 1, doc_id, 'src' || doc_id % 3, NULL FROM documents WHERE doc_id % 2 = 0)"""
 ANALYSIS = f"analysis AS (SELECT doc_id AS media_id, {_pick_sql(EMOTIONS, 'doc_id')} AS emotions FROM documents WHERE doc_id % 5 <> 0)"
 TEXTS = "texts AS (SELECT doc_id AS id, text AS description, lang || ' ' || source AS tags, 'file_' || doc_id || '.png' AS filename, source || ' chapter-' || doc_id % 50 AS source_text FROM documents)"
+_OWN = "coalesce(split_part(source_text, ' ', 1), '')"
+EDITED = f"""{TEXTS.replace('texts AS', 'old_texts AS', 1)}, texts AS (
+  SELECT id, CASE WHEN {_OWN} = 'src3' THEN description || ' enthe edons' ELSE description END AS description, tags, filename, source_text FROM old_texts WHERE {_OWN} <> 'src5'
+  UNION ALL SELECT -id - 1, description, 'the fresh enthetic', filename, source_text FROM old_texts WHERE {_OWN} = 'src7')"""
 ITEMS = f"""items AS (SELECT o_orderkey AS id, {_pick_sql(STATUSES, 'o_orderkey')} AS processing_status, (o_orderkey % 6)::INTEGER AS attempts, CASE WHEN o_orderkey % 3 <> 0 THEN {_AT.format('o_orderkey % 1000')} END AS next_retry_at,
   o_orderkey % 4 <> 0 AS error_retryable, (o_orderkey % 5)::INTEGER AS revives, o_orderkey % 2 = 0 AS has_analysis FROM orders)"""
 

@@ -74,6 +74,60 @@ def test_index_heals_itself(spark, tmp_path):
     assert ids(keyword.bm25(empty, '"cat"')) == []
 
 
+def files(folder):
+    return {str(p): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def test_segments_against_a_full_rebuild(spark, tmp_path):
+    from random import Random
+
+    r = Random(7)
+    text = lambda: " ".join(r.choice(["a", "b", "ab", "abc", "caj"]) for _ in range(r.randint(0, 9)))
+    frame = lambda t: spark.createDataFrame([(i, *v) for i, v in t.items()], "id long, x string, y string")
+    table, folder = {i: (text(), text()) for i in range(40)}, tmp_path / "i"
+    keyword.stored(frame(table), str(folder), ("x", "y"))
+    for step in range(1, 4):
+        before = files(folder)
+        gone, new = r.sample(sorted(table), 3), {r.randrange(60): (text(), None) for _ in range(4)}
+        for i in gone:
+            table.pop(i)
+        table |= new
+        if step == 2:  # rows by hand
+            got = keyword.replaced(frame(new), str(folder), spark.createDataFrame([(i,) for i in set(gone) - set(new)], "id long"))
+        elif step == 3:
+            keyword.updated(frame(table), str(folder))
+            got = keyword.compacted(spark, str(folder))
+        else:
+            got = keyword.updated(frame(table), str(folder))
+        assert before.items() <= files(folder).items()  # old segments are as they were
+        whole = keyword.stored(frame(table), str(tmp_path / f"w{step}"), ("x", "y"))
+        assert tuple(got.figures.first()) == pytest.approx(tuple(whole.figures.first()))
+        for query in ('"a b" ab', '"b" "a"'):
+            a, b = (sorted((x["id"], round(x["score"], 9)) for x in keyword.bm25(i, query).collect()) for i in (got, whole))
+            assert a == b, (step, query)
+
+
+def test_an_edit_of_equal_count_is_seen_and_nothing_else_is_written(spark, tmp_path):
+    frame = lambda *t: spark.createDataFrame(list(enumerate(t)), "id long, x string")
+    folder = str(tmp_path / "i")
+    keyword.healed(frame("one cat", "two"), folder, ("x",))
+    before = files(tmp_path)
+    assert ids(keyword.bm25(keyword.healed(frame("one cat", "two"), folder, ("x",)), '"cat"')) == [0]
+    assert files(tmp_path) == before
+    assert ids(keyword.bm25(keyword.healed(frame("one", "two cat"), folder, ("x",)), '"cat"')) == [1]
+    later = keyword.opened(spark, folder)
+    assert ids(keyword.bm25(later, '"two"')) == [1] and ids(keyword.bm25(later, '"one"')) == [0]
+
+
+def test_best_of_several_sets_in_one_pass(index):
+    hits = keyword.best(index, "confused", {"all": None, "tags": ("tags",), "name": ("filename",)}, 2).collect()
+    for name, columns in (("all", None), ("tags", ("tags",)), ("name", ("filename",))):
+        alone = {r["id"]: r["score"] for r in keyword.bm25(index, "confused", columns, 2).collect()}
+        assert {h["id"]: h["score"] for h in hits if h["name"] == name} == pytest.approx(alone)
+        assert all(h["top"] == pytest.approx(max(alone.values())) for h in hits if h["name"] == name)
+    assert keyword.best(index, " ", {"all": None}, 2).collect() == []
+
+
 def test_vectors(spark):
     rows = [(1, [1.0, 0.0, 0.0], "m"), (2, [0.0, 1.0, 0.0], "other"), (3, [0.0, 0.0], "m"), (4, [0.0, 0.0, 0.0], "m")]
     v = spark.createDataFrame(rows, "id long, embedding array<float>, model string")
