@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from lumenarc.functions import analysis as A
 from lumenarc.functions import text as T
-from lumenarc.operators import catalog, comments, duplicates, history, hybrid, jobs, keyword, vectors, workqueue
+from lumenarc.operators import catalog, comments, discovery, duplicates, history, hybrid, jobs, keyword, vectors, workqueue
 from lumenarc.plans import views as V
 from lumenarc.session import table
 from lumenarc.sources.shared import shared_dir
+from lumenarc.streaming import items as live_queue
 
 NOW = V.EPOCH + 500
 _QUERIES: dict = {}
@@ -554,6 +555,86 @@ def revenue_by_nation(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy("n_name", "o_orderpriority").agg(revenue.alias("revenue"), F.count("*").alias("n"))
 
 
+# discovery
+
+
+@_query(f"""WITH RECURSIVE {V.LINKED},
+r AS (SELECT 'https://h' || h || '.example/0' AS url, 0 AS depth FROM p WHERE m = 0 UNION SELECT link, depth + 1 FROM r JOIN edges USING (url) WHERE depth < 24),
+f AS (SELECT url, min(depth) AS depth FROM r GROUP BY url)
+SELECT f.url, f.depth, arg_min(e.url, (e.url, e.position)) AS via, arg_min(e.position, (e.url, e.position)) AS position
+FROM f LEFT JOIN (SELECT edges.*, g.depth AS at FROM edges JOIN f g USING (url)) e ON e.link = f.url AND e.at = f.depth - 1 GROUP BY f.url, f.depth""")
+def reachable_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every address that links of recorded pages lead to, with the depth and place that it is first found at."""
+    pages = V.linked_pages(spark, d)
+    return discovery.reachable(pages, pages.where(F.col("url").endswith("/0")))
+
+
+@_query(f"""WITH e AS (SELECT page_id AS k, {V._ENTRY} AS entry FROM pages)
+SELECT DISTINCT entry, CASE WHEN k % 3 = 2 OR k % 10 = 5 THEN 0 WHEN k % 5 = 0 THEN n - 1 ELSE n END AS position,
+  CASE WHEN k % 3 = 2 OR k % 10 = 5 THEN entry WHEN k % 5 = 0 THEN 'https://asurascans.com/comics/s' || k || '/chapter/' || CASE n WHEN 1 THEN '2.5' ELSE '1' END ELSE 'https://asurascans.com/comics/s' || k || '/chapter/' || n END AS url
+FROM e, (SELECT unnest([1, 2, 3, 4]) AS n) WHERE n <= CASE WHEN k % 3 = 2 OR k % 10 = 5 THEN 1 WHEN k % 5 = 0 THEN 2 ELSE k % 5 END""")
+def series_chapters(spark: SparkSession, d: str) -> DataFrame:
+    return discovery.chapters(V.series_pages(spark, d), V.series_entries(spark, d), V.SERIES, V.CHAPTER)
+
+
+@_query(f"""WITH c AS (SELECT c_custkey AS k, c_name AS title, c_custkey // 20 + 1 AS place FROM customer)
+SELECT place::INTEGER AS place, (k % 20 + CASE WHEN place > 1 THEN 20 ELSE 0 END)::INTEGER AS position, '{V.CATALOG}c' || k AS url, title FROM c
+WHERE place < 31 AND place <= {discovery.MAX_PAGES}""")
+def catalog_series(spark: SparkSession, d: str) -> DataFrame:
+    """Series of a paged catalog, up to its first page without new ones."""
+    return discovery.catalog(V.catalog_pages(spark, d), V.CATALOG, V.SERIES)
+
+
+_SEEN_PAGES = f"WITH f AS ({V.FEED}), n AS (SELECT feed, count(*) AS n FROM f GROUP BY feed)"
+
+
+@_query(f"{_SEEN_PAGES} SELECT feed, page::INTEGER AS page, position::INTEGER AS position, id FROM f WHERE page <= {discovery.MAX_PAGES} AND NOT (feed % 7 = 3 AND page >= 2)")
+def paged_feeds(spark: SparkSession, d: str) -> DataFrame:
+    """Items of feeds by page number, each up to its first short or missing page."""
+    return discovery.paged(V.feed_replies(spark, d), "data", "id: bigint", 3)
+
+
+@_query(f"{_SEEN_PAGES} SELECT feed, page::INTEGER AS page, position::INTEGER AS position, id FROM f WHERE page <= {discovery.MAX_PAGES} AND NOT (feed % 7 = 3 AND page >= 2)")
+def cursor_feeds(spark: SparkSession, d: str) -> DataFrame:
+    """Items of feeds whose replies name the next page."""
+    replies = V.feed_replies(spark, d)
+    return discovery.followed(replies, replies.where("page = 1").select("feed", "url"), "data", "id: bigint")
+
+
+# the queue as a stream
+
+LIVE = workqueue.Policy(max_attempts=3, retry_base=3600.0, retry_cap=5400.0, revive_after=86400, max_revives=2)
+_OVER = "(a.st = 'READY' OR a.st = 'FAILED' AND a.due < 0)"
+_BACK = "(a.due >= 0 AND a.due <= {now})"
+
+
+def _came_back(now: str) -> str:
+    back = _BACK.format(now=now)
+    return f"""{{'st': CASE WHEN {back} THEN CASE WHEN a.ha THEN 'ANALYZED' ELSE 'DOWNLOADED' END ELSE a.st END, 'n': CASE WHEN {back} AND a.st = 'FAILED' THEN 0 ELSE a.n END,
+    'rv': CASE WHEN {back} AND a.st = 'FAILED' THEN a.rv + 1 ELSE a.rv END, 'ha': a.ha, 'due': CASE WHEN {back} THEN -1 ELSE a.due END, 'tm': a.tm, 'oc': a.oc, 're': a.re}}"""
+
+
+_START = "{'st': 'DOWNLOADED', 'n': 0, 'rv': 0, 'ha': false, 'due': (-1)::BIGINT, 'tm': 0::BIGINT, 'oc': '', 're': false}"
+_DEFERS = f"(e.re AND b.n + 1 < {LIVE.max_attempts})"
+_TAKEN = f"""{{'st': CASE e.oc WHEN 'analyzed' THEN 'EMBEDDING' WHEN 'ready' THEN 'READY' ELSE CASE WHEN {_DEFERS} THEN CASE WHEN b.ha THEN 'ANALYZED' ELSE 'DOWNLOADED' END ELSE 'FAILED' END END,
+    'n': CASE WHEN e.oc = 'ready' THEN 0 WHEN e.oc = 'error' AND {_DEFERS} THEN b.n + 1 ELSE b.n END, 'rv': b.rv, 'ha': b.ha OR e.oc = 'analyzed',
+    'due': CASE WHEN e.oc = 'analyzed' THEN b.due WHEN e.oc = 'ready' THEN -1 WHEN {_DEFERS} THEN e.tm + 1000 * least({LIVE.retry_base:.0f} * (1 << b.n), {LIVE.retry_cap:.0f})::BIGINT WHEN e.re AND b.rv < {LIVE.max_revives} THEN e.tm + 1000 * {LIVE.revive_after} ELSE -1 END, 'tm': e.tm, 'oc': e.oc, 're': e.re}}"""
+
+
+@_query(f"""WITH e AS (SELECT user_id AS id, event_id AS seq, epoch_us(ts) // 1000 AS tm, {V.EVENT_OUTCOME} AS oc, value >= 5 AS re FROM events),
+l AS (SELECT id, list({{'st': '', 'n': 0, 'rv': 0, 'ha': false, 'due': 0::BIGINT, 'tm': tm, 'oc': oc, 're': re}} ORDER BY tm, seq) AS es FROM e GROUP BY id),
+f AS (SELECT id, list_reduce(list_prepend({_START}, es), lambda o, e: list_transform(list_transform(list_transform([o], lambda a: CASE WHEN {_OVER} THEN {_START} ELSE a END), lambda a: {_came_back('e.tm')}), lambda b: {_TAKEN})[1]) AS a FROM l),
+z AS (SELECT id, {_came_back('(SELECT max(tm) - 500 FROM e)')} AS a FROM f)
+SELECT id, a.st AS status, a.n AS attempts, a.rv AS revives, a.ha AS has_analysis, CASE WHEN a.due >= 0 THEN a.due END AS due_ms FROM z""")
+def live_items(spark: SparkSession, d: str) -> DataFrame:
+    """States of items after a recorded stream of events, with timers up to the watermark."""
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double"
+    events = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.expr(V.EVENT_OUTCOME).alias("outcome"), F.expr("value >= 5").alias("retryable"))
+    folder = live_queue.fresh_folder(shared_dir(spark))
+    live_queue.run_available(live_queue.states(events, LIVE), folder)
+    return live_queue.latest(spark, folder).select("id", "status", "attempts", "revives", "has_analysis", F.unix_millis("due").alias("due_ms"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword-only ranking of English documents with their texts, the best twenty."""
     allowed = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"))

@@ -106,6 +106,65 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.concat(F.lit("https://"), pick(1), F.lit("/p/"), "c_custkey").alias("url"), pick(2).alias("html"))
 
 
+#: Fixed: paths of a series and of its chapters.
+SERIES, CHAPTER = "/comics/[^/]+", "(/comics/[^/]+)/chapter/[^/]+"
+CATALOG = "https://en-thunderscans.com/comics/"
+
+
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of five hosts, numbered m from 0 on each: links to another host, to 2m+1 twice, 2m+2 and m/2; some have none."""
+    p = table(spark, sf_dir, "pages").select(F.expr("page_id % 5").alias("h"), F.expr("page_id DIV 5").alias("m"))
+    html = "'<a href=\"https://h' || (h + 1) % 5 || '.example/' || m || '\">x</a><p><a href=\"/' || (2 * m + 1) || '\">one</a><a href=\"' || (2 * m + 2) || '#c\">two</a><a href=\"https://h' || h || '.example/' || (2 * m + 1) || '\"></a><a href=\"./' || (m DIV 2) || '\">up</a>'"
+    return p.select(F.expr("'https://h' || h || '.example/' || m").alias("url"), F.expr(f"CASE WHEN m % 13 = 7 THEN '<p>none' ELSE {html} END").alias("html"))
+
+
+LINKED = """p AS (SELECT page_id % 5 AS h, page_id // 5 AS m FROM pages),
+edges AS (SELECT 'https://h' || h || '.example/' || m AS url, k - 1 AS position, 'https://h' || h || '.example/' || CASE k WHEN 2 THEN 2 * m + 1 WHEN 3 THEN 2 * m + 2 ELSE m // 2 END AS link FROM p, (SELECT unnest([2, 3, 4]) AS k) WHERE m % 13 <> 7)"""
+
+
+def series_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A series page for every page: links to up to four chapters, or their numbers as data, or nothing."""
+    p = table(spark, sf_dir, "pages").select("page_id")
+    links = F.array_join(F.transform(F.sequence(F.lit(1), F.expr("cast(page_id % 5 as int)")), lambda n: F.concat(F.lit('<a href="/comics/s'), F.col("page_id").cast("string"), F.lit("/chapter/"), n.cast("string"), F.lit('">c</a>'))), "")
+    data = F.expr("'<script id=\"continue-reading-data\">{&quot;base&quot;:&quot;/comics/s' || page_id || '&quot;,&quot;numbers&quot;:[&quot;2.5&quot;,&quot;1&quot;]}</script>'")
+    html = F.when(F.expr("page_id % 5 > 0"), F.concat(F.lit('<a href="/comics/other/chapter/9">no</a>'), links)).when(F.expr("page_id % 2 = 0"), data).otherwise("<p>nothing")
+    return p.select(F.expr("'https://asurascans.com/comics/s' || page_id || CASE WHEN page_id % 3 = 0 THEN '/' ELSE '' END").alias("url"), html.alias("html"))
+
+
+def series_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries: series, chapters and addresses of neither kind, in turn."""
+    return table(spark, sf_dir, "pages").select(F.expr(_ENTRY).alias("url"))
+
+
+_ENTRY = "'https://asurascans.com/comics' || CASE page_id % 3 WHEN 0 THEN '/s' || page_id WHEN 1 THEN '/s' || page_id || '/chapter/77' ELSE '' END"
+
+
+def catalog_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a catalog, 20 customers a page, each with links that repeat the page before; page 31 has nothing else."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.expr("cast(c_custkey DIV 20 + 1 as int)").alias("place"))
+    both = c.unionByName(c.withColumn("place", F.col("place") + 1)).where("NOT (place = 31 AND c_custkey >= 600)")
+    link = F.expr("'<a href=\"/comics/c' || c_custkey || '/\">' || c_name || '</a>'")
+    pages_of = both.groupBy("place").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", link.alias("a")))), lambda x: x["a"]), "").alias("html"))
+    return pages_of.select(F.concat(F.lit(CATALOG), F.when(F.col("place") > 1, F.concat(F.lit("?page="), F.col("place").cast("string"))).otherwise("")).alias("url"), F.concat("html", F.lit('<a href="/comics/">all</a><a href="https://a.b/comics/x">x</a>')).alias("html"))
+
+
+#: Orders as feeds, one a customer, of pages of three items; a page of some feeds is lost.
+_FEED = "SELECT o_custkey AS feed, o_orderkey AS id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) {div} 3 + 1 AS page, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) % 3 AS position FROM orders"
+FEED = _FEED.replace("{div}", "//")
+LOST = "feed % 7 = 3 AND page = 2"
+
+
+def feed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(feed, page, url, body) of every page that is not lost; body has items and, unless it is the last, next."""
+    rows = spark.sql(_FEED.replace("{div}", "DIV").replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"))
+    last = rows.groupBy("feed").agg(F.max("page").alias("last"))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("position", "id"))), lambda x: F.struct(x["id"].alias("id")))
+    address = lambda page: F.concat(F.lit("https://api.example/"), F.col("feed").cast("string"), F.lit("?p="), page.cast("string"))
+    pages_of = rows.groupBy("feed", "page").agg(items.alias("data")).join(last, "feed").where(f"NOT ({LOST})")
+    following = F.when(F.col("page") < F.col("last"), address(F.col("page") + 1))
+    return pages_of.select("feed", F.col("page").cast("int").alias("page"), address(F.col("page")).alias("url"), F.to_json(F.struct("data", following.alias("next"))).alias("body"))
+
+
 _AT = f"epoch_ms(({EPOCH} + {{}})::BIGINT * 1000)"
 MEDIA = f"""media AS (SELECT doc_id AS id, {_pick_sql(EXTENSIONS, 'doc_id')} AS extension, {_AT.format('doc_id % 500 * 3600')} AS created_at, sha256(text) AS sha256, {_pick_sql(STATUSES, 'doc_id')} AS processing_status,
   CASE doc_id % 10 WHEN 0 THEN 'unflagged' WHEN 1 THEN 'dup' ELSE 'nondup' END AS dup_status, CASE WHEN doc_id % 10 = 1 THEN {_AT.format('doc_id % 20 * 86400')} END AS dup_flagged_at, NULL::BIGINT AS dup_of_media_id, doc_id % 7 = 0 AS is_favorite FROM documents)"""
@@ -117,6 +176,8 @@ _OWN = "coalesce(split_part(source_text, ' ', 1), '')"
 EDITED = f"""{TEXTS.replace('texts AS', 'old_texts AS', 1)}, texts AS (
   SELECT id, CASE WHEN {_OWN} = 'src3' THEN description || ' enthe edons' ELSE description END AS description, tags, filename, source_text FROM old_texts WHERE {_OWN} <> 'src5'
   UNION ALL SELECT -id - 1, description, 'the fresh enthetic', filename, source_text FROM old_texts WHERE {_OWN} = 'src7')"""
+#: The queue's recorded events: what a click, a view and so on stand for.
+EVENT_OUTCOME = "CASE event_type WHEN 'view' THEN 'analyzed' WHEN 'purchase' THEN 'ready' ELSE 'error' END"
 ITEMS = f"""items AS (SELECT o_orderkey AS id, {_pick_sql(STATUSES, 'o_orderkey')} AS processing_status, (o_orderkey % 6)::INTEGER AS attempts, CASE WHEN o_orderkey % 3 <> 0 THEN {_AT.format('o_orderkey % 1000')} END AS next_retry_at,
   o_orderkey % 4 <> 0 AS error_retryable, (o_orderkey % 5)::INTEGER AS revives, o_orderkey % 2 = 0 AS has_analysis FROM orders)"""
 

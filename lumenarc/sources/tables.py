@@ -1,10 +1,7 @@
-"""Reading and replacing tables: columnar files, JSON feeds and raw bytes."""
+"""Schemas of the archive's tables, JSON feeds and raw bytes."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,33 +28,3 @@ def feed_items(replies: DataFrame, schema: str, items: str = "data") -> DataFram
     """Items of JSON replies (page, body), in order; a reply that is no such JSON gives none."""
     parsed = F.from_json("body", f"struct<{items}: array<struct<{schema}>>>")
     return replies.select("page", F.posexplode(parsed[items]).alias("position", "item")).select("page", "position", "item.*")
-
-
-class Snapshots:
-    """A table that is replaced as a whole: each version is a folder, and a small table names them in order.
-
-    The new version is complete before it is named, so readers see the old table or the new one.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _last(self) -> tuple[int, str | None]:
-        try:
-            names = self.spark.read.schema("number long, name string").parquet(f"{self.folder}/versions")
-            last = names.agg(F.max("number").alias("n"), F.max_by("name", "number").alias("name")).first()
-        except AnalysisException:
-            return 0, None
-        return last["n"] or 0, last["name"]
-
-    def version(self) -> str | None:
-        return self._last()[1]
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{self.version()}")
-
-    def replace(self, df: DataFrame) -> DataFrame:
-        name = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.folder}/{name}")
-        self.spark.createDataFrame([(self._last()[0] + 1, name)], "number long, name string").coalesce(1).write.mode("append").parquet(f"{self.folder}/versions")
-        return self.read()

@@ -1,15 +1,9 @@
-"""Streams: pages not seen before, counters over event time, and the work queue as state."""
+"""Streams: pages not seen before and counters over event time."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from lumenarc.operators.workqueue import Policy
 
 
 def first_seen(pages: DataFrame, key: str = "url", time: str = "seen_at", keep: str = "30 days") -> DataFrame:
@@ -21,35 +15,3 @@ def counts(events: DataFrame, time: str = "ts", late: str = "10 minutes", width:
     """Counts and sums by event-time window; rows later than `late` are left out."""
     windows = events.withWatermark(time, late).groupBy(F.window(time, width), by)
     return windows.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), by, "n", "total")
-
-
-ITEM_STATE = "status string, attempts int, revives int"
-ITEM_OUT = "id long, status string, attempts int, revives int, delay int"
-
-
-def queue(results: DataFrame, policy: Policy | None = None) -> DataFrame:
-    """results (id, outcome, retryable): the state of each item after each batch; a retry or revival comes due by timer."""
-    p = policy or Policy()
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, attempts, revives = state.get if state.exists else ("DOWNLOADED", 0, 0)
-        delay = None
-        if state.hasTimedOut:
-            if status == "FAILED":
-                attempts, revives = 0, revives + 1
-            status = "DOWNLOADED"
-        for batch in batches:
-            for outcome, retryable in zip(batch["outcome"], batch["retryable"], strict=True):
-                if outcome == "ready":
-                    status, delay = "READY", None
-                elif retryable and attempts + 1 < p.max_attempts:
-                    delay = max(1, round(min(max(0.0, p.retry_base) * 2**attempts, max(0.0, p.retry_cap))))
-                    status, attempts = "DEFERRED", attempts + 1
-                else:
-                    status, delay = "FAILED", p.revive_after if retryable and revives < p.max_revives else None
-        state.update((status, attempts, revives))
-        if delay is not None:
-            state.setTimeoutDuration(int(delay * 1000))
-        yield pd.DataFrame({"id": [key[0]], "status": [status], "attempts": [attempts], "revives": [revives], "delay": [delay or 0]})
-
-    return results.groupBy("id").applyInPandasWithState(step, ITEM_OUT, ITEM_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)

@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenarc.operators import catalog, comments, duplicates, history, workqueue
-from lumenarc.sources.tables import Snapshots
 
 NOW = datetime(2026, 3, 15, 12)
 MEDIA = "id long, sha256 string, created_at timestamp, dup_status string, dup_flagged_at timestamp, dup_of_media_id long"
@@ -109,15 +108,7 @@ def test_every_site_is_described():
         assert found[3] and all("/s.png" not in u for u in found[3]), name
 
 
-def test_snapshots(spark, tmp_path):
-    s = Snapshots(spark, f"file://{tmp_path}/t")
-    assert s.version() is None
-    s.replace(spark.range(3))
-    assert s.replace(s.read().where("id > 0")).count() == 2
-
-
 def test_streams(spark, tmp_path):
-    from lumenarc.operators.workqueue import Policy
     from lumenarc.streaming import live
 
     src = str(tmp_path / "in")
@@ -126,8 +117,3 @@ def test_streams(spark, tmp_path):
     q = live.first_seen(stream).writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r["url"] for r in spark.table("seen").collect()) == ["a", "b"]
-    results = str(tmp_path / "results")
-    spark.createDataFrame([(1, "error", True), (2, "ready", False)], "id long, outcome string, retryable boolean").coalesce(1).write.parquet(results)
-    q = live.queue(spark.readStream.schema("id long, outcome string, retryable boolean").parquet(results), Policy(retry_base=3600, retry_cap=3600)).writeStream.outputMode("update").format("memory").queryName("items").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert {r["id"]: (r["status"], r["attempts"]) for r in spark.table("items").collect()} == {1: ("DEFERRED", 1), 2: ("READY", 0)}
