@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenarc.functions import analysis as A
+from lumenarc.functions import media as M
 from lumenarc.functions import text as T
-from lumenarc.operators import catalog, comments, discovery, duplicates, history, hybrid, jobs, keyword, vectors, workqueue
+from lumenarc.operators import catalog, comments, discovery, duplicates, history, hybrid, ingest, jobs, keyword, vectors, workqueue
 from lumenarc.plans import views as V
 from lumenarc.session import table
 from lumenarc.sources.shared import shared_dir
 from lumenarc.streaming import items as live_queue
+from lumenarc.streaming import passes
 
 NOW = V.EPOCH + 500
 _QUERIES: dict = {}
@@ -555,6 +557,86 @@ def revenue_by_nation(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy("n_name", "o_orderpriority").agg(revenue.alias("revenue"), F.count("*").alias("n"))
 
 
+# ingest
+
+
+@_query(f"""WITH {V.MEDIA}, r AS (SELECT *, row_number() OVER w AS k, first_value(id) OVER w AS f FROM media WINDOW w AS (PARTITION BY sha256 ORDER BY created_at, id))
+SELECT id, CASE WHEN dup_status = 'unflagged' THEN 'unflagged' WHEN k = 1 THEN 'nondup' ELSE 'dup' END AS dup_status, CASE WHEN dup_status <> 'unflagged' AND k > 1 THEN f END AS dup_of_media_id,
+  CASE WHEN dup_status <> 'unflagged' AND k > 1 THEN {NOW}::BIGINT END AS flagged FROM r""")
+def incremental_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Flags after three batches of media, by extension, each of which touches only the groups of its own hashes."""
+    fresh = V.media(spark, d).withColumns({"dup_status": F.when(F.col("dup_status") == "unflagged", "unflagged").otherwise("nondup"), "dup_flagged_at": F.lit(None).cast("timestamp")})
+    batches = [fresh.where(F.col("extension").isin(*e)) for e in (("gif", "mp4"), ("jpg", "JPEG"), ("png", "webp"))]
+    media = batches[0].limit(0)
+    for batch in batches:
+        media = ingest.merged(media, ingest.delta_flags(media, batch, _now()))
+    return media.select("id", "dup_status", "dup_of_media_id", F.unix_seconds("dup_flagged_at").alias("flagged"))
+
+
+@_query(f"""WITH {V.MEDIA}, r AS (SELECT *, row_number() OVER w AS k, first_value(id) OVER w AS f FROM media WINDOW w AS (PARTITION BY sha256 ORDER BY created_at, id)),
+g AS (SELECT id, sha256, created_at, CASE WHEN dup_status = 'unflagged' THEN 'unflagged' WHEN k = 1 THEN 'nondup' ELSE 'dup' END AS dup_status,
+  CASE WHEN dup_status = 'unflagged' THEN dup_flagged_at WHEN k > 1 THEN CASE WHEN dup_status = 'dup' THEN dup_flagged_at ELSE {_now_sql(_PURGE_NOW)} END END AS since FROM r),
+o AS (SELECT *, coalesce(dup_status = 'dup' AND since <= {_now_sql(_PURGE_NOW)} - INTERVAL 7 DAY, false) AS old FROM g),
+c AS (SELECT *, count(*) OVER (PARTITION BY sha256) AS total, count(*) FILTER (old) OVER (PARTITION BY sha256) AS olds, row_number() OVER (PARTITION BY sha256, old ORDER BY created_at, id) AS n FROM o)
+SELECT id, dup_status, old AND (total > olds OR n > 1) AS purged FROM c""")
+def dup_pass(spark: SparkSession, d: str) -> DataFrame:
+    """The duplicate job: flags, then retention, in one plan."""
+    return ingest.dup_pass(V.media(spark, d), _now(_PURGE_NOW))[0].select("id", "dup_status", "purged")
+
+
+@_query("""WITH r AS (SELECT row_number() OVER (ORDER BY url, sha256(text)) + 1000 AS id, * FROM (SELECT doc_id, text, source, 'https://' || source || '.example/m/' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.PNG' WHEN 1 THEN '.gif?x=1' ELSE '' END AS url FROM documents WHERE doc_id % 11 <> 5 AND text IS NOT NULL))
+SELECT id, CASE doc_id % 2 WHEN 0 THEN CASE doc_id % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'gif' ELSE 'bin' END ELSE 'jpg' END AS extension,
+  CASE doc_id % 2 WHEN 0 THEN CASE doc_id % 3 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/gif' ELSE 'application/octet-stream' END ELSE 'image/jpeg' END AS mime_type,
+  lpad(id::VARCHAR, 8, '0') || CASE doc_id % 2 WHEN 0 THEN CASE doc_id % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.gif' ELSE '.bin' END ELSE '.jpg' END AS file_path,
+  source || '.example' AS site, sha256(text) AS sha256 FROM r""")
+def ingested_media(spark: SparkSession, d: str) -> DataFrame:
+    """Media and sources of successful downloads."""
+    doc = table(spark, d, "documents")
+    address = F.expr("'https://' || source || '.example/m/' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.PNG' WHEN 1 THEN '.gif?x=1' ELSE '' END")
+    down = doc.select(address.alias("url"), F.expr("doc_id % 11 <> 5").alias("ok"), F.expr("CASE WHEN doc_id % 2 = 1 THEN 'image/JPG; q=1' ELSE '' END").alias("content_type"), F.octet_length("text").alias("size"), F.sha2("text", 256).alias("sha256"), F.lit("f").alias("original_filename"), F.lit("").alias("page_url"), F.lit("c").alias("chapter"), F.lit(1).alias("page_number"), F.lit("1").alias("comment_id"), F.lit("a").alias("author_name"))
+    media, sources = ingest.ingested(down, 1000, _now())
+    return media.join(sources.select(F.col("media_id").alias("id"), "site"), "id").select("id", "extension", "mime_type", "file_path", "site", "sha256")
+
+
+_HEADS = ("FFD8FFE0", "89504E470D0A1A0A", "474946383961", "52494646000000005745425056503820", "00000018667479706D703432", "1A45DFA3", "", "52494646000000004156492000000000")
+_FOUND = ("image/jpeg", "image/png", "image/gif", "image/webp", "video/mp4", "video/webm", None, None)
+_SAID = ("image/JPG; q=1", "image/png", "", "text/html", "video/mp4")
+_CASE = lambda values, by: f"CASE {by} % {len(values)} " + " ".join(f"WHEN {i} THEN {'NULL' if v is None else repr(v)}" for i, v in enumerate(values)) + " END"
+
+
+@_query(f"""WITH b AS (SELECT page_id, unhex({_CASE(_HEADS, 'page_id')}) || encode(html) AS content, {_CASE(_FOUND, 'page_id')} AS found, {_CASE(('image/jpeg', 'image/png', None, 'text/html', 'video/mp4'), 'page_id')} AS said FROM pages),
+p AS (SELECT *, CASE WHEN said = 'text/html' THEN 'unsupported' WHEN found IS NULL THEN 'unknown content' WHEN said <> found THEN 'mismatch' END AS problem FROM b)
+SELECT page_id, octet_length(content)::INTEGER AS size, sha256(content) AS sha256, found, CASE WHEN problem IS NULL THEN CASE WHEN found = 'image/gif' THEN 'gif' WHEN found LIKE 'video/%' THEN 'video' ELSE 'image' END END AS kind, problem FROM p""")
+def media_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes of pages behind the first bytes of media formats: size, hash, type and verdict from one reading."""
+    content = F.concat(F.unhex(F.expr(_CASE(_HEADS, "page_id"))), F.encode("html", "UTF-8"))
+    rows = table(spark, d, "pages").select("page_id", content.alias("content"), F.expr(_CASE(_SAID, "page_id")).alias("declared"))
+    return M.verdicts(rows).select("page_id", "size", "sha256", "found", "kind", "problem")
+
+
+@_query(f"WITH {V.TEXTS}, {V.bm25_sql([(('by', 'the'), False)], limit=10**9)} SELECT id, round(score, 6) AS score, (SELECT count(*) FROM bm25) AS total FROM bm25 ORDER BY score DESC, id LIMIT 20 OFFSET 20")
+def search_page(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of hits with the total of all, from one job (the page is the feature)."""
+    hits = keyword.bm25(_index(spark, d), '"by the"', limit=None)
+    return hybrid.result_page(hits, 2, 20, [F.col("score").desc(), F.col("id")]).select("id", F.round("score", 6).alias("score"), "total")
+
+
+_DRAINED = f"""{V.ITEMS}, d AS (SELECT *, processing_status IN ('DOWNLOADED', 'ANALYZING', 'ANALYZED', 'EMBEDDING') AND (next_retry_at IS NULL OR next_retry_at <= {_now_sql()}) AS due, id % 3 = 0 AS good, id % 2 = 0 AS again FROM items)"""
+
+
+@_query(f"""WITH {_DRAINED} SELECT id, CASE WHEN NOT due THEN processing_status WHEN good THEN 'READY' WHEN again AND attempts + 1 < 6 THEN CASE WHEN has_analysis THEN 'ANALYZED' ELSE 'DOWNLOADED' END ELSE 'FAILED' END AS processing_status,
+  (CASE WHEN due AND NOT good AND again AND attempts + 1 < 6 THEN attempts + 1 ELSE attempts END)::INTEGER AS attempts FROM d""")
+def drained_items(spark: SparkSession, d: str) -> DataFrame:
+    """Items after all that are claimable went through the queue, micro-batch by micro-batch."""
+    folder = live_queue.fresh_folder(shared_dir(spark))
+    rows = V.items(spark, d)
+    rows.write.parquet(f"{folder}/in")
+    outcome = F.when(F.expr("id % 3 = 0"), "ready").otherwise("error")
+    process = lambda claimed: claimed.select("id", outcome.alias("outcome"), F.expr("id % 2 = 0").alias("retryable"), F.lit("refused").alias("error"))
+    passes.drained(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in"), process, folder, _now())
+    return spark.read.parquet(f"{folder}/items").select("id", "processing_status", "attempts")
+
+
 # discovery
 
 
