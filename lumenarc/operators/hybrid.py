@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from lumenarc.operators import keyword, vectors
 
@@ -90,13 +89,14 @@ def search(
 
 
 def result_page(hits: DataFrame, page: int, size: int, order: list[Column]) -> DataFrame:
-    """A page of hits with total, the number of all hits, which the job that makes the page counts as they pass by."""
+    """A page of hits with total, the number of all hits; one job, in which both share what the hits are shuffled for.
+
+    An observed count would be wrong where a sort reads the hits twice or a lost executor's tasks run again.
+    """
     if page < 1 or not 1 <= size <= 500:
         raise ValueError("pages from 1, sizes from 1 to 500")
-    seen = Observation()
-    rows = hits.observe(seen, F.count(F.lit(1)).alias("total")).orderBy(*order).offset((page - 1) * size).limit(size).collect()  # one page
-    schema = StructType([*hits.schema, StructField("total", LongType())])
-    return hits.sparkSession.createDataFrame([(*r, seen.get["total"]) for r in rows], schema)
+    total = hits.agg(F.count("*").alias("total"))  # one row
+    return hits.orderBy(*order).offset((page - 1) * size).limit(size).crossJoin(F.broadcast(total))
 
 
 def neighbours(ranked: DataFrame, order: list[Column]) -> DataFrame:

@@ -51,7 +51,8 @@ def merged(media: DataFrame, changes: DataFrame) -> DataFrame:
 def dup_pass(media: DataFrame, now: Column) -> tuple[DataFrame, Observation]:
     """One pass of the duplicate job: media with fresh flags and `purged`, whether retention removes the row.
 
-    The observation has the job's counts (scanned, flagged, purged) once the rows were read; no second job counts them.
+    The observation has the job's counts (scanned, flagged, purged) once the rows were read; no second job counts them. They
+    are for a progress line: where an executor is lost, rows may be counted twice.
     """
     flagged = duplicates.flagged(media, now)
     gone = duplicates.purgeable(flagged, now).select("id", F.lit(True).alias("purged"))
