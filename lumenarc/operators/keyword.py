@@ -66,6 +66,21 @@ def sanitized(query: str) -> str:
     return " AND ".join('"' + " ".join(words) + '"' + "*" * prefix for words, prefix in atoms(query))
 
 
+def index_rows(media: DataFrame, analysis: DataFrame, sources: DataFrame) -> DataFrame:
+    """What the index reads of each medium: three parts of description, two of tags, the file name, and its sources' sites and chapters.
+
+    media (id, title, user_description, user_tags, original_filename) and analysis (media_id, description, tags) hold texts;
+    sources (id, media_id, site, chapter) are taken in order of their ids. Missing parts are empty, and only the ends are trimmed.
+    """
+    there = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    joined = lambda *cs: F.trim(F.concat(*[x for c in cs for x in (F.lit(" "), there(c))]))
+    said = sources.where("site IS NOT NULL").select("media_id", F.struct("id", F.concat("site", F.lit(" "), there("chapter")).alias("t")).alias("s"))
+    sites = said.groupBy("media_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), " ").alias("source_text"))
+    found = analysis.select("media_id", F.col("description").alias("_said"), F.col("tags").alias("_tags"))
+    rows = media.join(found, media["id"] == found["media_id"], "left").drop("media_id").join(sites, F.col("id") == sites["media_id"], "left")
+    return rows.select("id", joined("_said", "user_description", "title").alias("description"), joined("_tags", "user_tags").alias("tags"), there("original_filename").alias("filename"), there("source_text").alias("source_text"))
+
+
 def indexed(rows: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """rows (id, *columns) as token arrays."""
     return rows.select("id", *[tokens(c).alias(c) for c in columns])

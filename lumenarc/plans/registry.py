@@ -557,6 +557,18 @@ def revenue_by_nation(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy("n_name", "o_orderpriority").agg(revenue.alias("revenue"), F.count("*").alias("n"))
 
 
+@_query(f"""WITH {V.SOURCES}, s AS (SELECT media_id, string_agg(site || ' ' || coalesce(chapter, ''), ' ' ORDER BY id) AS t FROM sources GROUP BY media_id)
+SELECT doc_id AS id, trim(CASE WHEN doc_id % 5 <> 0 THEN substr(text, 1, 40) ELSE '' END || ' ' || CASE doc_id % 3 WHEN 0 THEN 'mine' ELSE '' END || ' ' || CASE doc_id % 4 WHEN 0 THEN '' ELSE 'title ' || doc_id END, ' ') AS description,
+  trim(CASE WHEN doc_id % 5 <> 0 THEN '["' || source || '"]' ELSE '' END || ' ' || CASE doc_id % 2 WHEN 0 THEN '["own"]' ELSE '' END, ' ') AS tags, CASE doc_id % 6 WHEN 0 THEN '' ELSE 'f' || doc_id || '.png' END AS filename, coalesce(t, '') AS source_text
+FROM documents LEFT JOIN s ON media_id = doc_id""")
+def index_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The index's rows from media, analyses and sources."""
+    doc = table(spark, d, "documents")
+    media = doc.selectExpr("doc_id AS id", "CASE WHEN doc_id % 4 <> 0 THEN 'title ' || doc_id END AS title", "CASE doc_id % 3 WHEN 0 THEN 'mine' END AS user_description", "CASE doc_id % 2 WHEN 0 THEN '[\"own\"]' END AS user_tags", "CASE WHEN doc_id % 6 <> 0 THEN 'f' || doc_id || '.png' END AS original_filename")
+    analysis = doc.where("doc_id % 5 <> 0").selectExpr("doc_id AS media_id", "substr(text, 1, 40) AS description", "'[\"' || source || '\"]' AS tags")
+    return keyword.index_rows(media, analysis, V.sources(spark, d))
+
+
 # ingest
 
 

@@ -10,17 +10,18 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenarc.operators import workqueue
 from lumenarc.operators.workqueue import Policy
+from lumenarc.streaming import control
 
 Process = Callable[[DataFrame], DataFrame]
 
 
-def drained(items: DataFrame, process: Process, folder: str, now: Column, policy: Policy | None = None) -> None:
+def drained(items: DataFrame, process: Process, folder: str, now: Column, policy: Policy | None = None) -> bool:
     """Works off all claimable items of a stream: process maps items to results (id, outcome, retryable, error).
 
     A micro-batch is a claim: its items are settled and written with the run's counts. After a crash the batch that was
@@ -41,7 +42,15 @@ def drained(items: DataFrame, process: Process, folder: str, now: Column, policy
         counts = done.agg(F.count("*").alias("total"), F.count_if(status == "READY").alias("ready"), F.count_if(status == "FAILED").alias("failed"), F.count_if(~status.isin("READY", "FAILED")).alias("deferred"), said.alias("last_error"))
         counts.write.mode("overwrite").parquet(f"{folder}/runs/batch={k}")
 
-    items.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(work).start().awaitTermination()
+    with control.single(items.sparkSession, folder) as asked:
+        query = items.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(control.stopping(work, asked)).start()
+        try:
+            query.awaitTermination()
+        except StreamingQueryException:
+            if not asked():
+                raise
+            return False
+    return True
 
 
 def drain_summary(spark: SparkSession, folder: str) -> DataFrame:
