@@ -110,12 +110,29 @@ def details(media: DataFrame, sources: DataFrame, analysis: DataFrame) -> DataFr
     return media.join(nested.withColumnRenamed("media_id", "id"), "id", "left").join(analysis.withColumnRenamed("media_id", "id"), "id", "left")
 
 
+def hydrated(hits: DataFrame, media: DataFrame, analysis: DataFrame, sources: DataFrame) -> DataFrame:
+    """Hits (id, score) of a page with their records, in the columns that readers may see; hits whose medium is gone are dropped.
+
+    Each table is met by the page's ids alone, so hits are meant to be one page.
+    """
+    ids = F.broadcast(hits.select("id").distinct())
+    own = shaped(media.join(ids, "id", "left_semi")).select("id", "extension", "created_at", "processing_status", "dup_status", "dup_expires_at", "is_favorite")
+    said = analysis.join(ids.withColumnRenamed("id", "media_id"), "media_id", "left_semi").select(F.col("media_id").alias("id"), json_list("emotions").alias("emotions"))
+    site = first_sources(sources.join(ids.withColumnRenamed("id", "media_id"), "media_id", "left_semi")).withColumnRenamed("media_id", "id")
+    return F.broadcast(hits).join(own, "id").join(said, "id", "left").join(site, "id", "left")
+
+
 def patched(media: DataFrame, changes: DataFrame, allowed: tuple[str, ...] = ("title", "user_description", "user_tags", "is_favorite")) -> DataFrame:
-    """media with the columns of changes (id, ...) that are allowed and not null."""
+    """media with the columns of changes (id, ...) that are allowed and not null.
+
+    Where changes has given, an array of the names that a change sets, those are set, to null as well, and no others.
+    """
     names = [c for c in changes.columns if c in allowed and c in media.columns]
-    new = changes.select(F.col("id"), *[F.col(c).alias(f"new_{c}") for c in names])
+    given = [F.col("given").alias("new_given")] if "given" in changes.columns else []
+    new = changes.select(F.col("id"), *given, *[F.col(c).alias(f"new_{c}") for c in names])
     out = media.join(new, "id", "left")
-    return out.select(*[F.coalesce(f"new_{c}", c).alias(c) if c in names else F.col(c) for c in media.columns])
+    value = lambda c: F.when(F.array_contains("new_given", c), F.col(f"new_{c}")).otherwise(F.col(c)) if given else F.coalesce(f"new_{c}", c)
+    return out.select(*[value(c).alias(c) if c in names else F.col(c) for c in media.columns])
 
 
 def random_pick(media: DataFrame, scope: str = "everything", seed: int | None = None) -> DataFrame:

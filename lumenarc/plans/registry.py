@@ -423,7 +423,10 @@ def content_types(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", T.normalize_content_type(raw).alias("kind"))
 
 
-@_query()
+@_query(r"""WITH a AS (SELECT row_number() OVER () AS k, url, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS t FROM pages),
+u AS (SELECT k, url, regexp_extract(url, '^[a-z]+://[^/?#]*') || split_part(h[i], '#', 1) AS link, t[i] AS title, i FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM a)),
+f AS (SELECT k, url, link, min(i) AS i, arg_min(title, i) AS title FROM u GROUP BY k, url, link)
+SELECT url, (row_number() OVER (PARTITION BY k ORDER BY i) - 1)::INTEGER AS position, link, title FROM f""")
 def page_links(spark: SparkSession, d: str) -> DataFrame:
     """Links of each page, absolute, first place wins."""
     return comments.links(table(spark, d, "pages"), ".")
@@ -569,6 +572,17 @@ def index_rows(spark: SparkSession, d: str) -> DataFrame:
     return keyword.index_rows(media, analysis, V.sources(spark, d))
 
 
+@_query(f"""WITH {V.TEXTS}, {V.bm25_sql([(('by', 'the'), False)], limit=30)}, {V.MEDIA}, {V.SOURCES}, {V.ANALYSIS}, s AS (SELECT media_id, arg_min(site, id) AS site FROM sources GROUP BY media_id)
+SELECT m.id, round(score, 6) AS score, extension, epoch(created_at)::BIGINT AS created, dup_status, CASE WHEN dup_status = 'dup' THEN epoch(dup_flagged_at + INTERVAL 7 DAY)::BIGINT END AS expires, site,
+  CASE WHEN json_valid(emotions) THEN array_to_string(from_json(emotions, '["VARCHAR"]'), ',') ELSE '' END AS emotions
+FROM bm25 JOIN media m USING (id) LEFT JOIN s ON s.media_id = m.id LEFT JOIN analysis a ON a.media_id = m.id WHERE processing_status <> 'FAILED'""")
+def hydrated_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of a page with the records of those media that are still there (the page is the feature)."""
+    hits = keyword.bm25(_index(spark, d), '"by the"', limit=30)
+    rows = catalog.hydrated(hits, V.media(spark, d).where("processing_status <> 'FAILED'"), V.analysis(spark, d), V.sources(spark, d))
+    return rows.select("id", F.round("score", 6).alias("score"), "extension", F.unix_seconds("created_at").alias("created"), "dup_status", F.unix_seconds("dup_expires_at").alias("expires"), "site", F.array_join(F.coalesce("emotions", F.array().cast("array<string>")), ",").alias("emotions"))
+
+
 # ingest
 
 

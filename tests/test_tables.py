@@ -124,3 +124,10 @@ def test_picks_watch_lists_and_provenance(spark):
     refs = spark.createDataFrame([("p", "", None, None), ("p", "own", "c9", 9), ("q", None, None, None)], "page string, page_url string, chapter string, page_number int")
     pages = spark.createDataFrame([("p", "c1", 4)], "url string, chapter string, page_number int")
     assert sorted(map(str, history.with_provenance(refs, pages).select("page_url", "chapter", "page_number").collect())) == sorted(["Row(page_url='p', chapter='c1', page_number=4)", "Row(page_url='own', chapter='c9', page_number=9)", "Row(page_url=None, chapter=None, page_number=None)"])
+
+
+def test_patches_set_nulls_where_they_say_so(spark):
+    media = spark.createDataFrame([(1, "t", True), (2, "u", False), (3, "v", True)], "id long, title string, is_favorite boolean")
+    changes = spark.createDataFrame([(1, None, False, ["title"]), (2, "w", None, ["title", "id"]), (9, "x", None, ["title"])], "id long, title string, is_favorite boolean, given array<string>")
+    assert sorted(map(tuple, catalog.patched(media, changes).collect())) == [(1, None, True), (2, "w", False), (3, "v", True)]
+    assert sorted(map(tuple, catalog.patched(media, changes.drop("given")).collect())) == [(1, "t", False), (2, "w", False), (3, "v", True)]
