@@ -2,9 +2,10 @@
 
 A page is cut into blocks at block-level tags. A block has its words and its link density, those of its neighbours (two
 on either side by words, one by density), whether it is a heading, and one mark of where it stands: 1 in running text
-that stands apart (footers, forms, comments, notices), -1 inside the page's article, else 0. Menus, link lists and
-adverts outside the article carry no mark, so words and link density alone tell them. A decision tree, grown on the
-small labelled table below, keeps or drops each block.
+that stands apart (footers, forms, comments, notices), -1 inside the page's article, else 0. A decision tree, grown on
+the small labelled table below and on variants of its pages, keeps or drops each block. Words and density, of the block
+and its neighbours, open the tree; the mark breaks ties in those leaves alone that both classes reach, and words and
+density decide what is left of them.
 
 Nulls: a null page is empty and has no text. Pages without kept blocks give an empty text. Repeated rows give repeated
 results; long pages are read whole; tags that never close or are cut off end with the page; an empty table gives no
@@ -13,6 +14,7 @@ rows. Extra columns of the input are not read.
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -24,6 +26,14 @@ from pyspark.sql import functions as F
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
+#: Numbers of a block, and the one that breaks ties.
+WORDS_AND_DENSITY, MARK = tuple(range(9)), (9,)
+#: How the tree grows: the numbers that split, splits above a leaf, blocks in a leaf. The mark is asked where the first step ends in both classes.
+PLAN = ((WORDS_AND_DENSITY, 5, 20), (MARK, 2, 1), (WORDS_AND_DENSITY, 6, 3))
+#: Variants of a labelled page that names its article, and how many times its text such a variant has.
+VARIANTS = 10
+LENGTHS = (0.1, 0.3, 0.6, 1, 1.5, 2.5)
+
 #: Labelled pages, a line each, block by block: + main text or - not, words, @ link density, h heading, ! apart, = article, * how many alike.
 LABELLED = """
 -1@1*6 -8 +9h= +70= +40= +2= +25= -12!
@@ -192,38 +202,49 @@ def rows(found: list[_Block]) -> list[tuple[float, ...]]:
     return features([(b.n, b.density, b.heading, b.mark) for b in found])
 
 
-def grown(table: list[tuple[tuple[float, ...], int]], depth: int = 8, least: int = 1):
-    """A decision tree by Gini impurity: a class, or (feature, threshold, at most, above)."""
+def grown(table: list[tuple[tuple[float, ...], int]], plan: tuple[tuple[tuple[int, ...], int, int], ...] = PLAN):
+    """A decision tree by Gini impurity: a class, or (feature, threshold, at most, above).
+
+    plan: numbers that may split, splits above a leaf and blocks in a leaf, from the root on. A leaf of one step that
+    still holds both classes is opened by the next.
+    """
     y = [label for _, label in table]
+    (of, depth, least), further = plan[0], plan[1:]
+
+    def leaf():
+        return int(2 * sum(y) >= len(y)) if not further or len(set(y)) == 1 else grown(table, further)
+
     if depth == 0 or len(set(y)) == 1 or len(y) < 2 * least:
-        return int(2 * sum(y) >= len(y))
+        return leaf()
 
-    def impurity(part: list[int]) -> float:
-        p = sum(part) / len(part)
-        return 2 * p * (1 - p) * len(part)
+    def impurity(n: int, kept: int) -> float:
+        return 2 * kept * (n - kept) / n
 
     best = None
-    for f in range(len(table[0][0])):
-        values = sorted({x[f] for x, _ in table})
-        for lo, hi in zip(values, values[1:], strict=False):
-            t = (lo + hi) / 2
-            left, right = [v for x, v in table if x[f] <= t], [v for x, v in table if x[f] > t]
-            if min(len(left), len(right)) >= least and (best is None or impurity(left) + impurity(right) < best[0] - 1e-12):
-                best = (impurity(left) + impurity(right), f, t)
+    for f in of:
+        ordered, before = sorted((x[f], label) for x, label in table), 0
+        for i, ((lo, label), (hi, _)) in enumerate(zip(ordered, ordered[1:], strict=False), 1):
+            before += label
+            if lo != hi and min(i, len(y) - i) >= least:
+                value = impurity(i, before) + impurity(len(y) - i, sum(y) - before)
+                if best is None or value < best[0] - 1e-12:
+                    best = (value, f, (lo + hi) / 2)
     if best is None:
-        return int(2 * sum(y) >= len(y))
+        return leaf()
     _, f, t = best
-    return f, t, grown([r for r in table if r[0][f] <= t], depth - 1, least), grown([r for r in table if r[0][f] > t], depth - 1, least)
+    low, high = (grown([r for r in table if (r[0][f] > t) == above], ((of, depth - 1, least), *further)) for above in (False, True))
+    return low if isinstance(low, int) and low == high else (f, t, low, high)
 
 
-def labelled() -> list[tuple[tuple[float, ...], int]]:
-    """The labelled table: features and label of each block."""
-    out = []
+def labelled(variants: int = VARIANTS) -> list[tuple[tuple[float, ...], int]]:
+    """Features and label of each block of the labelled pages, and of variants of them whose running text is longer or shorter."""
+    r, out = random.Random(5), []
     for page in LABELLED.strip().splitlines():
         cells = [re.fullmatch(r"([+-])(\d+)(?:@([\d.]+))?(h?)([!=]?)(?:\*(\d+))?", c).groups() for c in page.split()]
-        cells = [c for c in cells for _ in range(int(c[5] or 1))]
-        found = [(int(n), float(d or 0), h == "h", {"!": 1, "=": -1, "": 0}[mark]) for _, n, d, h, mark, _ in cells]
-        out += zip(features(found), [int(c[0] == "+") for c in cells], strict=True)
+        cells = [(label, int(n), float(d or 0), h == "h", {"!": 1, "=": -1, "": 0}[mark]) for label, n, d, h, mark, many in cells for _ in range(int(many or 1))]
+        for k in range(1 + variants):
+            found = [(n if d or not k or not any(c[4] < 0 for c in cells) else max(1, round(n * r.choice(LENGTHS))), d, h, mark) for _, n, d, h, mark in cells]
+            out += zip(features(found), [int(c[0] == "+") for c in cells], strict=True)
     return out
 
 
