@@ -35,12 +35,14 @@ LEVEL = 9
 #: Bytes of each trained dictionary, of a segment chosen by training, and of the pieces that are held against texts.
 DICTIONARY_BYTES, SEGMENT, PIECE = 32768, 40, 8
 #: A piece stays that has so many times the odds in toxic texts, in so many of them, and such a likelihood ratio at least.
-ODDS, LEAST, RATIO = 12, 3, 16.0
+ODDS, LEAST, RATIO = 12, 3, 20.0
 #: Bytes of a piece's surroundings, on either side.
 AROUND = 32
 GAINS = (1, 2, 3, 4, 5, 6)
 THRESHOLD = 0.3
 HELD_OUT = (4, 2)
+#: What stands between the words of a window.
+RIFT = b"    "
 RIM = b".,;:!?\"'()#*$%&|"
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 #: What stands before the segments in a trained dictionary: its last fixed values, three offsets.
@@ -55,18 +57,30 @@ def words(text: str | None) -> list[bytes]:
     return [w.strip(RIM) for w in (text or "").encode("utf-8").lower().split()]
 
 
+def spaced(w: list[bytes]) -> bytes:
+    """Words with a wide rim each, so that a short word and its rims fill a piece, whatever stands beside it."""
+    return RIFT + RIFT.join(w) + RIFT
+
+
 def windows(text: str | None) -> list[bytes]:
     w = words(text)
-    return [b" " + b" ".join(w[i : i + WINDOW]) + b" " for i in range(0, len(w), WINDOW)]
+    return [spaced(w[i : i + WINDOW]) for i in range(0, len(w), WINDOW)]
 
 
 def dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """The content of a dictionary trained on the samples, the most frequent last; where these are too few to train on, their end."""
+    """The content of a dictionary trained on the samples, the most frequent last; samples too few to train on are repeated."""
     samples = sorted(samples, key=lambda w: (_shuffled(w), w))
-    try:
-        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=PIECE).as_bytes().partition(_OFFSETS)[2]
-    except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+    for times in (4**k for k in range(6) if samples):
+        try:
+            trained = zstandard.train_dictionary(size, samples * times, k=SEGMENT, d=PIECE).as_bytes()
+        except zstandard.ZstdError:
+            continue
+        if _OFFSETS not in trained:
+            raise ValueError("a trained dictionary without its fixed offsets")
+        return trained.partition(_OFFSETS)[2]
+    if samples:
+        raise ValueError("no dictionary can be trained on the samples")
+    return b""
 
 
 def _shuffled(window: bytes) -> int:
@@ -84,7 +98,7 @@ def telling(pieces: set[bytes], toxic: list[str], ordinary: list[str]) -> set[by
     def standing(texts: list[str]) -> Counter:
         seen, n = set(), Counter()
         for text in texts:
-            line = b" " + b" ".join(words(text)) + b" "
+            line = spaced(words(text))
             here = {line[max(0, i - AROUND) : i + PIECE + AROUND]: line[i : i + PIECE] for i in range(len(line) - PIECE + 1) if line[i : i + PIECE] in pieces}
             n.update({p for around, p in here.items() if around not in seen})
             seen.update(here)
@@ -139,8 +153,8 @@ class Scorer:
         g = self.gains(text)
         if not len(g):
             return np.array([1.0] + [0.0] * (2 * len(GAINS) + 2))
-        passed = [x for t in GAINS for x in (min(3, int((g >= t).sum())), 10 * (g >= t).mean())]
-        return np.array([1.0, *passed, min(12, g.max()), 10 * math.tanh(g.mean())])
+        passed = [x for t in GAINS for x in (2 * math.log1p((g >= t).sum()), 10 * (g >= t).mean())]
+        return np.array([1.0, *passed, 4 * math.log1p(max(0.0, g.max())), 10 * math.tanh(g.mean())])
 
     def score(self, text: str | None) -> float:
         return 0.0 if self.weights is None else float(1 / (1 + math.exp(-max(-30.0, min(30.0, self.features(text) @ self.weights)))))
@@ -160,15 +174,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30
 def fitted(toxic: list[str], ordinary: list[str]) -> Scorer:
     """The scorer of two classes of texts.
 
-    Each third of the texts in turn trims a dictionary trained on the others; what is left of all three is the toxic
-    dictionary. Without texts of both classes there is nothing to learn.
+    A dictionary is trained on each third of the toxic texts and trimmed by the others; what is left of all three is the
+    toxic dictionary. Without texts of both classes there is nothing to learn.
     """
     if not toxic or not ordinary:
         return Scorer(b"", b"")
     kept: dict[bytes, None] = {}
     for i in range(3):
-        trained = dictionary(sorted({w for j, t in enumerate(toxic) if j % 3 != i for w in windows(t)}))
-        kept |= dict.fromkeys(trimmed(trained, toxic[i::3], ordinary[i::3]))
+        trained = dictionary(sorted({w for t in toxic[i::3] for w in windows(t)}))
+        kept |= dict.fromkeys(trimmed(trained, *([t for j, t in enumerate(texts) if j % 3 != i] for texts in (toxic, ordinary))))
     base = dictionary(sorted({w for t in ordinary for w in windows(t)})).rjust(64)
     out = Scorer(base, b"".join(kept) + base)
     x = np.array([out.features(t) for t in toxic + ordinary])

@@ -647,7 +647,7 @@ def test_held_out_recall_and_precision(spark):
     truth = dict(data(labels.select("doc_id", "toxic")))
     got = [(g[3], truth[g[0]]) for g in data(toxicity.score_documents(docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi"), labels)) if g[1]]
     hit, said, true = sum(p and t for p, t in got), sum(p for p, _ in got), sum(t for _, t in got)
-    assert true > 100 and hit / true > 0.55 and hit / said > 0.7, (hit, said, true)
+    assert true > 100 and hit / true > 0.75 and hit / said > 0.8, (hit, said, true)
 
 
 def test_scores_against_brute_force():
@@ -667,11 +667,11 @@ def test_scores_against_brute_force():
     for text in [" ".join(rude()) for _ in range(5)] + [" ".join(plain()) for _ in range(5)] + ["", "one"]:
         w = [x.strip(toxicity.RIM) for x in text.lower().encode().split()]
         pad = scorer.ordinary[-64:]
-        gains = [size(scorer.ordinary, y) - size(scorer.toxic, y) for i in range(0, len(w), 8) for y in [pad + b" " + b" ".join(w[i : i + 8]) + b" " + pad]]
+        gains = [size(scorer.ordinary, y) - size(scorer.toxic, y) for i in range(0, len(w), 8) for y in [pad + b"".join(b"    " + z for z in w[i : i + 8]) + b"    " + pad]]
         x = [1.0]
         for t in range(1, 7):
-            x += [min(3, sum(g >= t for g in gains)), 10 * sum(g >= t for g in gains) / len(gains)] if gains else [0, 0]
-        x += [min(12, max(gains)), 10 * np.tanh(sum(gains) / len(gains))] if gains else [0, 0]
+            x += [2 * np.log1p(sum(g >= t for g in gains)), 10 * sum(g >= t for g in gains) / len(gains)] if gains else [0, 0]
+        x += [4 * np.log1p(max(0, *gains, 0)), 10 * np.tanh(sum(gains) / len(gains))] if gains else [0, 0]
         assert scorer.score(text) == pytest.approx(1 / (1 + np.exp(-np.dot(x, scorer.weights))), abs=1e-9)
         assert (scorer.score(text) > 0.5) == ("wollop" in text or "quimmox" in text)
 
