@@ -1,9 +1,10 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries of the same size are trained apart, one on windows of ordinary text and one on windows of
-toxic text. What is common to both says nothing, so the pieces of the toxic dictionary are held against texts that it
-was not trained on, and it is trimmed to those that stand far more often in toxic ones than chance allows; what is left
-goes before the ordinary dictionary. Each window of eight words is compressed with either; the bytes that the toxic one saves are its gain. How
+Two zstandard dictionaries are trained apart, one on windows of ordinary text and one, a third of the texts at a time,
+on windows of toxic text. What is common to both says nothing, so pieces that the ordinary dictionary has too are
+dropped, and the others are held against toxic and ordinary texts that they were not trained on: the toxic dictionary is
+trimmed to those that stand far more often in toxic ones than chance allows, and goes before the ordinary one.
+Each window of eight words is compressed with either; the bytes that the toxic one saves are its gain. How
 many windows pass each of several thresholds is calibrated by a logistic curve on the sample, which turns a text's gains into a score.
 
 Learning takes a bounded sample of the labelled rows (SAMPLE of each class, by hash of the id, of those whose id does
@@ -95,7 +96,7 @@ def telling(pieces: set[bytes], toxic: list[str], ordinary: list[str]) -> set[by
     the vocabulary of one long text add up.
     """
 
-    def standing(texts: list[str]) -> Counter:
+    def standing(texts: list[str], pieces: set[bytes]) -> Counter:
         seen, n = set(), Counter()
         for text in texts:
             line = spaced(words(text))
@@ -104,21 +105,26 @@ def telling(pieces: set[bytes], toxic: list[str], ordinary: list[str]) -> set[by
             seen.update(here)
         return n
 
-    a, b = standing(toxic), standing(ordinary)
+    a = Counter({p: n for p, n in standing(toxic, pieces).items() if n >= LEAST})
+    b = standing(ordinary, set(a))
     share, out = len(toxic) / max(1, len(toxic) + len(ordinary)), set()
     for p, n in a.items():
         rest = b[p]
-        if n >= LEAST and n / (n + rest) > ODDS * share / (1 + (ODDS - 1) * share):
+        if n / (n + rest) > ODDS * share / (1 + (ODDS - 1) * share):
             g = 2 * (n * math.log(n / ((n + rest) * share)) + (rest * math.log(rest / ((n + rest) * (1 - share))) if rest else 0))
             if g > RATIO:
                 out.add(p)
     return out
 
 
-def trimmed(trained: bytes, toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """What is left of a trained dictionary where it consists of telling pieces."""
+def _pieces(content: bytes) -> set[bytes]:
+    return {content[i : i + PIECE] for i in range(len(content) - PIECE + 1)}
+
+
+def trimmed(trained: bytes, common: bytes, toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """What is left of a trained dictionary where it consists of telling pieces that the common one lacks."""
     at = range(len(trained) - PIECE + 1)
-    kept = telling({trained[i : i + PIECE] for i in at}, toxic, ordinary)
+    kept = telling(_pieces(trained) - _pieces(common), toxic, ordinary)
     out, end = [], -1
     for i in at:
         if trained[i : i + PIECE] in kept:
@@ -179,11 +185,11 @@ def fitted(toxic: list[str], ordinary: list[str]) -> Scorer:
     """
     if not toxic or not ordinary:
         return Scorer(b"", b"")
+    base = dictionary(sorted({w for t in ordinary for w in windows(t)})).rjust(64)
     kept: dict[bytes, None] = {}
     for i in range(3):
         trained = dictionary(sorted({w for t in toxic[i::3] for w in windows(t)}))
-        kept |= dict.fromkeys(trimmed(trained, *([t for j, t in enumerate(texts) if j % 3 != i] for texts in (toxic, ordinary))))
-    base = dictionary(sorted({w for t in ordinary for w in windows(t)})).rjust(64)
+        kept |= dict.fromkeys(trimmed(trained, base, *([t for j, t in enumerate(texts) if j % 3 != i] for texts in (toxic, ordinary))))
     out = Scorer(base, b"".join(kept) + base)
     x = np.array([out.features(t) for t in toxic + ordinary])
     out.weights = _logistic(x, np.array([1.0] * len(toxic) + [0.0] * len(ordinary)), 3.0)
