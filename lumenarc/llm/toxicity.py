@@ -1,9 +1,9 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained apart, one on windows of ordinary text and one, a third of the texts at a time,
-on windows of toxic text. What is common to both says nothing, so pieces that the ordinary dictionary has too are
-dropped, and the others are held against toxic and ordinary texts that they were not trained on: the toxic dictionary is
-trimmed to those that stand far more often in toxic ones than chance allows, and goes before the ordinary one.
+on windows of toxic text. What is common to both says nothing, so the pieces of the toxic dictionary are held against
+toxic and ordinary texts that they were not trained on: it is trimmed to those that stand far more often in toxic ones
+than chance allows, and goes before the ordinary one.
 Each window of eight words is compressed with either; the bytes that the toxic one saves are its gain. How
 many windows pass each of several thresholds is calibrated by a logistic curve on the sample, which turns a text's gains into a score.
 
@@ -84,6 +84,10 @@ def dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
     return b""
 
 
+def _digest(around: bytes) -> int:
+    return zlib.crc32(around) << 32 | zlib.adler32(around)
+
+
 def _shuffled(window: bytes) -> int:
     """An order without regard to content, as training looks for segments part by part."""
     return zlib.crc32(window)
@@ -96,18 +100,22 @@ def telling(pieces: set[bytes], toxic: list[str], ordinary: list[str]) -> set[by
     the vocabulary of one long text add up.
     """
 
-    def standing(texts: list[str], pieces: set[bytes]) -> Counter:
+    def standing(texts: list[str], pieces: set[bytes], most: dict[bytes, float] | None = None) -> Counter:
+        """Texts of each piece; pieces that stand in more than `most` of them are sought no further."""
         seen, n = set(), Counter()
         for text in texts:
             line = spaced(words(text))
-            here = {line[max(0, i - AROUND) : i + PIECE + AROUND]: line[i : i + PIECE] for i in range(len(line) - PIECE + 1) if line[i : i + PIECE] in pieces}
-            n.update({p for around, p in here.items() if around not in seen})
+            here = {_digest(line[max(0, i - AROUND) : i + PIECE + AROUND]): line[i : i + PIECE] for i in range(len(line) - PIECE + 1) if line[i : i + PIECE] in pieces}
+            fresh = {p for around, p in here.items() if around not in seen}
+            n.update(fresh)
             seen.update(here)
+            if most:
+                pieces -= {p for p in fresh if n[p] > most[p]}
         return n
 
     a = Counter({p: n for p, n in standing(toxic, pieces).items() if n >= LEAST})
-    b = standing(ordinary, set(a))
     share, out = len(toxic) / max(1, len(toxic) + len(ordinary)), set()
+    b = standing(ordinary, set(a), {p: n * (1 - share) / (ODDS * share) for p, n in a.items()})  # beyond that its odds are too small
     for p, n in a.items():
         rest = b[p]
         if n / (n + rest) > ODDS * share / (1 + (ODDS - 1) * share):
@@ -117,14 +125,10 @@ def telling(pieces: set[bytes], toxic: list[str], ordinary: list[str]) -> set[by
     return out
 
 
-def _pieces(content: bytes) -> set[bytes]:
-    return {content[i : i + PIECE] for i in range(len(content) - PIECE + 1)}
-
-
-def trimmed(trained: bytes, common: bytes, toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """What is left of a trained dictionary where it consists of telling pieces that the common one lacks."""
+def trimmed(trained: bytes, toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """What is left of a trained dictionary where it consists of telling pieces."""
     at = range(len(trained) - PIECE + 1)
-    kept = telling(_pieces(trained) - _pieces(common), toxic, ordinary)
+    kept = telling({trained[i : i + PIECE] for i in at}, toxic, ordinary)
     out, end = [], -1
     for i in at:
         if trained[i : i + PIECE] in kept:
@@ -189,7 +193,7 @@ def fitted(toxic: list[str], ordinary: list[str]) -> Scorer:
     kept: dict[bytes, None] = {}
     for i in range(3):
         trained = dictionary(sorted({w for t in toxic[i::3] for w in windows(t)}))
-        kept |= dict.fromkeys(trimmed(trained, base, *([t for j, t in enumerate(texts) if j % 3 != i] for texts in (toxic, ordinary))))
+        kept |= dict.fromkeys(trimmed(trained, *([t for j, t in enumerate(texts) if j % 3 != i] for texts in (toxic, ordinary))))
     out = Scorer(base, b"".join(kept) + base)
     x = np.array([out.features(t) for t in toxic + ordinary])
     out.weights = _logistic(x, np.array([1.0] * len(toxic) + [0.0] * len(ordinary)), 3.0)
