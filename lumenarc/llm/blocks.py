@@ -86,6 +86,9 @@ LABELLED = """
 -1@1*6 -7 +9h= +36= +31= -13!
 -1@1*6 -9 +9h= +2= +29= -7!
 -1@1*6 -10 +6h= +39= +60= +14= -10!
+-1@1*6 -9 +8h= +48= +33= +11=
++6h= +20= +4= +12= +11= +11=
++11= +11= +11= +11= +11= +11=
 -1@1*6 -6 +12h= +90= +36= -15!
 """
 
