@@ -38,17 +38,25 @@ MASK = "[SECRET]"
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 _ASSIGNED = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-_KEYWORDS = (*_ASSIGNED, b"passphrase", b"credential", b"private_key", b"access_key", b"bearer")
-_DIGIT = np.isin(np.arange(256), list(b"0123456789"))
-_UPPER = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-_LOWER = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz"))
-_HEX = np.isin(np.arange(256), list(b"0123456789abcdef"))
-_WEB = np.isin(np.arange(256), list(b"@:?&%"))
-_DOT = np.isin(np.arange(256), list(b"."))
-_KEYISH = np.isin(np.arange(256), list(b"+/_=-"))
+_PHRASE = (b"passphrase", b"pass_phrase", b"mnemonic", b"recovery phrase", b"seed phrase")
+_KEYWORDS = (*_ASSIGNED, *_PHRASE, b"pwd", b"credential", b"private_key", b"access_key", b"secret_key", b"signing_key", b"bearer")
+#: Words of a phrase that a keyword opens, at most so far behind it.
+PHRASE = 12
+
+
+def _of(chars: str) -> np.ndarray:
+    return np.isin(np.arange(256), list(chars.encode()))
+
+
+_DIGIT, _UPPER, _LOWER = _of("0123456789"), _of("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _of("abcdefghijklmnopqrstuvwxyz")
+_HEX, _ANY_HEX = _of("0123456789abcdef"), _of("0123456789abcdefABCDEF")
+_WEB, _DOT, _KEYISH, _SLASH, _HYPHEN, _LOWLINE, _COLON, _AT = map(_of, ("@:?", ".", "+/_=-", "/\\", "-", "_", ":", "@"))
+_VOWEL, _CLOSE, _NOISE = _of("aeiouyAEIOUY"), _of(".;,!?\"')]}>"), _of(".,!#*$%&'\"")
+#: Heads of keys by the services that give them out; fixed values.
+_HEADS = (b"AKIA", b"sk_", b"sk-", b"pk_", b"ghp_", b"xoxb-", b"glpat-", b"npm_", b"SG.", b"eyJ")
 _WIDE = np.arange(256) >= 128
 _KIND = np.where(_DIGIT, 1, np.where(_UPPER, 2, np.where(_LOWER | _WIDE, 3, 4))).astype(np.int8)
-FEATURES = 25
+FEATURES = 44
 
 
 def _places(data: bytes, words: tuple[bytes, ...]) -> np.ndarray:
@@ -63,103 +71,222 @@ def _places(data: bytes, words: tuple[bytes, ...]) -> np.ndarray:
 
 
 def features(chunk: K.Chunk, ws: np.ndarray, we: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """FEATURES numbers, 0 or 1, of each token: shape, neighbours, and the document's share of digits."""
+    """FEATURES numbers, 0 or 1, of each token.
+
+    Its shape: length, kinds of characters, how often they turn, whether its letters can be spoken (a consonant before a
+    vowel), the longest stretch without punctuation, and the forms of addresses, paths and UUIDs. Its neighbours: keywords
+    and signs of assignment before it, and a phrase that such a keyword opens and nothing has closed. Its file: the
+    document's shares of digits, of words that assign and of lines that begin with a name and a sign.
+    """
     buf, n = chunk.buf, len(ws)
     size = we - ws
 
-    def count(table: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(table[buf], dtype=np.int32)])
-        return total[we] - total[ws]
+    def total(flags: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])
 
-    digit, upper, lower, hexes, web, dots, keyish, wide = map(count, (_DIGIT, _UPPER, _LOWER, _HEX, _WEB, _DOT, _KEYISH, _WIDE))
+    def count(table: np.ndarray) -> np.ndarray:
+        t = total(table[buf])
+        return t[we] - t[ws]
+
+    def holding(places: np.ndarray) -> np.ndarray:
+        """Tokens in which one of the places lies."""
+        out = np.zeros(n, bool)
+        if n and len(places):
+            out[np.maximum(np.searchsorted(ws, places, "right") - 1, 0)] = True
+        return out
+
+    digit, upper, lower, hexes, any_hex, web, dots, keyish, wide = map(count, (_DIGIT, _UPPER, _LOWER, _HEX, _ANY_HEX, _WEB, _DOT, _KEYISH, _WIDE))
+    slash, hyphen, lowline, colon, at_sign, noise = map(count, (_SLASH, _HYPHEN, _LOWLINE, _COLON, _AT, _NOISE))
     kind = _KIND[buf]
-    turn = np.concatenate([[0, 0], np.cumsum(kind[1:] != kind[:-1], dtype=np.int32)])
+    turn = np.concatenate([[0], total(kind[1:] != kind[:-1])])
     turns = turn[we] - turn[np.minimum(ws + 1, we)]
-    key = np.zeros(n, bool)
-    if n:
-        key[np.searchsorted(ws, _places(K.LOWER[buf].tobytes(), _KEYWORDS), "right") - 1] = True
+    spoken = np.concatenate([[0], total((_LOWER | _UPPER)[buf[:-1]] & ~_VOWEL[buf[:-1]] & _VOWEL[buf[1:]])])
+    spoken = spoken[we] - spoken[np.minimum(ws + 1, we)]
+    edge = np.diff(np.concatenate([[0], (kind != 4).astype(np.int8), [0]]))
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    stretch = np.zeros(n, np.int64)
+    if n and len(begin):  # a stretch lies in one token, as blanks end it
+        np.maximum.at(stretch, np.maximum(np.searchsorted(ws, begin, "right") - 1, 0), end - begin)
+    low = K.LOWER[buf].tobytes()
+    key, phrase, url = holding(_places(low, _KEYWORDS)), holding(_places(low, _PHRASE)), holding(_places(low, (b"://", b"www.")))
+    headed = holding(_places(buf.tobytes(), _HEADS))
     sign = buf[we - 1]
     assigns = (sign == ord("=")) | (sign == ord(":"))
-    shift = lambda x, k: np.concatenate([np.zeros(min(k, n), bool), x[: max(n - k, 0)]]) & (np.concatenate([np.full(min(k, n), -1), owner[: max(n - k, 0)]]) == owner)
-    plain = size - digit - upper - lower - keyish - dots
+    line = total(buf == K.LF)[ws] if n else ws
+
+    def shift(x: np.ndarray, k: int) -> np.ndarray:
+        """x of the token k places before, of the same text."""
+        k = min(k, n)
+        return np.concatenate([np.zeros(k, bool), x[: n - k]]) & (np.concatenate([np.full(k, -1), owner[: n - k]]) == owner)
+
+    place = np.arange(n)
+    opens = (phrase | shift(phrase, 1)) & assigns
+    last = np.maximum.accumulate(np.where(opens, place, -1)) if n else place
+    after = place - np.maximum(last, 0)
+    closed = total(_CLOSE[sign])
+    in_phrase = (last >= 0) & (after > 0) & (after <= PHRASE) & (line == line[np.maximum(last, 0)]) & (closed[place] == closed[np.minimum(last + 1, n)]) if n else np.zeros(0, bool)
+    letters = upper + lower
+    plain = size - digit - letters - keyish - noise
     varied = (digit > 0).astype(int) + (upper > 0) + (lower > 0)
-    per_text = np.bincount(owner, weights=digit, minlength=len(chunk)) * 20 > np.bincount(owner, weights=size, minlength=len(chunk))
+    uuid = (hyphen == 4) & (any_hex >= 32) & (any_hex <= 36) & (size <= 44)
+    sums = lambda weights: np.bincount(owner, weights=weights, minlength=len(chunk))
+    heads = np.concatenate([[True], line[1:] != line[:-1]]) if n else np.zeros(0, bool)
+    named = heads & (assigns | np.concatenate([assigns[1:] & (size[1:] == 1), [False]])) if n else heads
+    digits_file, config_file, signs_file = sums(digit) * 20 > sums(size), sums(named) * 2 > sums(heads), sums(assigns) * 10 > sums(np.ones(n))
     columns = [
         np.ones(n, bool), size < 8, (size >= 8) & (size < 12), (size >= 12) & (size < 16), (size >= 16) & (size < 24), size >= 24,
         digit > 0, digit * 5 >= size, digit == size, varied >= 2, varied == 3, turns >= 4, turns >= 7,
         (hexes >= size - 2) & (size >= 12), plain <= 1, web > 0, dots >= 2, wide > 0, keyish > 0,
-        digit >= 15, key, shift(key, 1) & ~shift(assigns, 1), shift(key & assigns, 1), shift(key, 2) & shift(assigns, 1), per_text[owner],
+        digit >= 15, key, shift(key, 1) & ~shift(assigns, 1), shift(key & assigns, 1), shift(key, 2) & shift(assigns, 1), digits_file[owner],
+        (letters >= 8) & (spoken * 4 >= letters), (letters >= 8) & (spoken * 3 >= letters), turns * 2 >= size, stretch >= 12, stretch >= 20, uuid,
+        url, url & (at_sign > 0) & (colon >= 2), slash >= 3, hyphen + lowline >= 2, (spoken * 4 < letters) & (varied == 3) & (stretch >= 16),
+        in_phrase & (after == 1), in_phrase & (after > 1), in_phrase & (digit + plain > 2), config_file[owner], signs_file[owner], letters == size,
+        headed & (stretch >= 12), (digit >= 14) & (digit + noise == size),
     ]
     return np.stack(columns, axis=1).astype(np.float32)
 
 
-def _training_lines(n: int = 800, seed: int = 7) -> list[list[tuple[str, int]]]:
-    """Lines of (token, tag) made by rule; tags: 0 outside, 1 begin, 2 inside."""
+def _training_documents(n: int = 1500, seed: int = 7) -> list[list[list[tuple[str, int]]]]:
+    """Documents of lines of (token, tag), n lines in all, made by rule; tags: 0 outside, 1 begin, 2 inside.
+
+    Kinds of files: settings, logs, prose and lines of anything. Beside secrets stand what is easily taken for one:
+    addresses, paths, UUIDs, names of products, identifiers, versions and words after a keyword.
+    """
     r = random.Random(seed)
-    low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    low, up, dig, hexa = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
     some = lambda chars, a, b: "".join(r.choice(chars) for _ in range(r.randint(a, b)))
+    said = lambda a, b: "".join(r.choice(["", "", "s", "t", "r"]) + r.choice("bcdfghklmnprstvw") + r.choice("aeiou") + r.choice(["", "", "n", "r", "l"]) for _ in range(r.randint(a, b)))
     noise = lambda: r.choice(["", "", "", ",", ".", "!!", "###", "***", "$$$", "%%%", "&&&", ",###", ".***"])
-    word = lambda: some(low + "éèüñ" * r.randint(0, 1), 1, r.choice([6, 10, 14, 30])) + noise()
+    word = lambda: r.choice([lambda: said(1, 5), lambda: some(low + "éèüñ" * r.randint(0, 1), 1, r.choice([6, 10, 14, 30]))])() + noise()
+    number = lambda: some(dig, 1, 4)
+    uuid = lambda: (str.upper if r.random() < 0.2 else str)("-".join(some(hexa, k, k) for k in (8, 4, 4, 4, 12)))
+    host = lambda: f"{said(1, 3)}.{r.choice(['example.com', 'example.org', 'test', 'co.uk', 'io'])}"
+    piece = lambda: r.choice([lambda: said(1, 4), number, lambda: some(low + up + dig, 4, 30), lambda: said(1, 2).capitalize() + said(1, 3).capitalize() + number(), uuid])()
+    url = lambda: r.choice(["https://", "http://", "ftp://", "www."]) + host() + "".join("/" + piece() for _ in range(r.randint(0, 4))) + r.choice(["", "", "?ref=" + piece(), "?id=" + piece() + "&page=" + number(), "#" + said(1, 3), ".html"])
+    product = lambda: "".join(r.choice([said(1, 3).capitalize(), said(1, 2), number(), some(up, 1, 2)]) for _ in range(r.randint(3, 7)))
+    path = lambda: r.choice(["/", "~/", "./", "C:\\"]) + "/".join(r.choice([said(1, 4), said(1, 2) + number(), said(1, 2) + "-" + number() + "." + number()]) for _ in range(r.randint(3, 7))) + r.choice(["", ".so", ".py", ".tar.gz"])
+    identifier = lambda: r.choice(["_", "-"]).join(r.choice([said(1, 3), number(), said(1, 2) + number()]) for _ in range(r.randint(3, 6)))
+    version = lambda: f"{said(1, 3)}-{some(dig, 1, 2)}.{some(dig, 1, 2)}.{some(dig, 1, 2)}{r.choice(['', '-rc1', '+build7', '-SNAPSHOT'])}"
+    stamp = lambda: f"{some(dig, 4, 4)}-{some(dig, 2, 2)}-{some(dig, 2, 2)}T{some(dig, 2, 2)}:{some(dig, 2, 2)}"
+    mail = lambda: f"{some(low, 3, 8)}.{some(dig, 1, 3)}@{some(low, 4, 8)}{some(dig, 1, 2)}.example.com"
+    lookalike = [url, url, uuid, product, product, path, identifier, lambda: identifier().upper(), version, lambda: product() + "." + product() + "()"]
     plain = [
         word, word, word, word, word, word, lambda: word().capitalize(), lambda: word().upper() + "!!", lambda: some(dig, 1, 13) + noise(), lambda: ".".join(some(dig, 1, 3) for _ in range(4)),
-        lambda: f"{some(low, 3, 8)}.{some(dig, 1, 3)}@{some(low, 4, 8)}{some(dig, 1, 2)}.example.com", lambda: f"https://{some(low, 4, 9)}.example.org/{some(low, 2, 8)}/{some(dig, 1, 4)}?ref={some(low, 1, 4)}",
-        lambda: "-".join(some(dig, 3, 4) for _ in range(3)), lambda: f"{some(dig, 4, 4)}-{some(dig, 2, 2)}-{some(dig, 2, 2)}T{some(dig, 2, 2)}:{some(dig, 2, 2)}", lambda: some(low, 4, 8) + "-" + some(low, 4, 8), lambda: r.choice(["token", "secret", "password", "|", "="]),
+        mail, lambda: r.choice(lookalike)() + noise(), lambda: r.choice(lookalike)(), lambda: "-".join(some(dig, 3, 4) for _ in range(3)), stamp, lambda: some(low, 4, 8) + "-" + some(low, 4, 8), lambda: r.choice(["token", "secret", "password", "passphrase", "|", "="]),
     ]
     secret = [
-        lambda: some(low + up + dig, 16, 44), lambda: some("0123456789abcdef", 16, 64), lambda: some(dig, 16, 24), lambda: some(low + up + dig + "+/", 24, 60) + r.choice(["", "=", "=="]), lambda: "AKIA" + some(up + dig, 14, 18),
-        lambda: r.choice(["sk-", "sk_live_", "ghp_", "xoxb-"]) + some(low + up + dig, 16, 36), lambda: ".".join("ey" * (k < 2) + some(low + up + dig + "_-", 12, 40) for k in range(3)), lambda: some(up + dig, 16, 28),
+        lambda: some(low + up + dig, 16, 44), lambda: some(hexa, 16, 64), lambda: some(dig, 16, 24), lambda: some(low + up + dig + "+/", 24, 60) + r.choice(["", "=", "=="]), lambda: "AKIA" + some(up + dig, 14, 18),
+        lambda: r.choice(["sk-", "sk_live_", "ghp_", "xoxb-", "glpat-", "pk_test_", "npm_", "SG."]) + some(low + up + dig, 16, 36), lambda: ".".join("ey" * (k < 2) + some(low + up + dig + "_-", 12, 40) for k in range(3)), lambda: some(up + dig, 16, 28),
+        lambda: f"{r.choice(['postgres', 'mysql', 'amqp', 'redis', 'https'])}://{said(1, 3)}:{some(low + up + dig, 6, 16)}@{host()}{r.choice(['', ':' + number(), '/' + said(1, 2)])}",
     ]
-    named = ["password", "passwd", "secret", "token", "api_key", "apikey", "credential", "access_key"]
+    named = ["password", "passwd", "secret", "token", "api_key", "apikey", "credential", "access_key", "pwd", "secret_key", "signing_key"]
+    phrased = ["passphrase", "pass_phrase", "PASSPHRASE", "ssh_passphrase", "mnemonic"]
     short = lambda: some(low + up + dig + "_.-", 8, 14) + some(dig, 1, 2)
-    lines = []
-    for _ in range(n):
+    weak = lambda: r.choice([str, str.capitalize])(said(2, 4)) + some(dig, 1, 4) + r.choice(["", "!", "#", "$"])
+    quoted = lambda value: r.choice(['"{}"', "'{}'", "{}", "{}", "{},", "{}."]).format(value)
+    dull = lambda: r.choice([lambda: r.choice(["true", "false", "none", "null", "required", "optional", "enabled", "expired", "****", "<redacted>", "***", "yes", "n/a"]), lambda: said(1, 3), number])()
+
+    def phrase() -> list[tuple[str, int]]:
+        words = [r.choice([lambda: said(1, 3), lambda: some(low, 3, 8)])() for _ in range(r.randint(3, 12))]
+        mark = r.choice(['"', "'", "", "", ""])
+        words[0], words[-1] = mark + words[0], words[-1] + mark
+        lead = [(r.choice(phrased) + r.choice(":="), 0)] if r.random() < 0.6 else [(r.choice(phrased), 0), (r.choice(":="), 0)]
+        return lead + [(w, 2 if k else 1) for k, w in enumerate(words)]
+
+    def given() -> list[tuple[str, int]]:
+        """A secret under its name."""
+        value = r.choice([r.choice(secret)() + noise() * (r.random() < 0.3), short(), weak()])
+        if r.random() < 0.6:
+            return [(r.choice(["", "", said(1, 2) + "_", "export "]).replace(" ", "") + r.choice([str, str.upper])(r.choice(named)) + r.choice(":="), 0), (quoted(value), 1)]
+        return [(r.choice([str, str.upper])(r.choice(named)), 0), (r.choice(["=", ":"]), 0), (quoted(value), 1)]
+
+    def setting() -> list[tuple[str, int]]:
+        how = r.random()
+        if how < 0.15:
+            return given()
+        if how < 0.22:
+            return phrase()
+        if how < 0.32:  # a keyword that is given no secret
+            return [(r.choice(named + phrased) + r.choice(":="), 0), (dull(), 0)] if r.random() < 0.6 else [(r.choice(named), 0), ("=", 0), (dull(), 0)]
+        name = r.choice([identifier, lambda: said(1, 3), lambda: said(1, 2) + "_id"])()
+        value = [(quoted(r.choice([*lookalike, dull, dull, number, stamp, mail])()), 0)]
+        return [(name + r.choice(":="), 0), *value] if r.random() < 0.6 else [(name, 0), (r.choice("=:"), 0), *value]
+
+    def prose() -> list[tuple[str, int]]:
+        line = [((said(1, 5) if r.random() < 0.9 else r.choice(lookalike)()) + r.choice(["", "", "", "", ",", "."]), 0) for _ in range(r.randint(4, 14))]
+        if r.random() < 0.2:
+            at = r.randint(0, len(line))
+            line[at:at] = [(r.choice(named + phrased), 0), (said(1, 4), 0)]
+        return [*line, *given()] if r.random() < 0.08 else line
+
+    def log() -> list[tuple[str, int]]:
+        line = [(stamp(), 0), (r.choice(["INFO", "WARN", "ERROR", "DEBUG"]), 0)]
+        for _ in range(r.randint(1, 5)):
+            line.append((r.choice([said, said, said])(1, 4) if r.random() < 0.5 else r.choice([lambda: said(1, 2) + "=" + r.choice(lookalike)(), *lookalike, number])(), 0))
+        if r.random() < 0.12:
+            line += [("Authorization:", 0), ("Bearer", 0), (r.choice(secret[:1] + secret[5:7])(), 1)] if r.random() < 0.5 else given()
+        return line
+
+    def anything() -> list[tuple[str, int]]:
         line = [(r.choice(plain)(), 0) for _ in range(r.randint(2, 14))]
         if r.random() < 0.7:
             at, how, value = r.randint(0, len(line)), r.random(), r.choice(secret)()
-            quoted = r.choice(['"{}"', "'{}'", "{}", "{}", "{},", "{}."]).format(value) + noise()
+            worn = quoted(value) + noise()
             if how < 0.3:
-                put = [(r.choice(named) + r.choice([" ", ""]).strip() + r.choice([":", "="]), 0), (r.choice([quoted, short()]), 1)]
+                put = [(r.choice(named) + r.choice(":="), 0), (r.choice([worn, short()]), 1)]
             elif how < 0.5:
-                put = [(r.choice(named), 0), (r.choice("=:"), 0), (r.choice([quoted, short()]), 1)]
+                put = [(r.choice(named), 0), (r.choice("=:"), 0), (r.choice([worn, short()]), 1)]
             elif how < 0.6:
                 put = [(f"{r.choice(named)}{r.choice('=:')}{value}", 1)]
-            elif how < 0.75 and len(value) > 30:
+            elif how < 0.75 and len(value) > 30 and "://" not in value:
                 half = r.randint(14, len(value) - 14)
                 put = [(value[:half], 1), (value[half:], 2)]
             else:
-                put = [(quoted, 1)]
+                put = [(worn, 1)]
             line[at:at] = put
-        lines.append(line)
-    return lines
+        return line
+
+    out: list[list[list[tuple[str, int]]]] = []
+    while n > 0:
+        make = r.choice([setting, prose, log, anything, anything])
+        out.append([make() for _ in range(min(n, r.choice([1, 1, 3, 6, 12])))])
+        n -= len(out[-1])
+    return out
+
+
+def _training_lines(n: int = 1500, seed: int = 7) -> list[list[tuple[str, int]]]:
+    """The lines of the training documents."""
+    return [line for document in _training_documents(n, seed) for line in document]
 
 
 @cache
-def trained(rounds: int = 150, rate: float = 0.5, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def trained(rounds: int = 300, rate: float = 0.5, decay: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights (FEATURES, 3) and transitions (from, to): gradient ascent on the likelihood, forward-backward over all lines at once."""
-    lines = _training_lines()
-    texts = pa.array([" ".join(t for t, _ in line) for line in lines])
+    documents = _training_documents()
+    lines = [line for document in documents for line in document]
+    texts = pa.array(["\n".join(" ".join(t for t, _ in line) for line in document) for document in documents])
     rows, width = [], max(map(len, lines))
     for chunk in K.chunks(texts):
         rows.append(features(chunk, *chunk.words()))
     flat = np.concatenate(rows)
     n = len(lines)
-    x, y, mask = np.zeros((n, width, FEATURES), np.float32), np.zeros((n, width), int), np.zeros((n, width), bool)
-    at = 0
+    y, mask = np.zeros((n, width), int), np.zeros((n, width), bool)
     for i, line in enumerate(lines):
-        x[i, : len(line)], y[i, : len(line)], mask[i, : len(line)] = flat[at : at + len(line)], [t for _, t in line], True
-        at += len(line)
-    assert at == len(flat)
+        y[i, : len(line)], mask[i, : len(line)] = [t for _, t in line], True
+    assert mask.sum() == len(flat)
+    flat = flat.astype(float)
     w, t = np.zeros((FEATURES, 3)), np.zeros((3, 3))
     gw2, gt2 = np.full_like(w, 1e-6), np.full_like(t, 1e-6)
     barred = np.array([0.0, 0.0, -1e3])  # a sequence doesn't begin inside
     barred_t = np.array([[0.0, 0.0, -1e3], [0, 0, 0], [0, 0, 0]])
     gold = np.eye(3)[y] * mask[..., None]
-    gold_w = np.einsum("ntf,nty->fy", x, gold)
+    gold_w = flat.T @ gold[mask]
     pair = mask[:, 1:]
     gold_t = np.einsum("nta,ntb->ab", gold[:, :-1] * pair[..., None], gold[:, 1:])
     lse = lambda z, axis: (m := z.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(z - m).sum(axis=axis))
     for _ in range(rounds):
-        e, tt = x @ w, t + barred_t
+        e, tt = np.zeros((n, width, 3)), t + barred_t
+        e[mask] = flat @ w
         alpha, beta = np.zeros((n, width, 3)), np.zeros((n, width, 3))
         alpha[:, 0] = e[:, 0] + barred
         for k in range(1, width):
@@ -169,7 +296,7 @@ def trained(rounds: int = 150, rate: float = 0.5, decay: float = 1e-3) -> tuple[
         z = lse(alpha[:, -1], 1)
         p = np.exp(alpha + beta - z[:, None, None]) * mask[..., None]
         pp = np.exp(alpha[:, :-1, :, None] + tt + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * pair[..., None, None]
-        gw, gt = (gold_w - np.einsum("ntf,nty->fy", x, p)) / n - decay * w, (gold_t - pp.sum(axis=(0, 1))) / n - decay * t
+        gw, gt = (gold_w - flat.T @ p[mask]) / n - decay * w, (gold_t - pp.sum(axis=(0, 1))) / n - decay * t
         gw2, gt2 = gw2 + gw**2, gt2 + gt**2
         w, t = w + rate * gw / np.sqrt(gw2), t + rate * gt / np.sqrt(gt2)
     return w.astype(np.float32), (t + barred_t).astype(np.float32)

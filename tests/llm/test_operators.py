@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lumenarc.llm import blocks, components, forest, mixing, packing, quality, queries, secrets, slots, spotsigs, suffixes, toxicity
 from tests.llm.fixtures import documents, empty, rows
+from tests.llm.secret_lines import LINES
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -516,6 +517,37 @@ def test_field_finds_unseen_secrets():
     assert hit / true > 0.9 and hit / said > 0.9
 
 
+def test_field_on_lines_written_by_hand():
+    import pyarrow as pa
+
+    hit = said = true = 0
+    for line in LINES:
+        gold, text = re.findall("«(.*?)»", line), line.replace("«", "").replace("»", "")
+        (chunk,) = secrets.K.chunks(pa.array([text]))
+        _, a, b = secrets.field_spans(chunk, *secrets.trained())
+        found = [text.encode()[x:y].decode() for x, y in zip(a, b, strict=True)]
+        hit, said, true = hit + sum(any(g in f for f in found) for g in gold), said + len(found), true + len(gold)
+    assert len(LINES) > 100 and hit >= 0.85 * true and hit >= 0.85 * said
+
+
+def test_lookalikes_and_phrases():
+    lines = {
+        "see https://example.com/AbC123dEf456GhI789jKl012 for more": [],
+        "id 123e4567-e89b-12d3-a456-426614174000 was seen": [],
+        "the iPhone14ProMaxDeepPurple256GB is out": [],
+        "passphrase: correct horse battery staple": ["correct horse battery staple"],
+        "passphrase: correct horse battery staple\nplain words go on": ["correct horse battery staple"],
+        "the secret was kept in a drawer": [],
+        "password: required": [],
+    }
+    import pyarrow as pa
+
+    for text, gold in lines.items():
+        (chunk,) = secrets.K.chunks(pa.array([text]))
+        _, a, b = secrets.field_spans(chunk, *secrets.trained())
+        assert [text[x:y] for x, y in zip(a, b, strict=True)] == gold
+
+
 def test_viterbi_against_enumeration():
     from itertools import product
 
