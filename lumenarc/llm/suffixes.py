@@ -34,7 +34,8 @@ ARRAY_BYTES = 1 << 19
 #: Bytes of the spans that are sent on at once.
 SPAN_BYTES = 1 << 24
 SEPARATOR = 0xFF  # in no UTF-8 text
-_PLACE = np.uint64((1 << 28) - 1)
+#: A place in a text, beside which the upper half of a gram's hash ranks it; a text of Spark has fewer bytes than 1 << 31.
+_PLACE = np.uint64((1 << 32) - 1)
 KEY = ["k1", "k2"]
 
 

@@ -31,6 +31,21 @@ def data(df):
 # suffix arrays
 
 
+def test_anchors_are_the_least_grams():
+    r = np.random.default_rng(3)
+    raw = r.choice(list(b"ab cd"), 3000).astype(np.uint8).tobytes()
+    (chunk,) = suffixes.K.chunks(suffixes.pa.array([raw.decode()]))
+    owner, anchor, _, lo, hi, place = suffixes.chunk_runs(chunk)
+    words = suffixes._words(chunk.buf)
+    with np.errstate(over="ignore"):
+        gram = suffixes.K.mix(words[:-8] + suffixes.K.mix(words[8:]) * np.uint64(0xA24BAED4963EE407))
+    rank = [(int(g) >> 32, i) for i, g in enumerate(gram)]
+    last = suffixes.WIDTH - suffixes.GRAM + 1
+    assert all(min(rank[s : s + last])[1] == p for a, b, p in zip(lo, hi, place, strict=True) for s in (a, b))
+    assert lo[0] == 0 and hi[-1] == len(raw) - suffixes.WIDTH and (lo[1:] == hi[:-1] + 1).all()
+    assert not owner.any() and len(anchor) == len(lo) and int(suffixes._PLACE) > 1 << 31
+
+
 def test_suffix_array_order():
     r = random.Random(3)
     for _ in range(150):
