@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenarc.functions.text import EXTENSIONS, json_list
+from lumenarc.sources.shared import kept
 
 STATUSES = ("DOWNLOADED", "ANALYZING", "ANALYZED", "EMBEDDING", "READY", "FAILED")
 DUP_STATUSES = ("nondup", "dup", "unflagged")
 GROUPS = {"READY": "ready", "FAILED": "failed"}
+#: Bits of monotonically_increasing_id() that number the rows of a partition.
+PLACE_BITS = 33
 
 
 @dataclass(frozen=True)
@@ -142,19 +145,18 @@ def random_pick(media: DataFrame, scope: str = "everything", seed: int | None =
 
 
 def with_ids(rows: DataFrame, high_water: int, order: list[str]) -> DataFrame:
-    """New rows with ids after the highest ever given; ranges of rows are numbered in parallel."""
+    """New rows with ids after the highest ever given; ranges of rows are numbered in parallel.
+
+    The bounds of the ranges come from a sample that each reading would draw anew, so the dealt rows are written once, and
+    both their places and the sizes of the ranges are read from there.
+    """
     spark = rows.sparkSession
-    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_p", F.spark_partition_id())
-    dealt = dealt.withColumn("_k", F.row_number().over(_within("_p", order)))
-    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
+    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    # the number holds the range above and the place in it below
+    dealt = kept(dealt.withColumn("_at", F.monotonically_increasing_id()), "numbered").withColumns({"_p": F.shiftright("_at", PLACE_BITS), "_k": F.col("_at").bitwiseAND((1 << PLACE_BITS) - 1) + 1})
+    sizes = dealt.groupBy("_p").agg(F.max("_k").alias("_n"))
     base = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(_before("_p")), F.lit(0))).select("_p", "_base")
-    return dealt.join(F.broadcast(base), "_p").withColumn("id", F.lit(high_water) + F.col("_base") + F.col("_k")).drop("_p", "_k", "_base")
-
-
-def _within(part: str, order: list[str]):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(part).orderBy(*order)
+    return dealt.join(F.broadcast(base), "_p").withColumn("id", F.lit(high_water) + F.col("_base") + F.col("_k")).drop("_p", "_k", "_base", "_at")
 
 
 def _before(part: str):

@@ -8,7 +8,6 @@ one adds nothing. Rounds are written to the shared folder, so no plan grows and
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -16,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenarc.operators.comments import parsed
-from lumenarc.sources.shared import shared_dir
+from lumenarc.sources.shared import kept
 
 #: Fixed: pages that a catalog or a feed is followed at most.
 MAX_PAGES = 50
@@ -47,13 +46,6 @@ def page_links(pages: DataFrame) -> DataFrame:
     return spark.sql("SELECT p.url, l.position, l.link, l.title FROM {pages} p, LATERAL lumenarc_page_links(p.url, p.html) l", pages=pages.select("url", "html"))
 
 
-def _kept(df: DataFrame, tag: str) -> DataFrame:
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def origin(url: str | Column) -> Column:
     return F.regexp_extract(F.col(url) if isinstance(url, str) else url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", 0)
 
@@ -71,7 +63,7 @@ def reachable(pages: DataFrame, seeds: DataFrame, rounds: int | None = None, wit
     aren't recorded have no links. within keeps links to their page's own host.
     """
     nowhere = [F.lit(None).cast("string").alias("via"), F.lit(None).cast("int").alias("position")]
-    found = _kept(seeds.select("url").distinct().select("url", F.lit(0).alias("depth"), *nowhere), "reached")
+    found = kept(seeds.select("url").distinct().select("url", F.lit(0).alias("depth"), *nowhere), "reached")
     frontier, seen, depth = found, found, 0
     while rounds is None or depth < rounds:
         depth += 1
@@ -79,7 +71,7 @@ def reachable(pages: DataFrame, seeds: DataFrame, rounds: int | None = None, wit
         if within:
             links = links.where(F.lower(origin("link")) == F.lower(origin("url")))
         new = links.select(F.col("link").alias("new"), "url", "position").join(seen.select(F.col("url").alias("new")), "new", "left_anti")
-        frontier = _kept(new.groupBy("new").agg(F.min(F.struct("url", "position")).alias("at")).select(F.col("new").alias("url"), F.lit(depth).alias("depth"), F.col("at.url").alias("via"), F.col("at.position").alias("position")), "reached")
+        frontier = kept(new.groupBy("new").agg(F.min(F.struct("url", "position")).alias("at")).select(F.col("new").alias("url"), F.lit(depth).alias("depth"), F.col("at.url").alias("via"), F.col("at.position").alias("position")), "reached")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -152,7 +144,7 @@ def followed(replies: DataFrame, starts: DataFrame, items: str, fields: str, fol
     at = starts.select("feed", "url", F.lit(1).alias("page"))
     seen = None
     for page in range(1, most + 1):
-        got = _kept(at.join(rows, "url").select("feed", "page", "url", "i", "next"), "feed-pages")
+        got = kept(at.join(rows, "url").select("feed", "page", "url", "i", "next"), "feed-pages")
         seen = got if seen is None else seen.unionByName(got)
         at = got.where("next is not null").select("feed", F.col("next").alias("url"), F.lit(page + 1).alias("page")).join(seen.select("feed", "url"), ["feed", "url"], "left_anti")
         if at.isEmpty():

@@ -117,3 +117,13 @@ def test_streams(spark, tmp_path):
     q = live.first_seen(stream).writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r["url"] for r in spark.table("seen").collect()) == ["a", "b"]
+
+
+def test_two_readers_of_new_ids_see_the_same(spark):
+    n = 40_000  # more rows than are sampled for the bounds of ranges
+    rows = spark.range(n).select(F.sha2(F.col("id").cast("string"), 256).alias("k"), F.lower(F.sha2(F.col("id").cast("string"), 256)).alias("other"))
+    made = catalog.with_ids(rows.repartition(3), 5, ["k"])
+    both = made.select("id", "k").join(made.select("id", "other"), "id")
+    got = sorted(map(tuple, both.collect()))
+    assert [i for i, _, _ in got] == list(range(6, n + 6))  # dense, each once
+    assert [k for _, k, _ in got] == sorted(k for _, _, k in got)
