@@ -72,10 +72,10 @@ def fused(scores: DataFrame, weights: dict[str, float], allowed: DataFrame | Non
 
 
 def search(
-    index: DataFrame | keyword.Index, query: str, vectors_table: DataFrame | None = None, query_vector: list[float] | None = None, allowed: DataFrame | None = None,
+    index: DataFrame | keyword.Index | None, query: str, vectors_table: DataFrame | None = None, query_vector: list[float] | None = None, allowed: DataFrame | None = None,
     media: DataFrame | None = None, weights: Weights | None = None, limit: int = CANDIDATES, model: str | int | None = None, tag_rows: DataFrame | None = None, tag_text: Column | None = None,
 ) -> tuple[str, DataFrame]:
-    """Mode and hits. A blank query lists media, newest first, without scores; without vectors the other weights share all."""
+    """Mode and hits. A blank query lists media, newest first, without scores or an index; without vectors the other weights share all."""
     weights = weights or Weights()
     if not query.strip():
         listed = media if allowed is None else media.join(allowed.select("id"), "id", "left_semi")

@@ -286,7 +286,7 @@ def keyword_only(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {V.MEDIA} SELECT id, NULL::DOUBLE AS score FROM media WHERE processing_status <> 'FAILED'")
 def filters_only(spark: SparkSession, d: str) -> DataFrame:
-    return hybrid.search(_index(spark, d), " ", allowed=_allowed(spark, d), media=V.media(spark, d))[1]
+    return hybrid.search(None, " ", allowed=_allowed(spark, d), media=V.media(spark, d))[1]
 
 
 @_query(f"WITH {V.TEXTS}, {V.bm25_sql([(('enthe',), True)])} SELECT id, lag(id) OVER (ORDER BY score DESC, id) AS previous_id, lead(id) OVER (ORDER BY score DESC, id) AS next_id FROM bm25")

@@ -119,6 +119,13 @@ def test_an_edit_of_equal_count_is_seen_and_nothing_else_is_written(spark, tmp_p
     assert ids(keyword.bm25(later, '"two"')) == [1] and ids(keyword.bm25(later, '"one"')) == [0]
 
 
+def test_a_blank_query_needs_no_index(spark, monkeypatch):
+    from lumenarc.plans import registry
+
+    monkeypatch.setattr(registry, "_index", None)
+    assert registry.filters_only(spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_best_of_several_sets_in_one_pass(index):
     hits = keyword.best(index, "confused", {"all": None, "tags": ("tags",), "name": ("filename",)}, 2).collect()
     for name, columns in (("all", None), ("tags", ("tags",)), ("name", ("filename",))):
