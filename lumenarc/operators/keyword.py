@@ -15,6 +15,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -32,6 +33,8 @@ APART_BITS = 40
 APART = 1 << APART_BITS
 #: Tasks that share the entries of one term.
 SPLITS = 16
+#: Entries that a task passes on at once, or those of one row if they are more.
+ENTRIES = 1 << 14
 #: Letters, numbers and private-use characters, as tokens() has them.
 _TOKEN = re.compile("(?:[^\\W_]|[\ue000-\uf8ff\U000f0000-\U000ffffd\U00100000-\U0010fffd])+")
 Atom = tuple[tuple[str, ...], bool]
@@ -98,37 +101,47 @@ def reindexed(index: DataFrame, fresh: DataFrame) -> DataFrame:
     return index.join(fresh.select("id").distinct(), "id", "left_anti").unionByName(fresh)
 
 
+TERMS = "term string, id long, column byte, n long, tf int, places array<long>, sig long"
+NAMES = [c.split()[0] for c in TERMS.split(", ")]
+KINDS = (pa.string(), pa.int64(), pa.int8(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64())
+
+
+def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (id, sig, *columns) as entries of an index, passed on in slices, so that memory doesn't grow with the rows."""
+    out: list[list] = [[] for _ in NAMES]
+    for batch in batches:
+        for i in range(batch.num_rows):  # no more than one row's text is in Python at a time
+            key, sig, *texts = (c[i].as_py() for c in batch.columns)
+            found = [_TOKEN.findall(folded(text or "")) for text in texts]
+            n = sum(map(len, found))
+            for c, terms in enumerate(found):
+                places: dict[str, list[int]] = {}
+                for place, term in enumerate(terms, c * APART):
+                    places.setdefault(term, []).append(place)
+                k = len(places)
+                if k:
+                    for column, cells in zip(out, (places, repeat(key, k), repeat(c, k), repeat(n, k), map(len, places.values()), places.values(), [sig, *repeat(None, k - 1)]), strict=True):
+                        column.extend(cells)
+                    sig = None
+            if not n:
+                for column, cell in zip(out, ("", key, 0, 0, 0, [], sig), strict=True):
+                    column.append(cell)
+            if len(out[0]) >= ENTRIES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, KINDS, strict=True)], names=NAMES)
+                out = [[] for _ in NAMES]
+    if out[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, KINDS, strict=True)], names=NAMES)
+
+
 def listed(rows: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """Lists of terms of rows (id, *columns): term, id, column, n (tokens of the row), tf, places and sig.
 
     sig, the row's signature, stands in one entry of each row; a row without tokens has one entry with an empty term, which
     no query asks for, so that it counts.
     """
+    return rows.select(F.col("id").cast("long").alias("id"), _signature(columns), *[F.col(c).cast("string").alias(c) for c in columns]).mapInArrow(entries, TERMS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for i, (key, sig) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                found = [_TOKEN.findall(folded(batch.column(c + 2)[i].as_py() or "")) for c in range(len(columns))]
-                n = sum(map(len, found))
-                for c, terms in enumerate(found):
-                    places: dict[str, list[int]] = {}
-                    for place, term in enumerate(terms, c * APART):
-                        places.setdefault(term, []).append(place)
-                    for term, at in places.items():
-                        out.append((term, key, c, n, len(at), at, sig))
-                        sig = None
-                if not n:
-                    out.append(("", key, 0, 0, 0, [], sig))
-            for at in range(0, len(out), 1 << 16):
-                cells = list(zip(*out[at : at + (1 << 16)], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], names=["term", "id", "column", "n", "tf", "places", "sig"])
-
-    kinds = (pa.string(), pa.int64(), pa.int8(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64())
-    return rows.select(F.col("id").cast("long").alias("id"), _signature(columns), *[F.col(c).cast("string").alias(c) for c in columns]).mapInArrow(run, TERMS)
 
-
-TERMS = "term string, id long, column byte, n long, tf int, places array<long>, sig long"
 MANIFEST = "version long, segments array<string>, columns array<string>, n_rows long, n_tokens long, signature decimal(38,0)"
 
 

@@ -119,6 +119,16 @@ def test_an_edit_of_equal_count_is_seen_and_nothing_else_is_written(spark, tmp_p
     assert ids(keyword.bm25(later, '"two"')) == [1] and ids(keyword.bm25(later, '"one"')) == [0]
 
 
+def test_entries_are_passed_on_in_slices():
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i * 7 + k}" for k in range(100)) for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(range(1000)), pa.array(texts)], names=["id", "sig", "x"])
+    made = list(keyword.entries(iter([batch, batch.slice(0, 1)])))
+    assert sum(b.num_rows for b in made) == 100_100 and max(b.num_rows for b in made) < keyword.ENTRIES + 100
+    assert [x for b in made for x in b.column("sig").to_pylist() if x is not None] == [*range(1000), 0]
+
+
 def test_a_blank_query_needs_no_index(spark, monkeypatch):
     from lumenarc.plans import registry
 
