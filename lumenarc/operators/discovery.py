@@ -137,16 +137,17 @@ def followed(replies: DataFrame, starts: DataFrame, items: str, fields: str, fol
     """Items of replies (url, body) of feeds that name their next page: feed, page, position and fields.
 
     starts (feed, url) are first pages. A feed ends with a reply that names no next page or is missing, with an address
-    that it had before, and after `most` pages. Each round follows all feeds by one page.
+    that it had before, and after `most` pages. Each round follows all feeds by one page. Replies are parsed and written
+    once; the rounds read their addresses alone, and the items are met at the end.
     """
     shape = F.from_json("body", f"struct<{items}: array<struct<{fields}>>, {following}: string>")
-    rows = replies.dropDuplicates(["url"]).select("url", shape.alias("r")).select("url", F.col(f"r.{items}").alias("i"), F.col(f"r.{following}").alias("next"))
-    at = starts.select("feed", "url", F.lit(1).alias("page"))
+    rows = kept(replies.dropDuplicates(["url"]).select("url", shape.alias("r")).select("url", F.col(f"r.{items}").alias("i"), F.col(f"r.{following}").alias("next")), "feed-replies")
+    at, places = starts.select("feed", "url", F.lit(1).alias("page")), rows.select("url", "next")
     seen = None
     for page in range(1, most + 1):
-        got = kept(at.join(rows, "url").select("feed", "page", "url", "i", "next"), "feed-pages")
+        got = kept(at.join(places, "url").select("feed", "page", "url", "next"), "feed-pages")
         seen = got if seen is None else seen.unionByName(got)
-        at = got.where("next is not null").select("feed", F.col("next").alias("url"), F.lit(page + 1).alias("page")).join(seen.select("feed", "url"), ["feed", "url"], "left_anti")
-        if at.isEmpty():
+        if got.isEmpty():
             break
-    return seen.select("feed", "page", F.posexplode("i").alias("position", "item")).select("feed", "page", "position", "item.*")
+        at = got.where("next is not null").select("feed", F.col("next").alias("url"), F.lit(page + 1).alias("page")).join(seen.select("feed", "url"), ["feed", "url"], "left_anti")
+    return seen.join(rows.select("url", "i"), "url").select("feed", "page", F.posexplode("i").alias("position", "item")).select("feed", "page", "position", "item.*")

@@ -13,7 +13,7 @@ from lumenarc.functions import text as T
 from lumenarc.operators import catalog, comments, discovery, duplicates, history, hybrid, ingest, jobs, keyword, vectors, workqueue
 from lumenarc.plans import views as V
 from lumenarc.session import table
-from lumenarc.sources.shared import shared_dir
+from lumenarc.sources.shared import kept, shared_dir
 from lumenarc.streaming import items as live_queue
 from lumenarc.streaming import passes
 
@@ -705,7 +705,7 @@ def paged_feeds(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"{_SEEN_PAGES} SELECT feed, page::INTEGER AS page, position::INTEGER AS position, id FROM f WHERE page <= {discovery.MAX_PAGES} AND NOT (feed % 7 = 3 AND page >= 2)")
 def cursor_feeds(spark: SparkSession, d: str) -> DataFrame:
     """Items of feeds whose replies name the next page."""
-    replies = V.feed_replies(spark, d)
+    replies = kept(V.feed_replies(spark, d), "feed-replies")
     return discovery.followed(replies, replies.where("page = 1").select("feed", "url"), "data", "id: bigint")
 
 

@@ -52,3 +52,19 @@ def test_cursors_end_at_missing_pages_loops_and_the_cap(spark):
     loop = spark.createDataFrame([("u1", '{"items": [{"id": 1}], "next": "u2"}'), ("u2", '{"items": [{"id": 2}], "next": "u1"}')], "url string, body string")
     assert discovery.followed(loop, starts.where("feed = 'f'"), "items", "id: bigint").count() == 2
     assert discovery.followed(loop, starts.where("feed = 'f'"), "items", "id: bigint", most=1).count() == 1
+
+
+def test_replies_are_read_once_whatever_the_rounds(spark):
+    from pyspark.sql import functions as F
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(body):
+        read.add(1)
+        return body
+
+    starts = spark.createDataFrame([("f", "u1")], "feed string, url string")
+    table = replies(spark, {k: 1 for k in range(1, 5)}).withColumn("body", noted("body"))
+    assert discovery.followed(table, starts, "items", "id: bigint").count() == 4
+    assert read.value == 4
