@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenarc.functions.text import folded, tokens
+from lumenarc.sources.shared import spread
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 COLUMNS = ("description", "tags", "filename", "source_text")
@@ -169,12 +170,6 @@ def _write_terms(terms: DataFrame, path: str) -> DataFrame:
     return terms.sparkSession.read.parquet(f"{path}/terms").where("sig IS NOT NULL").select("id", "sig", "n")
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """rows over all cores, where their files are fewer than these."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
-
-
 def _figures(rows: DataFrame) -> tuple:
     return tuple(rows.agg(F.count("sig"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("sig").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first())
 
@@ -183,7 +178,7 @@ def stored(rows: DataFrame, folder: str, columns: tuple[str, ...] = COLUMNS) ->
     """Builds the index of rows (id, *columns; id is a key) in a folder, as one segment; an older index there is superseded."""
     spark, name = rows.sparkSession, uuid.uuid4().hex
     old = _manifest(spark, folder)
-    _write_terms(listed(_spread(rows), columns), f"{folder}/{name}").write.parquet(f"{folder}/{name}/rows")
+    _write_terms(listed(spread(rows), columns), f"{folder}/{name}").write.parquet(f"{folder}/{name}/rows")
     return _named(spark, folder, old["version"] + 1 if old else 0, [name], columns, _figures(spark.read.parquet(f"{folder}/{name}/rows")))
 
 

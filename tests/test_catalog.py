@@ -127,3 +127,10 @@ def test_two_readers_of_new_ids_see_the_same(spark):
     got = sorted(map(tuple, both.collect()))
     assert [i for i, _, _ in got] == list(range(6, n + 6))  # dense, each once
     assert [k for _, k, _ in got] == sorted(k for _, _, k in got)
+
+
+def test_pages_of_one_file_are_parsed_on_all_cores(spark):
+    page = '<ul id="comments"><li class="mcs-comment" data-comment-id="1"><div class="mcs-comment-content-view">x</div></li></ul>'
+    one = spark.range(40).coalesce(1).select(F.concat(F.lit("https://en-thunderscans.com/p/"), "id").alias("url"), F.lit(page).alias("html"))
+    tasks = comments.comments(one).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(t["count"] for t in tasks) == 40 and len(tasks) == spark.sparkContext.defaultParallelism
