@@ -12,8 +12,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -73,33 +72,35 @@ class _Items(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.value = handle, handle.getValueState("item", STATE)
 
-    def _put(self, item: Item, before: int) -> None:
+    def _put(self, item: Item, before: int, held: bool) -> None:
         if before >= 0 and before != item.due:
             self.handle.deleteTimer(before)
         if item.over():
-            self.value.clear()
+            if held:
+                self.value.clear()
             return
         if item.due >= 0 and item.due != before:
             self.handle.registerTimer(item.due)
         self.value.update(astuple(item))
 
     @staticmethod
-    def _row(key: tuple, at: int, i: Item) -> pd.DataFrame:
-        return pd.DataFrame({"id": [key[0]], "seq": [i.seq], "at": [at], "status": [i.status], "attempts": [i.attempts], "revives": [i.revives], "has_analysis": [i.has_analysis], "due": [i.due]})
+    def _row(key: tuple, at: int, i: Item) -> Row:
+        return Row(id=key[0], seq=i.seq, at=at, status=i.status, attempts=i.attempts, revives=i.revives, has_analysis=i.has_analysis, due=i.due)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        item = Item(*self.value.get()) if self.value.exists() else Item()
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
+        held = self.value.get()  # each call to the state is a message to the JVM, so none is made in vain
+        item = Item(*held) if held else Item()
         before, at = item.due, 0
-        events = pd.concat(list(rows)).sort_values(["at", "seq"])  # one item's events of one batch
-        for at, seq, outcome, retryable in zip(events["at"], events["seq"], events["outcome"], events["retryable"], strict=True):
+        for at, seq, outcome, retryable in sorted((r["at"], r["seq"], r["outcome"], r["retryable"]) for r in rows):  # one item's events of one batch
             item = Item() if item.over() else item
-            item.takes(int(at), int(seq), outcome, bool(retryable), self.policy)
-        self._put(item, before)
-        yield self._row(key, int(at), item)
+            item.takes(at, seq, outcome, retryable, self.policy)
+        self._put(item, before, bool(held))
+        yield self._row(key, at, item)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:  # noqa: N802, N803
         now = expiredTimerInfo.getExpiryTimeInMs()
-        item = Item(*self.value.get()) if self.value.exists() else Item()
+        held = self.value.get()
+        item = Item(*held) if held else Item()
         if item.comes_back(now):
             self.value.update(astuple(item))
             yield self._row(key, now, item)
@@ -112,7 +113,7 @@ def states(events: DataFrame, policy: Policy | None = None, late: str = "500 mil
     """A row for each item that a batch or a timer changed; due and at are in milliseconds, due -1 for none. Update mode."""
     flat = events.withWatermark("at", late).select("id", "seq", "at", "outcome", F.coalesce("retryable", F.lit(False)).alias("retryable"))
     timed = flat.select("id", "seq", F.unix_millis("at").alias("at"), F.col("at").alias("event_time"), "outcome", "retryable")
-    return timed.groupBy("id").transformWithStateInPandas(statefulProcessor=_Items(policy or Policy()), outputStructType=OUT, outputMode="Update", timeMode="EventTime")
+    return timed.groupBy("id").transformWithState(statefulProcessor=_Items(policy or Policy()), outputStructType=OUT, outputMode="Update", timeMode="EventTime")
 
 
 def run_available(changes: DataFrame, folder: str, tag: str = "items") -> None:

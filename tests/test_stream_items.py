@@ -52,3 +52,25 @@ def test_batches_restarts_and_timers(spark, tmp_path):
     assert first == 6 and got == folded(events, 2_000_000 - 500)
     state = spark.read.format("statestore").option("path", str(tmp_path / "out" / "checkpoint")).option("stateVarName", "item").load()
     assert state.count() == sum(not (s == "READY" or s == "FAILED" and due < 0) for s, *_, due in got.values())
+
+
+def test_no_message_to_the_state_is_made_in_vain():
+    from pyspark.sql import Row
+
+    class State:
+        def __init__(self):
+            self.held, self.calls = None, []
+
+        def __getattr__(self, name):
+            return lambda *args: self.calls.append(name)
+
+        def get(self):
+            self.calls.append("get")
+            return self.held
+
+    made, state = items._Items(Policy()), State()
+    made.value = made.handle = state
+    event = lambda outcome: iter([Row(id=1, seq=1, at=5, outcome=outcome, retryable=True)])
+    assert [r["status"] for r in made.handleInputRows((1,), event("ready"), None)] == ["READY"] and state.calls == ["get"]
+    state.calls.clear()
+    assert [r["status"] for r in made.handleInputRows((1,), event("analyzed"), None)] == ["EMBEDDING"] and state.calls == ["get", "update"]
